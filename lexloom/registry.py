@@ -1,5 +1,280 @@
-"""All queries of the engine, by name."""
-QUERIES = {}
-ORACLE_SQL = {}
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+"""The registered queries of the engine and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import urls as U
+from .operators import model as M
+from .operators import segment as S
+from .plans import requests as R
+from .sources import model_files as MF
+
+CUT = 1.0
+SHARD = 1000
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, doc_id, pos, word of all documents: folded as whole texts, which leaves every character in its place."""
+    return _docs(spark, sf_dir).select("lang", "doc_id", F.posexplode(T.simple_tokens(T.fold_upper(F.col("text")))).alias("pos", "word"))
+
+
+def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.build(_words(spark, sf_dir), CUT)
+
+
+_FOLD = T.fold_upper_sql("text")
+#: The simple tokenizer in SQL; RE2 knows the same letters, and white space is spelt out.
+_TOKENS = r"""
+pieces AS MATERIALIZED (SELECT lang, doc_id, unnest(ps) AS t, generate_subscripts(ps, 1) AS i FROM (SELECT lang, doc_id, regexp_split_to_array(regexp_replace(FOLD, '[\x00-\x1E]', ' ', 'g'), '[\t-\r \x{85}\x{A0}\p{Z}]+') AS ps FROM documents)),
+cut AS (SELECT lang, doc_id, i, t, regexp_replace(t, '^[^\p{L}]+|[^\p{L}]+$', '', 'g') AS w FROM pieces WHERE t <> ''),
+words AS MATERIALIZED (SELECT lang, doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, w AS word FROM cut WHERE w <> '' AND (w = t OR length(w) > 1))
+""".replace("FOLD", _FOLD)
+_COUNTS = _TOKENS + ", freqs AS (SELECT lang, word AS term, count(*) AS freq FROM words WHERE length(word) <= 100 GROUP BY ALL)"
+_MODEL = _COUNTS + f""", ranked AS (SELECT *, sum(freq) OVER (PARTITION BY lang) AS total, sum(freq) OVER (PARTITION BY lang ORDER BY freq DESC, term ROWS UNBOUNDED PRECEDING) AS running FROM freqs),
+model AS MATERIALIZED (SELECT lang, term, freq, freq::DOUBLE / total AS prob FROM ranked WHERE running <= (total::FLOAT * {100 - CUT}::FLOAT)::DOUBLE / 100)
+"""
+
+
+@query(f"SELECT doc_id, {_FOLD} AS folded, length(text)::INT AS n FROM documents")
+def fold_upper(spark, sf_dir):
+    """Upper case, a character for a character."""
+    return _docs(spark, sf_dir).select("doc_id", T.fold_upper(F.col("text")).alias("folded"), F.length("text").alias("n"))
+
+
+@query(r"""SELECT item_id, regexp_matches(text, '[0-9]') AS digits, regexp_matches(text, '[А-яЁё]') AS cyrillics, regexp_matches(text, '[0-9А-яЁё]') AS both_kinds,
+regexp_matches(text, '^\p{L}+$') AS letters, regexp_matches(text, '^[\p{L}‒-―]+$') AS letters_dash, regexp_matches(text, '\p{L}') AS some_letter, FALSE AS cyrillic_share FROM benchmark""")
+def char_predicates(spark, sf_dir):
+    """Tests of character classes."""
+    t = F.col("text")
+    return _table(spark, sf_dir, "benchmark").select("item_id", T.has_digits(t).alias("digits"), T.has_cyrillics(t).alias("cyrillics"), T.has_cyrillics_or_digits(t).alias("both_kinds"), T.is_letters(t).alias("letters"), T.is_letters_or_dash(t).alias("letters_dash"), T.has_letters(t).alias("some_letter"), T.has_cyrillic_letters(t, 50).alias("cyrillic_share"))
+
+
+@query(r"""SELECT conv_id, turn, lower(text) AS low, replace(text, ' ', '') AS joined, regexp_replace(text, '[\x00-\x1E]', ' ', 'g') AS visible, NOT regexp_matches(text, '[^\t-\r \x{85}\x{A0}\p{Z}]') AS blank,
+CASE WHEN strlen(text) > 1024 THEN format('{:,.2f}', strlen(text) / 1024.0::DOUBLE) || ' KB' ELSE strlen(text) || ' bytes' END AS size FROM conversations""")
+def string_functions(spark, sf_dir):
+    """Lower case, joining, visible characters, blank texts, sizes."""
+    t = F.col("text")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(t).alias("low"), T.no_spaces(t).alias("joined"), T.replace_invisible(t).alias("visible"), T.is_blank(t).alias("blank"), T.display_size(F.octet_length(t)).alias("size"))
+
+
+@query(f"WITH {_TOKENS} SELECT lang, doc_id, pos, word FROM words")
+def simple_tokenizer(spark, sf_dir):
+    """TK5: words trimmed to letters."""
+    return _words(spark, sf_dir)
+
+
+@query(r"""SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1)::INT AS row_no, piece FROM
+(SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[\r\n ]')) AS piece, generate_subscripts(regexp_split_to_array(text, '[\r\n ]'), 1) AS i FROM conversations) WHERE regexp_matches(piece, '[^\t-\r \x{85}\x{A0}\p{Z}]')""")
+def request_rows(spark, sf_dir):
+    """A row for each piece of a request."""
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.split_rows(F.col("text"))).alias("row_no", "piece"))
+
+
+@query(f"WITH {_COUNTS} SELECT lang, term, freq FROM freqs")
+def term_counts(spark, sf_dir):
+    """A1, A2, F1: occurrences of each term."""
+    return M.counts(M.clean_words(_words(spark, sf_dir)).withColumnRenamed("word", "term"))
+
+
+@query(f"""WITH {_TOKENS} SELECT lang, count(*) AS n_all, count(*) FILTER (length(word) <= 10) AS n_short, count(*) FILTER (NOT regexp_matches(word, '[А-яЁё]')) AS n_no_cyrillics,
+count(*) FILTER (NOT regexp_matches(word, '[0-9]')) AS n_no_digits, count(*) FILTER (NOT regexp_matches(word, '[0-9А-яЁё]')) AS n_neither FROM words GROUP BY lang""")
+def word_filters(spark, sf_dir):
+    """Words that each set of filters keeps."""
+    w = F.col("word")
+    n = lambda ok: F.count(F.when(ok, 1))
+    return _words(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n_all"), n(M.kept(w, 10)).alias("n_short"), n(M.kept(w, 1 << 30, True)).alias("n_no_cyrillics"), n(M.kept(w, 1 << 30, False, True)).alias("n_no_digits"), n(M.kept(w, 1 << 30, True, True)).alias("n_neither"))
+
+
+@query(f"WITH {_COUNTS} SELECT lang, term, freq, freq::DOUBLE / sum(freq) OVER (PARTITION BY lang) AS prob FROM freqs")
+def term_probabilities(spark, sf_dir):
+    """Probabilities without a cut."""
+    return M.build(_words(spark, sf_dir)).select("lang", "term", "freq", "prob")
+
+
+@query(f"WITH {_MODEL} SELECT lang, term, freq, prob FROM model")
+def unigram_model(spark, sf_dir):
+    """A5-A10: the model of each language with its rare tail cut."""
+    return _model(spark, sf_dir).select("lang", "term", "freq", "prob")
+
+
+@query(f"WITH {_MODEL} SELECT lang, term, prob, row_number() OVER (PARTITION BY lang ORDER BY prob DESC, term)::INT AS place FROM model")
+def model_order(spark, sf_dir):
+    """O1-O3, K1: the order of records in a model file."""
+    return _model(spark, sf_dir).select("lang", "term", "prob", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("prob"), "term")).alias("place"))
+
+
+@query(f"""WITH {_TOKENS}, marked AS (SELECT *, length(word) <= 12 AS ok FROM words), runs AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY lang, doc_id ORDER BY pos) AS run FROM marked),
+kept AS (SELECT *, lag(word, 1) OVER w AS b1, lag(word, 2) OVER w AS b2, lag(word, 3) OVER w AS b3 FROM runs WHERE ok WINDOW w AS (PARTITION BY lang, doc_id, run ORDER BY pos)),
+grams AS (SELECT lang, word AS term FROM kept UNION ALL SELECT lang, b1 || ' ' || word FROM kept WHERE b1 IS NOT NULL UNION ALL SELECT lang, b2 || ' ' || b1 || ' ' || word FROM kept WHERE b2 IS NOT NULL
+UNION ALL SELECT lang, b3 || ' ' || b2 || ' ' || b1 || ' ' || word FROM kept WHERE b3 IS NOT NULL),
+u AS (SELECT lang, count(*) AS n FROM kept GROUP BY lang) SELECT lang, term, count(*) AS freq, count(*)::DOUBLE / any_value(n) AS prob FROM grams JOIN u USING (lang) GROUP BY lang, term""")
+def ngram_model(spark, sf_dir):
+    """A3: n-grams of 1 to 4 words; none goes over a word that is left out."""
+    return M.build(_words(spark, sf_dir), n=4, max_length=12).select("lang", "term", "freq", "prob")
+
+
+def _shards(model: DataFrame) -> DataFrame:
+    """Each record twice, the second time in a later shard with another probability."""
+    first = model.select(F.lit(0).alias("shard_no"), F.length("term").cast("long").alias("pos"), "lang", "term", "prob")
+    return first.unionByName(first.withColumn("shard_no", F.lit(1)).withColumn("prob", F.col("prob") / 2))
+
+
+@query(f"WITH {_MODEL} SELECT lang, term, prob FROM model")
+def shard_union(spark, sf_dir):
+    """Shards together, the first record of a term."""
+    return M.first_wins(_shards(_model(spark, sf_dir))).select("lang", "term", "prob")
+
+
+@query(f"WITH {_MODEL} SELECT lang, term, prob::FLOAT::DOUBLE AS prob FROM model")
+def model_lines(spark, sf_dir):
+    """Records written as lines and parsed again, in single precision; no term twice."""
+    line = F.concat_ws("\t", "term", F.col("prob").cast("string"))
+    parsed = _model(spark, sf_dir).select("lang", MF.parse_line(line).alias("r")).select("lang", "r.term", "r.prob")
+    return M.require_unique(parsed)
+
+
+@query(f"""WITH {_MODEL}, other AS (SELECT lang, term, prob FROM model WHERE length(term) > 3 UNION ALL SELECT lang, term, prob * 2 FROM model WHERE length(term) = 3)
+SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.term, b.term) AS term, a.prob AS prob_a, b.prob AS prob_b FROM model a FULL JOIN other b ON a.lang = b.lang AND a.term = b.term WHERE a.prob IS DISTINCT FROM b.prob""")
+def model_compare(spark, sf_dir):
+    """Records in which two models differ."""
+    a = _model(spark, sf_dir)
+    b = a.filter(F.length("term") > 3).unionByName(a.filter(F.length("term") == 3).withColumn("prob", F.col("prob") * 2))
+    return M.differences(a, b)
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct piece of the conversations."""
+    return _table(spark, sf_dir, "conversations").select(F.explode(T.split_rows(F.col("text"))).alias("text")).distinct()
+
+
+_PIECES = r"""pieces2 AS (SELECT DISTINCT piece AS text FROM (SELECT unnest(regexp_split_to_array(text, '[\r\n ]')) AS piece FROM conversations) WHERE regexp_matches(piece, '[^\t-\r \x{85}\x{A0}\p{Z}]')),
+texts AS (SELECT text, FOLD AS t, length(text) AS n FROM pieces2)""".replace("FOLD", _FOLD)
+#: The recurrence: a row for each text, language and end; P and starts are carried in lists.
+_VITERBI = r""", cand AS MATERIALIZED (SELECT text, lang, e, list({'j': j, 'g': g} ORDER BY j) AS c FROM (
+  SELECT x.text, l.lang, x.e, x.j, CASE WHEN x.e - x.j = 1 AND NOT regexp_matches(x.w, '^[\p{L}‒-―]$') THEN 1.0::DOUBLE ELSE coalesce(m.prob, 0.0)::DOUBLE END AS g
+  FROM (SELECT text, e, j, substr(t, j + 1, e - j) AS w FROM (SELECT text, t, n, unnest(range(1, n + 1)) AS e FROM texts) AS ends(text, t, n, e), LATERAL (SELECT unnest(range(0, e)) AS j)) x
+  CROSS JOIN (SELECT DISTINCT lang FROM model) l LEFT JOIN model m ON m.lang = l.lang AND m.term = x.w) y WHERE g > 0 OR j = e - 1 GROUP BY text, lang, e),
+walk AS (SELECT text, lang, 0 AS e, [1.0::DOUBLE] AS p, [0::BIGINT] AS b FROM texts, (SELECT DISTINCT lang FROM model)
+  UNION ALL SELECT text, lang, e, list_append(p, best.q), list_append(b, best.j) FROM (
+    SELECT w.text, w.lang, c.e, w.p, w.b, list_reduce(list_transform(c.c, lambda x: {'q': w.p[x.j + 1] * x.g, 'j': x.j}), lambda a, x: CASE WHEN a.q <= x.q THEN x ELSE a END) AS best
+    FROM walk w JOIN cand c ON c.text = w.text AND c.lang = w.lang AND c.e = w.e + 1)),
+ends AS (SELECT w.text, w.lang, w.p, w.b, x.n FROM walk w JOIN texts x ON x.text = w.text AND w.e = x.n),
+back AS (SELECT text, lang, p, b, n AS cur, 0 AS k FROM ends UNION ALL SELECT text, lang, p, b, b[cur + 1] AS cur, k + 1 FROM back WHERE cur > 0),
+terms AS (SELECT text, lang, (max(k) OVER (PARTITION BY text, lang) - k + 1)::INT AS place, cur AS stop, b[cur + 1] AS start, p[cur + 1] AS prob FROM back WHERE cur > 0)
+"""
+_SCORES = """, scores AS (SELECT text, lang, CASE WHEN min(prob) = 0 THEN -1.7976931348623157e308::DOUBLE ELSE sum(ln(prob)) END AS score, string_agg(substr(FOLD, start + 1, stop - start), ' ' ORDER BY place) AS words, row_number() OVER (PARTITION BY text ORDER BY lang) - 1 AS lang_idx FROM terms GROUP BY text, lang)
+""".replace("FOLD", _FOLD)
+_RECURSIVE = "WITH RECURSIVE "
+
+
+def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.segment(_pieces(spark, sf_dir), _model(spark, sf_dir))
+
+
+@query(f"WITH {_MODEL}, {_PIECES} SELECT text, lang, CASE WHEN length(text) = 1 AND NOT regexp_matches(text, '^[\\p{{L}}‒-―]$') THEN 1.0::DOUBLE ELSE coalesce(prob, 0.0)::DOUBLE END AS weight FROM texts CROSS JOIN (SELECT DISTINCT lang AS lang FROM model) l LEFT JOIN (SELECT lang AS ml, term, prob FROM model) m ON ml = l.lang AND term = t")
+def model_lookup(spark, sf_dir):
+    """The weight of each piece as one word, in each language."""
+    model = _model(spark, sf_dir)
+    asked = _pieces(spark, sf_dir).withColumn("lang", F.explode(F.array(*[F.lit(r[0]) for r in model.select("lang").distinct().collect()])))
+    term = T.fold_upper(F.col("text"))
+    joined = asked.withColumn("term", term).join(model.select("lang", "term", "prob"), ["lang", "term"], "left")
+    free = (F.length("text") == 1) & ~T.is_letters_or_dash(F.col("text"))
+    return joined.select("text", "lang", F.when(free, 1.0).otherwise(F.coalesce("prob", F.lit(0.0))).alias("weight"))
+
+
+@query(_RECURSIVE + f"{_MODEL}, {_PIECES}{_VITERBI} SELECT text, lang, place - 1 AS place, start::INT AS start, (stop - start)::INT AS len, substr({_FOLD}, start + 1, stop - start) AS term, prob FROM terms")
+def viterbi_terms(spark, sf_dir):
+    """V2-V5, V7: the words of each piece in each language, with offsets and prefix probabilities."""
+    rows = _segmented(spark, sf_dir).select("text", F.explode("results").alias("r")).select("text", "r.lang", F.posexplode("r.tps").alias("place", "x"))
+    return rows.select("text", "lang", "place", "x.start", "x.len", F.substring(T.fold_upper(F.col("text")), F.col("x.start") + 1, F.col("x.len")).alias("term"), "x.prob")
+
+
+@query(_RECURSIVE + f"{_MODEL}, {_PIECES}{_VITERBI}{_SCORES} SELECT text, max_by(lang, (round(score, 9), lang_idx)) AS lang, max_by(words, (round(score, 9), lang_idx)) AS words FROM scores GROUP BY text")
+def best_language(spark, sf_dir):
+    """The best language of each piece and its words."""
+    rounded = F.transform("results", lambda r: F.struct(r["lang_idx"].alias("lang_idx"), r["lang"].alias("lang"), F.round(r["score"], 9).alias("score"), r["tps"].alias("tps")))
+    top = _segmented(spark, sf_dir).withColumn("results", rounded).withColumn("best", S.best())
+    return top.select("text", "best.lang", F.array_join(F.transform(S.terms(F.col("text"), F.col("best.tps")), lambda w: w["term"]), " ").alias("words"))
+
+
+@query(_RECURSIVE + f"""{_MODEL}, {_PIECES}{_VITERBI}{_SCORES}, e AS (SELECT *, CASE WHEN min(score) OVER (PARTITION BY text) = 0 THEN 'NaN'::DOUBLE ELSE exp(score / abs(min(score) OVER (PARTITION BY text))) END AS x FROM scores)
+SELECT text, lang, lang_idx::INT AS lang_idx, CASE WHEN score < -1e300 THEN NULL ELSE round(score, 6) END AS score, round(x / sum(x) OVER (PARTITION BY text), 6) AS share FROM e""")
+def all_languages(spark, sf_dir):
+    """The share of each language for each piece."""
+    rows = _segmented(spark, sf_dir).select("text", F.explode(S.shares()).alias("r"))
+    return rows.select("text", "r.lang", "r.lang_idx", F.when(F.col("r.score") > -1e300, F.round("r.score", 6)).alias("score"), F.round("r.share", 6).alias("share"))
+
+
+@query(_RECURSIVE + f"{_MODEL}, {_PIECES}{_VITERBI}{_SCORES} SELECT text, lang, words FROM scores WHERE lang = 'de'")
+def routed_language(spark, sf_dir):
+    """One language's words."""
+    one = S.routed("results", F.lit("de"))
+    return _segmented(spark, sf_dir).select("text", one["lang"].alias("lang"), F.array_join(F.transform(S.terms(F.col("text"), one["tps"]), lambda w: w["term"]), " ").alias("words"))
+
+
+@query(_RECURSIVE + f"{_MODEL}, {_PIECES}{_VITERBI}{_SCORES} SELECT text, max_by(words, (round(score, 9), lang_idx)) || ' (' || max_by(lang, (round(score, 9), lang_idx)) || ')' AS line FROM scores GROUP BY text")
+def console_lines(spark, sf_dir):
+    """The best words and language as a line."""
+    rounded = F.transform("results", lambda r: F.struct(r["lang_idx"].alias("lang_idx"), r["lang"].alias("lang"), F.round(r["score"], 9).alias("score"), r["tps"].alias("tps")))
+    return _segmented(spark, sf_dir).withColumn("results", rounded).select("text", R.line_view(F.col("text"), S.best()).alias("line"))
+
+
+@query()
+def line_segments(spark, sf_dir):
+    """V4 over whole documents: each line without its spaces, in its own language (offsets are in the joined line)."""
+    lines = _docs(spark, sf_dir).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("text", T.no_spaces(F.col("line")))
+    lex = S.lexicons(_model(spark, sf_dir))
+    langs = sorted(lex)
+    out = S.segment(lines.drop("line"), lex, "text", langs).withColumn("one", S.best())
+    return out.select("doc_id", "line_no", "one.lang", F.size("one.tps").alias("n_terms"), F.try_element_at("one.tps", F.lit(-1))["prob"].alias("prob"))
+
+
+@query()
+def request_responses(spark, sf_dir):
+    """A JSON response for each turn, any language."""
+    asked = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn", F.xxhash64("text")).alias("request_id"), "text", F.lit("any").alias("lang"))
+    lex = S.lexicons(_model(spark, sf_dir))
+    return R.respond(asked.dropDuplicates(["request_id"]), lex, sorted(lex))
+
+
+@query()
+def url_spans(spark, sf_dir):
+    """UR1-UR8: URLs in the source of each page."""
+    found = U.with_urls(_table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    return found.select("page_id", F.posexplode("urls").alias("n", "u")).select("page_id", "n", "u.start", "u.len", "u.value")
+
+
+@query()
+def exact_tokenizer(spark, sf_dir):
+    """TK1-TK4: words of each document by the exact rules."""
+    return U.with_words(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.posexplode("words").alias("pos", "word"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of all languages from the documents, then the best words of each piece of the conversations."""
+    return best_language(spark, sf_dir)
