@@ -18,7 +18,7 @@ def parse_line(line: Column) -> Column:
     Probabilities are read in single precision and widened.
     """
     parts = F.filter(F.split(line, "\t"), lambda x: x != "")
-    term, prob = F.trim(parts[0]), F.trim(F.try_element_at(parts, F.lit(2)))
+    term, prob = F.trim(F.try_element_at(parts, F.lit(1))), F.trim(F.try_element_at(parts, F.lit(2)))
     ok = (F.size(parts) == 2) & ~is_blank(term) & prob.rlike(r"^(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
     value = F.struct(term.alias("term"), prob.cast("float").cast("double").alias("prob"))
     return F.when(ok, value).otherwise(F.raise_error(F.concat(F.lit("wrong line in a model: "), F.coalesce(line, F.lit("null")))))
