@@ -22,7 +22,7 @@ def rows():
         base, lang = ((A, "en"), (B, "de"))[i % 2]
         w = base.split()
         rng.shuffle(w)
-        out.append((i, " ".join(w) if i % 5 else "# $ % ".join(w), lang, f"src{i % 4}", 1, "x", "y", 7))
+        out.append((i, " ".join(w) if i % 5 else "## ".join(w), lang, f"src{i % 4}", 1, "x", "y", 7))
     odd = [(None, A, "en", None, None, None, None, None), (60, None, None, None, 0, "x", "y", 1), (61, "", "en", "src1", 0, "x", "y", 1), (62, "1 2 3\n\n", None, "src1", 5, None, None, None)]
     twice = [(63, A, "en", "src2", 1, "x", "y", 7)] * 2
     return out + odd + twice + [(64, (A + "\n") * 3000, "en", "src3", 1, "x", "y", 7), (65, "x" * 200_000, "en", "src3", 1, "x", "y", 7)]
