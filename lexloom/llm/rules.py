@@ -102,9 +102,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray) -> list[R
     """part: True for the rows to grow on; the others prune."""
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
-    while len(rules) < MAX_RULES and (left & part & bad).sum() >= 3:
+    while len(rules) < MAX_RULES and (left & bad).sum() >= 3:
         sub = lambda m: {k: v[m] for k, v in x.items()}
-        rule = grow(sub(left & part), bad[left & part])
+        # Where the part to grow on has too few bad rows left, all that are left serve.
+        some = left & part if (left & part & bad).sum() >= 3 else left
+        rule = grow(sub(some), bad[some])
         if not rule:
             break
         if (left & ~part & bad).any():
