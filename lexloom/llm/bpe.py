@@ -40,11 +40,12 @@ def encoder(path: str, pattern: str):
 
 
 def stretches(text: str, size: int = STRETCH) -> list[str]:
-    """Cuts before a line feed or space that follows an ASCII letter or digit.
+    """Cuts before a line feed or space that follows anything but white space.
 
-    There the pattern's word and number matches end, since no class of theirs
-    holds white space, and the next match starts at the white space, since a
-    match that holds it starts with it. A text without such a place stays whole.
+    No match of the pattern holds white space after another character, so a
+    match ends there, and the next one starts at the white space. Python counts
+    all as white space that the pattern does. A text without such a place stays
+    whole.
     """
     if len(text) <= size:
         return [text]
@@ -54,7 +55,7 @@ def stretches(text: str, size: int = STRETCH) -> list[str]:
         while True:
             nl, sp = text.find("\n", at), text.find(" ", at)
             at = min(x for x in (nl, sp, len(text)) if x >= 0)
-            if at >= len(text) or (text[at - 1].isascii() and text[at - 1].isalnum()):
+            if at >= len(text) or not text[at - 1].isspace():
                 break
             at += 1
         out.append(text[start:at])

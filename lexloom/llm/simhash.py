@@ -226,12 +226,15 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def class_components(signed: DataFrame) -> DataFrame:
-    """signed: doc_id, fp. Returns fp, component_id for each distinct fp."""
+    """signed: doc_id, fp. Returns fp, component_id and root for each distinct fp.
+
+    root is a fingerprint of the component: unlike an id it is never null, and no two components share it.
+    """
     classes = materialise(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     roots = graph.components(link_classes(classes.select("fp")), "simhash-links")
     tied = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return materialise(tied.join(least, "root").select("fp", "component_id"), "simhash-components")
+    return materialise(tied.join(least, "root").select("fp", "component_id", "root"), "simhash-components")
 
 
 def hex_of(fp: str = "fp"):
@@ -248,9 +251,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = fingerprints(docs.withColumn(mark, F.xxhash64(*[F.col(c) for c in ("doc_id", "text", "source", "lang") if c in docs.columns])), out=fp)
     slim = materialise(marked.select("doc_id", F.col(fp).alias("fp"), F.col(mark).alias("mark")), "simhash-fp")
     parts = class_components(slim.select("doc_id", "fp")).withColumnRenamed("fp", "class_fp")
-    # The component's key: its id, or the fingerprint's own where all ids are null.
     joined = slim.join(parts, F.col("fp") == F.col("class_fp"))
-    first = joined.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "mark")).alias("k"))
+    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "mark")).alias("k"))
     best = first.select(F.col("k.doc_id").alias("b_id"), F.col("k.mark").alias("b_mark"))
     kept = docs.withColumn(mark, F.xxhash64(*[F.col(c) for c in ("doc_id", "text", "source", "lang") if c in docs.columns]))
     same = kept.join(best, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col(mark) == F.col("b_mark")), "left_semi")

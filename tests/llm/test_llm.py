@@ -55,6 +55,7 @@ def test_bpe_stretches():
     text = "".join(rng.choice(["a", "Z9", " ", "\n", "é", "'s", "!", "  ", "日", "\t"]) for _ in range(4000))
     for size in (1, 7, 50):
         parts = bpe.stretches(text, size)
+        assert max(map(len, parts)) < size + 200
         assert "".join(parts) == text
         assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
@@ -193,6 +194,17 @@ def test_simhash(spark, docs):
     assert simhash.groups(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_without_ids(spark):
+    """Groups whose rows have null or repeated ids are not taken for one group."""
+    texts = ["one two three four five", "six seven eight nine ten", "", None]
+    rows = [(i, t) for i in (None, 5) for t in texts] + [(None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = simhash.keep_one(docs).collect()
+    assert sorted(r["text"] or "" for r in kept) == sorted(texts[:3]) and all(r["doc_id"] == 5 for r in kept)
+    none = simhash.keep_one(docs.filter("doc_id is null")).collect()
+    assert sorted(r["text"] or "" for r in none) == sorted(texts[:3])
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(50)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
