@@ -246,19 +246,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     That is the row of the smallest id (null ids last); of rows with equal ids
     the one that Spark's min picks by the rest of its key: fingerprint, then hash.
+    Texts are shuffled once, for the join. Rows equal in id, text, source and
+    language are told by 128 bits of hash; copies of such a row are folded in
+    each task before the shuffle, so none of them gathers in one task.
     """
-    fp, mark = fresh(docs, "simhash_fp"), fresh(docs, "simhash_mark")
-    marked = fingerprints(docs.withColumn(mark, F.xxhash64(*[F.col(c) for c in ("doc_id", "text", "source", "lang") if c in docs.columns])), out=fp)
-    slim = materialise(marked.select("doc_id", F.col(fp).alias("fp"), F.col(mark).alias("mark")), "simhash-fp")
+    fp, a, b = fresh(docs, "simhash_fp"), fresh(docs, "simhash_a"), fresh(docs, "simhash_b")
+    known = [F.col(c) for c in ("doc_id", "text", "source", "lang") if c in docs.columns]
+    parts_of = [*known, *(c.isNull() for c in known)]  # the hash skips nulls
+    marked = docs.withColumn(a, F.xxhash64(*parts_of)).withColumn(b, F.xxhash64(F.lit(1), *parts_of))
+    slim = fingerprints(marked, keep=["doc_id", a, b], out=fp).select("doc_id", F.col(fp).alias("fp"), F.col(a).alias("a"), F.col(b).alias("b"))
+    slim = materialise(slim, "simhash-fp")
     parts = class_components(slim.select("doc_id", "fp")).withColumnRenamed("fp", "class_fp")
     joined = slim.join(parts, F.col("fp") == F.col("class_fp"))
-    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "mark")).alias("k"))
-    best = first.select(F.col("k.doc_id").alias("b_id"), F.col("k.mark").alias("b_mark"))
-    kept = docs.withColumn(mark, F.xxhash64(*[F.col(c) for c in ("doc_id", "text", "source", "lang") if c in docs.columns]))
-    same = kept.join(best, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col(mark) == F.col("b_mark")), "left_semi")
-    # Rows that are equal in all of these are copies of one another: one stays.
-    n = fresh(docs, "simhash_n")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id", mark).orderBy(mark)
-    return same.withColumn(n, F.row_number().over(w)).filter(F.col(n) == 1).select(*docs.columns)
+    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "a", "b")).alias("k"))
+    best = first.select(F.col("k.a").alias(f"best_{a}"), F.col("k.b").alias(f"best_{b}"))
+    same = (F.col(a) == F.col(f"best_{a}")) & (F.col(b) == F.col(f"best_{b}"))
+    return marked.dropDuplicates([a, b]).join(best, same, "left_semi").select(*docs.columns)
