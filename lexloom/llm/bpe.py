@@ -3,7 +3,7 @@
 Texts are cut into stretches at safe places before the library sees them, so
 that its regular expression works on bounded strings. A place is safe where
 every match of the pattern ends whatever stands around it; the ids are then
-those of the whole text. Null and empty texts have no ids. Decoding joins the
+those of the whole text. Texts under another pattern are not cut. Null and empty texts have no ids. Decoding joins the
 ids' raw bytes, which is exact for any text.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,6 +22,9 @@ from .common import map_columns
 FILE = "byte_bpe_multi_50k.tiktoken"
 #: Stretches are cut at the first safe place from here on.
 STRETCH = 1 << 16
+_CUT = re.compile(r"(?<=\S)[\n ]")
+#: Runs, too long for the library's expression, of what the pattern counts as white space.
+_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{16384,}")
 
 
 def rank_path(name: str = FILE) -> str:
@@ -47,30 +51,40 @@ def stretches(text: str, size: int = STRETCH) -> list[str]:
     all as white space that the pattern does. A text without such a place stays
     whole.
     """
-    if len(text) <= size:
-        return [text]
     out, start = [], 0
     while len(text) - start > size:
-        at = start + size
-        while True:
-            nl, sp = text.find("\n", at), text.find(" ", at)
-            at = min(x for x in (nl, sp, len(text)) if x >= 0)
-            if at >= len(text) or not text[at - 1].isspace():
-                break
-            at += 1
-        out.append(text[start:at])
-        start = at
+        found = _CUT.search(text, start + size)
+        if not found:
+            break
+        out.append(text[start : found.start()])
+        start = found.start()
     if start < len(text):
         out.append(text[start:])
     return out
 
 
-def encode_text(enc, text: str | None) -> list[int]:
+def encode_text(enc, text: str | None, cut: bool = True) -> list[int]:
+    """The ids of a text. `cut`: its pattern is the one that the safe places are for.
+
+    The library's regular expression runs out of stack on very long white
+    space. The pattern takes a run of it but for its last character as one
+    match (at the end of the text all of it), so such runs go to the library
+    as single pieces, without the expression.
+    """
     if not text:
         return []
-    if len(text) <= STRETCH:
+    if len(text) <= STRETCH or not cut:
         return enc.encode_ordinary(text)
-    return [i for part in stretches(text) for i in enc.encode_ordinary(part)]
+    ids, start = [], 0
+    for run in _BLANK.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        for part in stretches(text[start : run.start()]):
+            ids += enc.encode_ordinary(part)
+        ids += enc._core_bpe.encode_single_piece(text[run.start() : stop].encode())
+        start = stop
+    for part in stretches(text[start:]):
+        ids += enc.encode_ordinary(part)
+    return ids
 
 
 def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, ids: str = "ids", path: str | None = None, pattern: str | None = None, digests: bool = True, with_ids: bool = True) -> DataFrame:
@@ -84,10 +98,11 @@ def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, ids
         import public_tokenizers
 
         enc = encoder(path or rank_path(), pattern or public_tokenizers.PATTERN)
+        cut = pattern in (None, public_tokenizers.PATTERN)
         names = _names(path or rank_path())
         out, n, a, b = [], [], [], []
         for t in texts:
-            got = encode_text(enc, t)
+            got = encode_text(enc, t, cut)
             if with_ids:
                 out.append(got)
             n.append(len(got))

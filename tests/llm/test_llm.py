@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import re
 from html import escape
 
 import numpy as np
@@ -60,6 +61,22 @@ def test_bpe_stretches():
         assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+def test_bpe_white_space(monkeypatch):
+    """Runs of white space that go to the library as single pieces; a run that its expression can't take."""
+    import public_tokenizers
+
+    enc = bpe.encoder(bpe.rank_path(), public_tokenizers.PATTERN)
+    for text in (" " * 1_000_000, "a" + "\n" * 1_000_000 + "b"):
+        assert enc.decode_bytes(bpe.encode_text(enc, text)) == text.encode()
+    monkeypatch.setattr(bpe, "_BLANK", re.compile(bpe._BLANK.pattern.replace("16384", "3")))
+    monkeypatch.setattr(bpe, "STRETCH", 40)
+    rnd = random.Random(1)
+    parts = ["a", "é", "1", "'s", ".", " ", "  ", "\n", "\r", "\t", "\x1c", "\u3000", "\xa0", "\x85", "    ", "\n\n\n", "\u200b"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(40, 120)))
+        assert bpe.encode_text(enc, text) == enc.encode_ordinary(text)
+
+
 def test_language(spark, docs):
     model = langid.fit(docs)
     got = langid.identify(docs.drop("score"), model)
