@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 from html import unescape
 
 import pyarrow as pa
@@ -61,6 +62,8 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: The containers of a page that vote, and how deep paths go.
 VOTERS, DEPTH = 3, 24
+#: Characters of a path; a longer one stands as its digest, so that deep pages take no square of their depth.
+LONGEST_PATH = 1024
 _BODY = frozenset(("html", "body"))
 
 
@@ -89,8 +92,9 @@ class Page:
         root.first, root.last, root.article, root.container, root.heading, root.link, root.name = 0, 0, False, root, False, False, ""
         self.stack = [root]
         self.containers.append(root)
-        at = 0
-        for m in _TAG.finditer(html):
+        self._open_tags: Counter = Counter()
+        at, m, end = 0, None, html.rfind(">") + 1
+        for m in _TAG.finditer(html, 0, end):  # no tag ends later; looking for one at each < would take the square of what is left
             if m.start() > at:
                 self._add(html[at : m.start()])
             at = m.end()
@@ -104,6 +108,8 @@ class Page:
                 self._close(name)
             else:
                 self._open(name, m[4])
+        if m is not None and at == end and self._unclosed(m):
+            at = len(html)
         if at < len(html):
             rest = html[at:]
             # A tag that the end of the page cuts off is no text.
@@ -113,6 +119,13 @@ class Page:
         for n in self.stack:
             n.last = len(self.blocks)
 
+    @staticmethod
+    def _unclosed(m: re.Match) -> bool:
+        """Whether a comment or an element of raw text lasts until the end of the page."""
+        if m[1]:
+            return not re.fullmatch(rf"</{m[1]}\s*>", m[0][m[0].rfind("<") :], re.I)
+        return m[0].startswith("<!--") and not (m[0].endswith("-->") and len(m[0]) > 6)
+
     def _add(self, raw: str) -> None:
         self._text.append(raw)
         if self.stack[-1].link:
@@ -182,9 +195,12 @@ class Page:
                 n.name = ".".join([name, *(re.sub(r"\d+", "#", c) for c in classes)])
             self.containers.append(n)
             n.path = f"{up.container.path}>{n.name}"
+            if len(n.path) > LONGEST_PATH:
+                n.path = "~" + md5(n.path.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
         else:
             n.container, n.path = up.container, up.path
         self.stack.append(n)
+        self._open_tags[name] += 1
 
     def _pop_to(self, names: set[str], stop: frozenset[str] | set[str]) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -197,11 +213,14 @@ class Page:
     def _drop(self, i: int) -> None:
         for n in self.stack[i:]:
             n.last = len(self.blocks)
+            self._open_tags[n.tag] -= 1
         del self.stack[i:]
 
     def _close(self, name: str) -> None:
         if name not in _INLINE:
             self._flush()
+        if not self._open_tags[name]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == name:
                 if name in _INLINE and any(n.tag not in _INLINE for n in self.stack[i + 1 :]):

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from html import escape
 
 import numpy as np
@@ -372,6 +373,26 @@ def test_html_odd(spark):
     assert html.extract(spark.createDataFrame([], PAGES).drop("text")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "raw, text",
+    [
+        ("<p>kept words</p>" + "<a " * 20_000, "kept words"),
+        ("<p>kept words</p>" + "<a '" * 20_000, "kept words"),
+        ("<div>" * 50_000 + "<p>kept words</p>", "kept words"),
+        ("<p>kept words</p><!-- <b>gone</b>", "kept words"),
+        ("<p>kept words</p><!-- gone", "kept words"),
+        ("<p>kept words</p><script>gone <b>gone</b> gone", "kept words"),
+        ("<p>kept words</p><script>gone</script>", "kept words"),
+        ("<p>kept words</p><!-- gone -->", "kept words"),
+        ("<p>kept words</p><!-- gone --> too", "kept words\ntoo"),
+    ],
+)
+def test_html_long_or_cut_off(raw, text):
+    began = time.time()
+    assert html.Page(raw).extract(None) == text
+    assert time.time() - began < 5
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
