@@ -14,6 +14,7 @@ import hashlib
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -104,7 +105,7 @@ def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, ids
         for t in texts:
             got = encode_text(enc, t, cut)
             if with_ids:
-                out.append(got)
+                out.append(np.array(got, np.int32))
             n.append(len(got))
             a.append(hashlib.sha256(",".join([names[i] for i in got]).encode()).hexdigest())
             b.append(hashlib.sha256(enc.decode_bytes(got)).hexdigest())

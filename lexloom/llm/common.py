@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch that are Python objects at a time.
+SLICE = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,11 +86,10 @@ def map_columns(
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                new = fn(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs])
-                old = [b.column(b.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*old, *new], names=names)
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+            new = fn(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs])
+            old = [b.column(b.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*old, *new], names=names)
 
     need = list(dict.fromkeys([*keep, *inputs]))
     return df.select(*need).mapInArrow(run, schema)
