@@ -6,6 +6,14 @@ both (each counted once), is THRESHOLD or more. Such a unit has no fewer than
 t / (2 - t) and no more than (2 - t) / t times the template's bigrams, so the
 others never get to a comparison: most lines are ruled out by their word count.
 
+Where the whole text is no hit, it is also searched for notices that are wrapped
+over lines or stand among other words: for windows of consecutive words that
+start and end with a bigram of a template, with no more bigrams than the bound
+above. A window of fewer bigrams than its template is valued as if it were
+filled up with others. Of windows and lines that overlap the one with most
+bigrams shared over those not shared counts; a line always counts over the
+windows inside it.
+
 DataFrame functions alone are used, without any exchange. Templates are a
 parameter of a few entries. A null or empty text has no units. Of templates
 with equal values the first by name counts.
@@ -72,14 +80,16 @@ def _let(value: Column, use) -> Column:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds license (the best template or null), dice (its value or null) and n_hits (units like some template)."""
+    """Adds license (the best template or null), dice (its value or null) and n_hits (units and windows like some template)."""
     known = {k: b for k, v in sorted((templates or TEMPLATES).items()) if (b := bigrams_of(v))}
     needed = sorted({b for bs in known.values() for b in _needed(bs, threshold)})
     least = min(_bounds(len(b), threshold)[0] for b in known.values())
 
+    def pairs(w: Column) -> Column:
+        return F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+
     def bigrams(w: Column) -> Column:
-        pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.array_distinct(pairs)
+        return F.array_distinct(pairs(w))
 
     def best(own: Column) -> Column:
         """The largest value with its template's place (negative), or null."""
@@ -87,14 +97,87 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         for i, b in enumerate(known.values()):
             low, high = _bounds(len(b), threshold)
             value = 2.0 * F.size(F.array_intersect(own, F.array(*map(F.lit, b)))) / (size + len(b))
-            each.append(F.struct(F.when(size.between(low, high), value).alias("d"), F.lit(-i).alias("i")))
+            each.append(F.struct(F.when(size.between(low, high), value).alias("d"), F.lit(-i).alias("i"), F.lit(len(b)).alias("n"), size.alias("k")))
         return F.array_max(F.filter(F.array(*each), lambda x: x["d"] >= threshold))
 
-    def hits(clean: Column, flat: Column) -> Column:
-        lines, whole = F.split(clean, "\n"), F.array(flat)
-        units = F.transform(F.when(F.size(lines) > 1, F.concat(lines, whole)).otherwise(whole), lambda u: F.trim(u))
-        long = F.filter(units, lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) >= least)
-        return F.filter(F.transform(long, lambda u: _let(F.split(u, " "), lambda w: _let(bigrams(w), best))), lambda x: x.isNotNull())
+    def windows_of(own: Column, known_at: Column, i: int, b: list[str]) -> Column:
+        """The best window for each of its starts, if it is a hit of template i; known_at has the places of known bigrams."""
+        (low, high), need = _bounds(len(b), threshold), _needed(b, threshold)
+
+        def window(near: Column, k: Column) -> Column:
+            start, end = near[0]["p"], F.element_at(near, k)["p"]
+
+            def rated(w: Column) -> Column:
+                both = F.size(F.array_intersect(w, F.array(*map(F.lit, b))))
+                size = F.greatest(F.size(w), F.lit(len(b)))
+                return F.struct((2 * both - size).alias("r"), (2.0 * both / (size + len(b))).alias("d"), F.lit(-i).alias("i"), start.alias("s"), end.alias("e"))
+
+            return _let(F.array_distinct(F.slice(own, start + 1, end - start + 1)), rated)
+
+        def from_start(near: Column) -> Column:
+            each = F.filter(F.transform(F.sequence(F.lit(low), F.size(near)), lambda k: window(near, k)), lambda x: x["d"] >= threshold)
+            enough = F.size(F.array_distinct(F.transform(near, lambda x: x["b"]))) >= low
+            return F.when(enough, F.array_max(each))
+
+        def all_starts(at: Column) -> Column:
+            # Only places from which enough bigrams of the template are in reach.
+            starts = F.filter(F.sequence(F.lit(1), F.size(at) - low + 1), lambda a: F.element_at(at, a + low - 1)["p"] - F.element_at(at, a)["p"] < high)
+            reach = lambda a: _let(F.element_at(at, a)["p"] + high, lambda stop: F.filter(F.slice(at, a, high), lambda x: x["p"] < stop))
+            found = F.filter(F.transform(starts, lambda a: _let(reach(a), from_start)), lambda x: x.isNotNull())
+            return F.when((F.size(at) >= low) & F.exists(at, lambda x: x["b"].isin(need)), found)
+
+        return _let(F.filter(known_at, lambda x: x["b"].isin(b)), all_starts)
+
+    kind = "array<struct<s:int,t:int,e:int,r:int,d:double,i:int>>"
+    span = lambda s, t, e, r, d, i: F.struct(s.alias("s"), F.lit(t).alias("t"), e.alias("e"), r.cast("int").alias("r"), d.alias("d"), i.alias("i"))
+
+    def windows(own: Column) -> Column:
+        every = sorted({x for bs in known.values() for x in bs})
+        places = F.filter(F.transform(own, lambda x, p: F.when(x.isin(every), F.struct(p.alias("p"), x.alias("b")))), lambda x: x.isNotNull())
+        search = lambda at: F.flatten(F.filter(F.array(*[windows_of(own, at, i, b) for i, b in enumerate(known.values())]), lambda x: x.isNotNull()))
+        return F.transform(_let(places, search), lambda x: span(x["s"], 1, x["e"], x["r"], x["d"], x["i"]))
+
+    def line_spans(lines: Column, each: Column) -> Column:
+        """Where the hits among the lines are, in bigrams of all words."""
+
+        def add(acc: Column, z: Column) -> Column:
+            n = F.when(z["u"] == "", 0).otherwise(F.size(F.split(z["u"], " ")))
+            x = z["x"]
+            here = span(acc["at"], 0, acc["at"] + n - 2, F.round(x["d"] * (x["n"] + x["k"])) - F.greatest(x["n"], x["k"]), x["d"], x["i"])
+            return F.struct((acc["at"] + n).alias("at"), F.when(x.isNull(), acc["got"]).otherwise(F.concat(acc["got"], F.array(here).cast(kind))).alias("got"))
+
+        both = F.zip_with(lines, each, lambda u, x: F.struct(u.alias("u"), x.alias("x")))
+        return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("got")), add, lambda acc: acc["got"])
+
+    def apart(spans: Column) -> Column:
+        def add(got: Column, x: Column) -> Column:
+            last = F.element_at(got, -1)
+            better = (x["r"] > last["r"]) | ((x["r"] == last["r"]) & (x["t"] == 0))
+            return (
+                F.when(F.size(got) == 0, F.array(x)).when(last["e"] < x["s"], F.concat(got, F.array(x))).when((last["t"] == 0) & (x["e"] <= last["e"]), got)
+                .when(better, F.concat(F.slice(got, 1, F.size(got) - 1), F.array(x))).otherwise(got)
+            )
+
+        return F.aggregate(F.sort_array(spans), F.array().cast(kind), add)
+
+    def hits(clean: Column) -> Column:
+        value = lambda xs: F.transform(xs, lambda x: F.struct(x["d"].alias("d"), x["i"].alias("i")))
+
+        def unit(u: Column) -> Column:
+            long = F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) >= least
+            return F.when(long, _let(F.split(u, " "), lambda w: _let(bigrams(w), best)))
+
+        def wide(lines: Column, each: Column) -> Column:
+            own = pairs(F.split(F.array_join(F.filter(lines, lambda u: u != ""), " "), " "))
+            return apart(F.concat(line_spans(lines, each), _let(own, windows).cast(kind)))
+
+        def of(lines: Column, each: Column) -> Column:
+            whole = F.when(F.size(lines) > 1, unit(F.array_join(F.filter(lines, lambda u: u != ""), " "))).otherwise(each[0])
+            own = F.filter(each, lambda x: x.isNotNull())
+            return _let(whole, lambda x: F.when(x.isNull(), value(wide(lines, each))).when(F.size(lines) > 1, value(F.concat(own, F.array(x)))).otherwise(value(own)))
+
+        lines = F.transform(F.split(clean, "\n"), lambda u: F.trim(u))
+        return _let(lines, lambda ls: _let(F.transform(ls, unit), lambda each: of(ls, each)))
 
     def some(value: Column, parts: list[str]) -> Column:
         return reduce(lambda a, b: a | b, [F.contains(value, F.lit(x)) for x in parts])
@@ -105,7 +188,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     maybe = lambda low: some(low, rare) | low.rlike("|".join(short)) if short else some(low, rare)
     clean = lambda low: F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\n]+", " "), r" ?\n[ \n]*", "\n")
     flat = lambda c: F.replace(c, F.lit("\n"), F.lit(" "))
-    full = lambda low: _let(clean(low), lambda c: _let(flat(c), lambda f: F.when(some(f, needed), hits(c, f))))
+    full = lambda low: _let(clean(low), lambda c: _let(flat(c), lambda f: F.when(some(f, needed), hits(c))))
     found = _let(F.lower(F.col(text)), lambda low: F.when(maybe(low), full(low)))
     names = F.array(*map(F.lit, known))
     keep = docs.columns if keep is None else keep

@@ -283,6 +283,25 @@ def test_licenses(spark, docs):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licenses_wrapped_or_among_other_words(spark):
+    some = lambda n, k: " ".join(f"w{k}x{i}" for i in range(n))
+    wrap = lambda name, n=6: "\n".join(" * " + " ".join(w[i : i + n]) for w in [licenses.TEMPLATES[name].split()] for i in range(0, len(w), n))
+    long = "\n".join(some(9, k) for k in range(40))
+    cases = [
+        ("See the docs for more. The code here is licensed under the Apache License, Version 2.0.", "Apache-2.0", 1, 1.0),
+        (f"{long}\n{wrap('Apache-2.0-header')}\n{long}", "Apache-2.0-header", 1, 1.0),
+        (f"MIT License\n\nCopyright (c) 2020 A B\n\n{wrap('MIT-grant', 12)}\n\n{long}", "MIT-grant", 1, 1.0),
+        (f"{some(30, 1)} {licenses.TEMPLATES['GPL-3.0-header']} {some(30, 2)}", "GPL-3.0-header", 1, 1.0),
+        (f"{long}\n{wrap('MIT-grant').replace('sublicense', 'x')}\n{long}", "MIT-grant", 1, 2 * 60 / 124),
+        (f"{long}\nReleased under the MIT License.\n{long}\n{wrap('GPL-3.0-header')}\n{some(5, 3)} {licenses.TEMPLATES['MIT']} {some(9, 4)}", "GPL-3.0-header", 3, 1.0),
+        (f"{long} the license, the license; of the general public license", None, 0, None),
+        ("of the license the license " * 3000 + long, None, 0, None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id int, text string")
+    got = {r["doc_id"]: (r["license"], r["n_hits"], r["dice"]) for r in licenses.scan(df).collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((300, 24)).astype(float)
