@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom import registry
 from lexloom.functions import text as T
 from lexloom.functions import urls as U
 from lexloom.operators import model as M
@@ -26,6 +27,15 @@ def test_ngrams_stop_at_dropped_words(spark):
     assert got == ["A", "A B", "B", "C"]
 
 
+def test_ngram_model_has_words_of_up_to_100(spark, tmp_path):
+    long, over = "Donaudampfschiff" * 6 + "ABCD", "x" * 101
+    docs = [(1, f"one {long} two {over} three", "de"), (2, "one two", "de")]
+    spark.createDataFrame(docs, "doc_id int, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["term"]: (r["freq"], r["prob"]) for r in registry.QUERIES["ngram_model"](spark, str(tmp_path)).collect()}
+    a = long.upper()
+    assert got == {"ONE": (2, 2 / 6), "TWO": (2, 2 / 6), a: (1, 1 / 6), "THREE": (1, 1 / 6), f"ONE {a}": (1, 1 / 6), f"{a} TWO": (1, 1 / 6), f"ONE {a} TWO": (1, 1 / 6), "ONE TWO": (1, 1 / 6)}
+
+
 def test_model_text(spark, tmp_path):
     path = tmp_path / "m.txt"
     path.write_text("#\thdr\n#x\nA\t0.5\nB\t\t1.5E-07\n")
