@@ -7,9 +7,10 @@ text never fails: its characters come out singly with probability 0.
 
 Two plans give the same result. `segment` sends the model to the executors as
 sorted hash arrays, which is done for models up to MAX_TERMS terms, and scores
-all positions of a batch by array operations; nothing is shuffled. Larger
-models take `segment_by_join`: candidate substrings are joined with the model
-and folded by column expressions.
+all positions of a batch by array operations; nothing is shuffled. It gives
+larger models to the plan of `segment_by_join`: candidate substrings of the
+distinct texts are joined with the model and folded by column expressions, whose
+work grows with the square of a text's length. Streams can't take that plan.
 """
 
 from __future__ import annotations
@@ -180,6 +181,19 @@ def lexicons(model: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, Lexicon]
     n = model.count()
     if n > max_terms:
         raise ValueError(f"{n} terms are over {max_terms}: use segment_by_join")
+    return _collected(model)
+
+
+def prepared(model: DataFrame) -> dict[str, Lexicon] | DataFrame:
+    """The model by language if it has up to MAX_TERMS terms, else as it is; segment() takes both."""
+    return model if model.count() > MAX_TERMS else _collected(model)
+
+
+def languages(model: dict[str, Lexicon] | DataFrame) -> list[str]:
+    return sorted(model if isinstance(model, dict) else [r[0] for r in model.select("lang").distinct().collect()])
+
+
+def _collected(model: DataFrame) -> dict[str, Lexicon]:
     rows = model.select("lang", "term", "prob").toArrow()
     by: dict[str, tuple[list[str], list[float]]] = {}
     for lang, term, prob in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
@@ -193,16 +207,20 @@ def segment(df: DataFrame, model: DataFrame | dict[str, Lexicon], text: str = "t
     """Adds an array with a struct (lang_idx, lang, score, tps) for each language, in the order of `langs`.
 
     tps has start and len in characters of the text, and the prefix probability.
-    A null or blank text has empty tps, whose score is 0. Works on streams too.
+    A null or blank text has empty tps, whose score is 0. Works on streams too,
+    if the model has up to MAX_TERMS terms.
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    lex = model if isinstance(model, dict) else lexicons(model)
-    langs = sorted(lex) if langs is None else langs
+    lex = model if isinstance(model, dict) else prepared(model)
+    known = languages(lex)
+    langs = known if langs is None else langs
     if not langs:
         raise ValueError("no language models")
-    if missing := [x for x in langs if x not in lex]:
+    if missing := [x for x in langs if x not in known]:
         raise ValueError(f"language not found: {missing}")
+    if not isinstance(lex, dict):
+        return _segment_by_join(df, lex, text, langs, out)
     shared = df.sparkSession.sparkContext.broadcast(lex)  # bounded by MAX_TERMS
     schema = StructType([*df.schema.fields, *_parse_datatype_string(f"{out} array<struct<lang_idx:int,lang:string,score:double,tps:{TPS}>>").fields])
     tp = pa.struct([("start", pa.int32()), ("len", pa.int32()), ("prob", pa.float64())])
@@ -255,17 +273,40 @@ def segment_by_join(texts: DataFrame, model: DataFrame, id_col: str = "text_id",
     Substrings longer than the longest term weigh 0 and never win against the
     single last character, so they aren't made.
     """
+    base = texts.select(F.col(id_col).alias("id"), T.fold_upper(F.col(text)).alias("t"))
+    found = _joined(base, model.select(F.lit("").alias("lang"), "term", "prob"), [""]).select("id", "tps")
+    return texts.select(F.col(id_col).alias("id")).join(found, "id", "left").select(F.col("id").alias(id_col), F.coalesce("tps", F.array().cast(TPS)).alias("tps"))
+
+
+def _segment_by_join(df: DataFrame, model: DataFrame, text: str, langs: list[str], out: str) -> DataFrame:
+    """segment() by joins: equal texts are done once."""
+    if df.isStreaming:
+        raise ValueError(f"streams take models of up to {MAX_TERMS} terms")
+    key = "_text_key"
+    keyed = df.withColumn(key, F.sha2(T.fold_upper(F.col(text)), 256))
+    base = keyed.select(F.col(key).alias("id"), T.fold_upper(F.col(text)).alias("t")).dropDuplicates(["id"])
+    score = F.when(F.exists("tps", lambda x: x["prob"] == 0), MINIMUM).otherwise(F.aggregate("tps", F.lit(0.0), lambda a, x: a + F.log(x["prob"])))
+    each = F.struct("lang", F.struct(score.alias("score"), "tps").alias("r"))
+    found = _joined(base, model.filter(F.col("lang").isin(langs)), sorted(set(langs)))
+    found = found.groupBy(F.col("id").alias(key)).agg(F.map_from_entries(F.collect_list(each)).alias("_by_lang"))  # an entry a language
+    one = lambda k, x: F.struct(F.lit(k).alias("lang_idx"), F.lit(x).alias("lang"), F.coalesce(F.col("_by_lang")[x]["score"], F.lit(0.0)).alias("score"), F.coalesce(F.col("_by_lang")[x]["tps"], F.array().cast(TPS)).alias("tps"))
+    return keyed.join(found, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], F.array(*[one(k, x) for k, x in enumerate(langs)]).alias(out))
+
+
+def _joined(base: DataFrame, model: DataFrame, langs: list[str]) -> DataFrame:
+    """id, lang, tps of each text (id, t: folded) that isn't blank, in each language."""
     longest = model.agg(F.max(F.length("term"))).first()[0] or 1
-    base = texts.select(F.col(id_col).alias("id"), T.fold_upper(F.col(text)).alias("t")).filter(~T.is_blank(F.col("t")))
-    ends = base.withColumn("e", F.explode(F.sequence(F.lit(1), F.length("t"))))
+    ends = base.filter(~T.is_blank(F.col("t"))).withColumn("e", F.explode(F.sequence(F.lit(1), F.length("t"))))
     cand = ends.withColumn("j", F.explode(F.sequence(F.greatest(F.lit(0), F.col("e") - longest), F.col("e") - 1)))
     cand = cand.select("id", "e", "j", F.substring(F.col("t"), F.col("j") + 1, F.col("e") - F.col("j")).alias("term"))
-    known = cand.join(model.select("term", "prob"), "term", "left")
-    free = (F.col("e") - F.col("j") == 1) & ~T.is_letters_or_dash(F.col("term"))
-    g = F.when(free, 1.0).otherwise(F.coalesce("prob", F.lit(0.0)))
-    useful = known.select("id", "e", "j", g.alias("g")).filter("g > 0 OR j = e - 1")
-    rows = useful.groupBy("id", "e").agg(F.sort_array(F.collect_list(F.struct("j", "g"))).alias("c"))  # a substring for each start: bounded
-    folded = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("e", "c"))).alias("ends"))  # a text's own rows
+    model = model.select("lang", "term", "prob")
+    longer = cand.filter("e - j > 1").join(model.filter("prob > 0"), "term").select("id", "lang", "e", "j", F.col("prob").alias("g"))
+    # The last character alone is a candidate in every language, known or not.
+    single = cand.filter("e - j = 1").withColumn("lang", F.explode(F.array(*map(F.lit, langs)))).join(model, ["lang", "term"], "left")
+    g = F.when(T.is_letters_or_dash(F.col("term")), F.coalesce("prob", F.lit(0.0))).otherwise(1.0)
+    useful = longer.unionByName(single.select("id", "lang", "e", "j", g.alias("g")))
+    rows = useful.groupBy("id", "lang", "e").agg(F.sort_array(F.collect_list(F.struct("j", "g"))).alias("c"))  # a substring for each start: bounded
+    folded = rows.groupBy("id", "lang").agg(F.sort_array(F.collect_list(F.struct("e", "c"))).alias("ends"))  # a text's own rows
     zero = F.struct(F.lit(0.0).alias("q"), F.lit(0).alias("j"))
 
     def step(acc: Column, end: Column) -> Column:
@@ -273,7 +314,7 @@ def segment_by_join(texts: DataFrame, model: DataFrame, id_col: str = "text_id",
         return F.struct(F.concat(acc["p"], F.array(pick["q"])).alias("p"), F.concat(acc["b"], F.array(pick["j"])).alias("b"))
 
     state = F.aggregate("ends", F.struct(F.array(F.lit(1.0)).alias("p"), F.array(F.lit(0)).alias("b")), step)
-    done = folded.select("id", F.size("ends").alias("n"), state.alias("s"))
+    done = folded.select("id", "lang", F.size("ends").alias("n"), state.alias("s"))
     back = F.aggregate(
         F.sequence(F.lit(1), F.col("n")),
         F.struct(F.col("n").alias("at"), F.array().cast(TPS).alias("tps")),
@@ -285,5 +326,4 @@ def segment_by_join(texts: DataFrame, model: DataFrame, id_col: str = "text_id",
             ),
         ).otherwise(a),
     )
-    found = done.select("id", back["tps"].alias("tps"))
-    return texts.select(F.col(id_col).alias("id")).join(found, "id", "left").select(F.col("id").alias(id_col), F.coalesce("tps", F.array().cast(TPS)).alias("tps"))
+    return done.select("id", "lang", back["tps"].alias("tps"))

@@ -248,9 +248,7 @@ def console_lines(spark, sf_dir):
 def line_segments(spark, sf_dir):
     """V4 over whole documents: each line without its spaces, in its own language (offsets are in the joined line)."""
     lines = _docs(spark, sf_dir).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("text", T.no_spaces(F.col("line")))
-    lex = S.lexicons(_model(spark, sf_dir))
-    langs = sorted(lex)
-    out = S.segment(lines.drop("line"), lex, "text", langs).withColumn("one", S.best())
+    out = S.segment(lines.drop("line"), _model(spark, sf_dir)).withColumn("one", S.best())
     return out.select("doc_id", "line_no", "one.lang", F.size("one.tps").alias("n_terms"), F.try_element_at("one.tps", F.lit(-1))["prob"].alias("prob"))
 
 
@@ -258,8 +256,8 @@ def line_segments(spark, sf_dir):
 def request_responses(spark, sf_dir):
     """A JSON response for each turn, any language."""
     asked = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn", F.xxhash64("text")).alias("request_id"), "text", F.lit("any").alias("lang"))
-    lex = S.lexicons(_model(spark, sf_dir))
-    return R.respond(asked.dropDuplicates(["request_id"]), lex, sorted(lex))
+    model = S.prepared(_model(spark, sf_dir))
+    return R.respond(asked.dropDuplicates(["request_id"]), model, S.languages(model))
 
 
 @query()

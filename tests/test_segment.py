@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom import registry
 from lexloom.operators import segment as S
 from lexloom.plans import requests as R
 
@@ -84,6 +85,36 @@ def test_join_form_agrees(spark):
     assert got == {i: brute(t, TOY) if t else [] for i, t in enumerate(texts)}
 
 
+def test_large_models_take_the_join(spark, monkeypatch):
+    rows = [("a", "IT", 0.01), ("a", "IS", 0.02), ("b", "ITIS", 0.001), ("b", "IT", 0.02), ("c", "IT", 0.05)]
+    model = spark.createDataFrame(rows, "lang string, term string, prob double")
+    df = spark.createDataFrame([(1, "ITIS"), (2, "itis"), (2, "itis"), (3, None), (4, "  "), (5, ""), (6, "it is–X 1"), (7, "isit" * 30)], "n int, text string")
+
+    def plain(langs):
+        return sorted((r["n"], r["text"] or "", [(x["lang_idx"], x["lang"], round(x["score"], 9), [tuple(t) for t in x["tps"]]) for x in r["results"]]) for r in S.segment(df, model, langs=langs).collect())
+
+    want = [plain(None), plain(["c", "a"])]
+    schema = S.segment(df, model).schema["results"].dataType.simpleString()
+    monkeypatch.setattr(S, "MAX_TERMS", 4)
+    assert "MapInArrow" not in S.segment(df, model)._jdf.queryExecution().toString()
+    assert [plain(None), plain(["c", "a"])] == want and S.segment(df, model).schema["results"].dataType.simpleString() == schema
+    with pytest.raises(ValueError, match="language not found"):
+        S.segment(df, model, langs=["x"])
+
+
+def test_queries_with_large_models(spark, monkeypatch, tmp_path):
+    docs = [(1, "it is to read\nto read it", "en"), (2, "es ist gut zu lesen\n\ngut", "de"), (3, None, "en"), (4, "it is good", "en")]
+    spark.createDataFrame(docs, "doc_id int, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    talks = [("c1", 0, "itis toread"), ("c1", 1, "esistgut"), ("c2", 0, " "), ("c2", 1, "gut, 1x")]
+    spark.createDataFrame(talks, "conv_id string, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    names = ["viterbi_terms", "best_language", "all_languages", "routed_language", "console_lines", "line_segments", "request_responses"]
+    rows = lambda: {k: sorted(map(str, registry.QUERIES[k](spark, str(tmp_path)).collect())) for k in names}
+    want = rows()
+    monkeypatch.setattr(S, "MAX_TERMS", 3)
+    assert all(want.values()) and rows() == want
+    assert not any("MapInArrow" in registry.QUERIES[k](spark, str(tmp_path))._jdf.queryExecution().toString() for k in names)
+
+
 def test_responses(spark):
     model = spark.createDataFrame([("en", "IT", 0.01), ("en", "IS", 0.02), ("de", "ES", 0.1)], "lang string, term string, prob double")
     df = spark.createDataFrame([(1, "Itis itis", "EN"), (2, " ", "any"), (3, "es", None)], "request_id int, text string, lang string")
