@@ -15,6 +15,7 @@ is `und`. Rows with a null lang are never learned from.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from unicodedata import normalize
@@ -244,8 +245,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
     Each language gives about `sample_docs` documents, drawn by the hash of id
     and text, to the model, and as many others to the calibration; both bounds
-    are on rows alone, and whole texts are used. What the driver holds are the
-    distinct strings of four characters in those.
+    are on rows alone, and whole texts are used. Of a language with fewer than
+    `sample_docs` all are in the model; its rejection is calibrated on one half
+    by a model of the other. What the driver holds are the distinct strings of
+    four characters in those.
     """
     spark = docs.sparkSession
     learn = ~(F.coalesce(crc_mod(doc_id), F.lit(0)) == 2) if learn is None else learn
@@ -278,9 +281,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     counts: dict[int, dict[str, dict[str, int]]] = {0: {}, 1: {}}
     for r in counted.collect():
         counts[r["part"]].setdefault(r["lang"], {})[r["gram"]] = r["n"]
-    model = compile_model(counts[0] if len(counts[0]) >= len(counts[1]) else counts[1])
     fitted = 0 if len(counts[0]) >= len(counts[1]) else 1
-    got = _annotate(chosen.filter(F.col("part") == 1 - fitted), model, "text", ["lang"]).filter("lang = lang_pred")
+    half = model = compile_model(counts[fitted])
+    few = {r["lang"] for r in sizes if r["n"] < sample_docs} & counts[1 - fitted].keys()
+    if few:
+        both = {x: dict(Counter(counts[0].get(x, {})) + Counter(counts[1].get(x, {}))) for x in few}
+        model = compile_model(counts[fitted] | both)
+    got = _annotate(chosen.filter(F.col("part") == 1 - fitted), half, "text", ["lang"]).filter("lang = lang_pred")
     rows = got.select("lang", "cross_entropy", "n_letters").limit(8 * sample_docs * len(sizes)).collect()
     for j, lang_j in enumerate(model.langs):
         h, n = (np.array([r[i] for r in rows if r["lang"] == lang_j], float) for i in (1, 2))

@@ -283,6 +283,15 @@ def test_licenses(spark, docs):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_languages_of_few_documents_are_in_the_model(spark):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghij" if k % 2 else "klmnopqrst", k=6)) for _ in range(60)) for k in range(10)]
+    df = spark.createDataFrame([(k, t, f"l{k}") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    model = langid.fit(df, learn=F.lit(True))
+    assert sorted(model.langs) == sorted(f"l{k}" for k in range(10))
+    assert all(r["lang"] == r["lang_pred"] and not r["rejected"] for r in langid.identify(df, model).collect())
+
+
 def test_licenses_wrapped_or_among_other_words(spark):
     some = lambda n, k: " ".join(f"w{k}x{i}" for i in range(n))
     wrap = lambda name, n=6: "\n".join(" * " + " ".join(w[i : i + n]) for w in [licenses.TEMPLATES[name].split()] for i in range(0, len(w), n))
