@@ -4,7 +4,8 @@ Each page's containers are scored by the text of their paragraphs, less what is
 in links. The best containers vote, with their share of the page's score, for a
 generalised path: the tags from the root with their classes, digits masked.
 Spark adds the votes up by host; the path with most votes is the host's (ties:
-the first by code point). Every page is then extracted again from the
+the first by code point). A container inside an article or main stands for the
+nearest of them, so that what is beside it there is kept. Every page is then extracted again from the
 containers on its host's path. A page that has none on it, or none with text,
 falls back on its own best container.
 
@@ -238,7 +239,14 @@ class Page:
         """The containers of most worth with their shares; the first of equals by order."""
         ranked = sorted(((n, self._worth(n)) for n in self.containers if n.score > 0), key=lambda x: -x[1])[:VOTERS]
         total = sum(w for _, w in ranked)
-        return [(self._whole(n), w / total) for n, w in ranked]
+        return [(self._article(self._whole(n)), w / total) for n, w in ranked]
+
+    def _article(self, n: Node) -> Node:
+        """The nearest article or main (by tag, else by role) that has the container, for headings and leads beside it; else itself."""
+        up = n if n.article else None
+        while up is not None and up.tag not in ("article", "main") and not (up.article and not up.parent.article):
+            up = up.parent.container if up.parent is not None else None
+        return n if up is None else up
 
     def _whole(self, n: Node) -> Node:
         """Like siblings with text (sections of one text) stand for their parent."""

@@ -394,6 +394,13 @@ def test_html(spark, body):
     assert [r["text"] for r in got] == ["\n".join(["Head", P1, P2, P3])] * 3 and got[0]["n_chars"] == len(got[0]["text"])
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div role=main"])
+def test_html_keeps_what_is_beside_the_content_of_an_article(spark, tag):
+    body = "<div class=menu>menu words that are long enough to look like a text</div><{0}><h1>Head</h1><p>A short lead.</p><div class='content'><p>{1}</p><p>{2}</p></div><aside>rel</aside></{3}><p>after</p>"
+    df = spark.createDataFrame([(i, f"http://h.com/{i}", page(body.format(tag, escape(P1), escape(P2), tag.split()[0])), "x") for i in range(2)], PAGES)
+    assert [r["text"] for r in html.extract(df.drop("text")).collect()] == ["\n".join(["Head", "A short lead.", P1, P2])] * 2
+
+
 def test_html_odd(spark):
     data = [(1, None, None, ""), (2, "x", "", ""), (3, "http://a/", "plain  text\n&amp; more", ""), (4, "http://a/", "<p>a<!-- x --><b>b</b>&nbsp; c<p>d<scr", ""), (5, None, "<div " * 5000, ""), (6, "http://a/", "<p x=\"" * 3000, "")]
     got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(data, PAGES).drop("text")).collect()}
