@@ -254,10 +254,17 @@ def line_segments(spark, sf_dir):
 
 @query()
 def request_responses(spark, sf_dir):
-    """A JSON response for each turn, any language."""
-    asked = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn", F.xxhash64("text")).alias("request_id"), "text", F.lit("any").alias("lang"))
+    """A JSON response for each row of conversations, any language.
+
+    The id has conv_id, turn (<null> for a null) and the text's hash; the second and later rows of one id have their number too.
+    """
+    text_hash = F.xxhash64("text").cast("string")
+    parts = [*[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in ("conv_id", "turn")], text_hash]
+    turns = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", *parts).alias("id"), "text")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("text"))
+    asked = turns.withColumn("k", place).select(F.when(F.col("k") > 1, F.concat("id", F.lit("#"), "k")).otherwise(F.col("id")).alias("request_id"), "text", F.lit("any").alias("lang"))
     model = S.prepared(_model(spark, sf_dir))
-    return R.respond(asked.dropDuplicates(["request_id"]), model, S.languages(model))
+    return R.respond(asked, model, S.languages(model))
 
 
 @query()

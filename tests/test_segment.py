@@ -115,6 +115,16 @@ def test_queries_with_large_models(spark, monkeypatch, tmp_path):
     assert not any("MapInArrow" in registry.QUERIES[k](spark, str(tmp_path))._jdf.queryExecution().toString() for k in names)
 
 
+def test_each_row_of_conversations_is_answered(spark, tmp_path):
+    spark.createDataFrame([(1, "it is", "en")], "doc_id int, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    talks = [("3", 3, "itis"), ("3", 3, "itis"), ("3", 3, "itis"), (None, 3, "it"), ("3", None, "it"), (None, None, None), (None, None, None)]
+    spark.createDataFrame(talks, "conv_id string, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["request_id"]: r["response"] for r in registry.QUERIES["request_responses"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(talks) and sorted(k.rpartition("#")[2] for k in got if "#" in k) == ["2", "2", "3"]
+    assert sorted(k[:8] for k in got if "null" in k) == ["3-<null>", "<null>-3", "<null>-<", "<null>-<"]
+    assert sum('"text":"itis"' in v for v in got.values()) == 3 and sum('"err"' in v for v in got.values()) == 2
+
+
 def test_responses(spark):
     model = spark.createDataFrame([("en", "IT", 0.01), ("en", "IS", 0.02), ("de", "ES", 0.1)], "lang string, term string, prob double")
     df = spark.createDataFrame([(1, "Itis itis", "EN"), (2, " ", "any"), (3, "es", None)], "request_id int, text string, lang string")
