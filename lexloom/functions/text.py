@@ -74,11 +74,15 @@ def has_letters(c: Column) -> Column:
 
 
 def has_cyrillic_letters(c: Column, percent: int) -> Column:
-    """Whether so many of a hundred characters are Cyrillic letters, other characters than letters left out."""
-    cyr = F.regexp_count(c, F.lit("[А-яЁё]"))
-    letters = F.regexp_count(c, F.lit(LETTER))
-    enough = (cyr > 0) & (cyr >= F.floor(F.lit(percent) / 100 * F.length(c)))
-    return F.lit(True) if percent <= 0 else enough | ((letters > 0) & (100 * cyr >= percent * letters))
+    """Whether so many of a hundred characters are from А to я, all characters or letters alone counted.
+
+    Shares are single-precision products without their fraction, so one of 0 needs no Cyrillic letter among letters alone.
+    """
+    if percent <= 0:
+        return F.lit(True)
+    share = lambda n: F.floor((F.lit(percent / 100).cast("float") * n.cast("float")).cast("double"))
+    cyr = F.regexp_count(c, F.lit("[А-я]"))
+    return ((cyr > 0) & (cyr >= share(F.length(c)))) | (cyr >= share(F.regexp_count(c, F.lit(LETTER))))
 
 
 def replace_invisible(c: Column) -> Column:

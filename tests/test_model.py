@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,25 @@ def test_fold():
     assert T.fold("straße ёж Ёж éa") == "STRAßE ЕЖ ЕЖ ÉA"
 
 
+@pytest.mark.parametrize("percent", [0, 1, 50, 70, 100])
+def test_cyrillic_share(spark, percent):
+    def reference(t):
+        rate, cyr, other = np.float32(percent) / np.float32(100), 0, 0
+        for ch in t:
+            if "А" <= ch <= "я":
+                cyr += 1
+                if int(rate * np.float32(len(t))) <= cyr:
+                    return True
+            elif not ch.isalpha():
+                other += 1
+        return percent <= 0 or int(rate * np.float32(len(t) - other)) <= cyr
+
+    texts = ["", "1", "a", "ab", "ё", "ёё", "аё", "аb", "аbc", "абвc", "а1 2 3 4", "ab аб", "абв где", "аbcdefghij", "АЯаяЀѐЁё", "привет, world 2020!", "а" * 7 + "b" * 3, "а" * 69 + "b" * 31]
+    df = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    assert [r[0] for r in df.orderBy("item_id").select(T.has_cyrillic_letters(F.col("text"), percent)).collect()] == [reference(t) for t in texts]
+    assert percent <= 0 or spark.createDataFrame([(None,)], "text string").select(T.has_cyrillic_letters(F.col("text"), percent)).first()[0] is None
+
+
 @pytest.fixture(scope="module")
 def names(spark):
     return U.default_names(spark)
