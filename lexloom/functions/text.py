@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ LETTER = r"\p{L}"
 SPACE = r"[\t-\r \x{85}\x{A0}\p{Z}]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once: it is bound to a lambda's variable, which inner lambdas don't make again."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 @lru_cache(maxsize=1)
 def upper_pairs() -> tuple[str, str]:
     """Characters beyond ASCII with an upper-case form of one character, and that form; Ё and ё become Е."""
@@ -100,6 +106,21 @@ def display_size(n: Column) -> Column:
     return F.when(n > 1 << 30, unit(1 << 30, " GB")).when(n > 1 << 20, unit(1 << 20, " MB")).when(n > 1 << 10, unit(1 << 10, " KB")).otherwise(F.concat(n.cast("string"), F.lit(" bytes")))
 
 
+def trim_text(c: Column) -> Column:
+    """Without white space at both ends, the byte order mark counted as such."""
+    return F.regexp_replace(c, r"^[\t-\r \x{FEFF}\p{Z}]+|[\t-\r \x{FEFF}\p{Z}]+\z", "")
+
+
+def wrap_text(c: Column, n: int = 50, mark: str = "<wbr/>") -> Column:
+    """A mark after each n characters."""
+    return F.regexp_replace(c, rf"(?s)(.{{{n}}})", rf"$1{mark}")
+
+
+def limit_text(c: Column, n: int = 10_000) -> Column:
+    """The recommended most of a request's text."""
+    return F.substring(trim_text(c), 1, n)
+
+
 def split_rows(c: Column) -> Column:
     """The pieces of a request's text: cut at line ends and spaces, blank ones dropped."""
     return F.filter(F.split(c, "[\r\n ]"), lambda x: ~is_blank(x))

@@ -25,23 +25,38 @@ def counts(words: DataFrame, by: tuple[str, ...] = ("lang",), term: str = "term"
     return words.groupBy(*by, term).agg(F.count(F.lit(1)).alias("freq"))
 
 
-def ngrams(words: DataFrame, n: int, by: tuple[str, ...] = ("lang",), doc: str = "doc_id", pos: str = "pos", word: str = "word", keep: Column | None = None) -> DataFrame:
-    """by..., term: the n-grams of 1 to n words, joined by a space.
+def grams(words: Column, n: int, own: Column | None = None) -> Column:
+    """The n-grams of 1 to n words of an array, joined by a space; none goes over a null. `own`: so many words at the end count as last words."""
 
-    Words where `keep` fails are dropped, and no n-gram goes across them. The
-    history is a document's, so windows are as long as one document.
+    def sized(w: Column, k: int) -> Column:
+        first = F.lit(1) if own is None else F.greatest(F.lit(1), F.size(w) - own - k + 2)
+        last = F.size(w) - k + 1
+        at = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        whole = lambda g: ~F.exists(g, lambda x: x.isNull())
+        return F.transform(F.filter(F.transform(at, lambda i: F.slice(w, i, k)), whole), lambda g: F.array_join(g, " "))
+
+    return T.let(words, lambda w: F.concat(*[sized(w, k) for k in range(1, n + 1)]))
+
+
+def with_carry(lines: DataFrame, n: int, file: str = "file", split: str = "split", line_no: str = "line_no", words: str = "words", out: str = "carry") -> DataFrame:
+    """Adds the n - 1 words before each line in its file (fewer at its start).
+
+    Lines go by their split of the file, so that no file is one task; what the
+    splits hand on, n - 1 words each, is put in order by file. Lines without
+    words are left out.
     """
-    ok = F.lit(True) if keep is None else keep
-    in_doc = Window.partitionBy(*by, doc).orderBy(pos)
-    run = words.withColumn("_ok", ok).withColumn("_run", F.sum(F.when(F.col("_ok"), 0).otherwise(1)).over(in_doc))
-    run = run.filter("_ok")
-    in_run = Window.partitionBy(*by, doc, "_run").orderBy(pos)
-    grams, joined = [F.col(word)], F.col(word)
-    for k in range(1, n):
-        before = F.lag(word, k).over(in_run)
-        joined = F.when(before.isNotNull(), F.concat(before, F.lit(" "), joined))
-        grams.append(joined)
-    return run.select(*by, F.array(*grams).alias("_grams")).select(*by, F.explode("_grams").alias("term")).filter(F.col("term").isNotNull())
+    if n < 2:
+        return lines.filter(F.size(words) > 0).withColumn(out, F.array().cast("array<string>"))
+    tail = lambda c: F.slice(c, F.greatest(F.lit(1), F.size(c) - n + 2), F.lit(n - 1))
+    none = F.array().cast("array<string>")
+    before = lambda w: tail(F.concat(*[F.coalesce(F.lag("_tail", k).over(w), none) for k in range(n - 1, 0, -1)]))
+    held = lines.filter(F.size(words) > 0).withColumn("_tail", tail(F.col(words)))
+    held = held.withColumn("_before", before(Window.partitionBy(file, split).orderBy(line_no)))
+    # The last words of a split may be from several of its lines.
+    last = held.groupBy(file, split).agg(F.max_by(tail(F.concat("_before", "_tail")), line_no).alias("_tail"))
+    handed = last.select(F.col(file).alias("_file"), F.col(split).alias("_split"), before(Window.partitionBy(file).orderBy(split)).alias("_handed"))
+    both = held.join(handed, (F.col(file) == F.col("_file")) & (F.col(split) == F.col("_split")))
+    return both.withColumn(out, tail(F.concat("_handed", "_before"))).drop("_tail", "_before", "_file", "_split", "_handed")
 
 
 def probabilities(freqs: DataFrame, cut_percent: float | None = None, by: tuple[str, ...] = ("lang",), totals: DataFrame | None = None) -> DataFrame:
@@ -77,13 +92,21 @@ def probabilities(freqs: DataFrame, cut_percent: float | None = None, by: tuple[
     return out.join(total, list(by)).select(*by, "term", "freq", (F.col("freq") / F.col("_words")).alias("prob"))
 
 
-def build(words: DataFrame, cut_percent: float | None = None, n: int = 1, by: tuple[str, ...] = ("lang",), doc: str = "doc_id", **filters) -> DataFrame:
-    """A model from by..., doc, pos, word. An empty corpus is an error, as it has no probabilities."""
-    ok = kept(F.col("word"), **filters)
-    singles = counts(words.filter(ok).withColumnRenamed("word", "term"), by)
-    if n == 1:
-        return probabilities(singles, cut_percent, by)
-    return probabilities(counts(ngrams(words, n, by, doc, keep=ok), by), cut_percent, by, singles)
+def build(words: DataFrame, cut_percent: float | None = None, by: tuple[str, ...] = ("lang",), **filters) -> DataFrame:
+    """A unigram model from by..., word; no words, no rows."""
+    return probabilities(counts(words.filter(kept(F.col("word"), **filters)).withColumnRenamed("word", "term"), by), cut_percent, by)
+
+
+def build_ngrams(tokens: DataFrame, n: int, cut_percent: float | None = None, by: tuple[str, ...] = ("lang",), words: str = "words", carry: str | None = None, **filters) -> DataFrame:
+    """A model of 1 to n words from by..., words: an array a document, or a line with what is carried into it.
+
+    Words that the filters drop break the history. Nothing is shuffled but counts.
+    """
+    only = lambda c: F.transform(c, lambda w: F.when(kept(w, **filters), w))
+    every = only(F.col(words)) if carry is None else only(F.concat(carry, words))
+    found = tokens.select(*by, F.explode(grams(every, n, None if carry is None else F.size(words))).alias("term"))
+    size = F.size(F.filter(F.col(words), lambda w: kept(w, **filters)))
+    return probabilities(counts(found, by), cut_percent, by, tokens.groupBy(*by).agg(F.sum(size).alias("freq")))
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:

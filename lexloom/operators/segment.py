@@ -6,11 +6,13 @@ letter or dash, else 0. Emitted probabilities are those of the prefix. Unknown
 text never fails: its characters come out singly with probability 0.
 
 Two plans give the same result. `segment` sends the model to the executors as
-sorted hash arrays, which is done for models up to MAX_TERMS terms, and scores
-all positions of a batch by array operations; nothing is shuffled. It gives
-larger models to the plan of `segment_by_join`: candidate substrings of the
-distinct texts are joined with the model and folded by column expressions, whose
-work grows with the square of a text's length. Streams can't take that plan.
+sorted hash arrays, which is done for models up to MAX_TERMS terms; nothing is
+shuffled. Substrings are looked for from each start on while some term begins
+so, for all languages at once, and the recurrence goes over blocks of positions
+of texts side by side, so that memory is bounded by the block whatever a text's
+length. `segment` gives larger models to the plan of `segment_by_join`:
+candidate substrings of the distinct texts are joined with the model and folded
+text by text. Streams can't take that plan.
 """
 
 from __future__ import annotations
@@ -21,17 +23,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import materialise
 
-#: A model of so many terms at most is sent to executors: 24 bytes a term.
+#: A model of so many terms at most is sent to executors: about 32 bytes a term.
 MAX_TERMS = 8_000_000
 TPS = "array<struct<start:int,len:int,prob:double>>"
+TERM_TPS = TPS.replace("start", "term:string,start")
 MINIMUM = -1.7976931348623157e308
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_POSITIONS = 1 << 16
+#: Positions of texts side by side; positions and cells (position, length, language, text) of a block.
+_POSITIONS, _BLOCK, _CELLS = 1 << 16, 4096, 1 << 22
+#: Characters, and rows, of texts that are worked on at a time.
+_CHARS, _ROWS = 1 << 20, 2048
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -39,69 +47,79 @@ def _spread(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _rolling(cp: np.ndarray, base: np.uint64, longest: int) -> Iterator[np.ndarray]:
-    """For lengths 1, 2, ...: the hash of the characters that end at each place, where that many are there."""
-    h = np.zeros(len(cp), np.uint64)
-    power = np.uint64(1)
-    code = cp.astype(np.uint64) + np.uint64(1)
-    with np.errstate(over="ignore"):
-        for n in range(1, longest + 1):
-            h = h.copy()
-            h[n - 1 :] += code[: len(code) - n + 1] * power
-            power = power * base
-            yield _spread(h)
-
-
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 @dataclass
 class Lexicon:
-    """A model's terms as sorted hashes, with a second hash to tell others apart."""
+    """The terms of all languages as sorted hashes, with a second hash to tell others apart."""
 
+    langs: list[str]
     first: np.ndarray
     second: np.ndarray
+    start: np.ndarray  # where each term's entries begin
+    lang: np.ndarray  # an entry: the place of its language, and the term's probability there
     prob: np.ndarray
     longest: int
-    seen: np.ndarray  # by leading bits: whether some term's hash has them
+    heads: np.ndarray  # bits by leading bits of a hash: whether some term begins so
 
     @staticmethod
-    def of(terms: list[str], probs: list[float]) -> Lexicon:
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        by: dict[int, list[int]] = {}
-        for i, t in enumerate(terms):
-            if t:
-                by.setdefault(len(t), []).append(i)
-        p = np.asarray(probs, float)
-        with np.errstate(over="ignore"):
-            for n, at in by.items():
-                cp = _codes("".join(terms[i] for i in at)).reshape(-1, n).astype(np.uint64) + np.uint64(1)
-                hs = []
-                for base in (_A, _B):
-                    h, power = np.zeros(len(at), np.uint64), np.uint64(1)
-                    for k in range(n - 1, -1, -1):
-                        h += cp[:, k] * power
-                        power = power * base
-                    hs.append(_spread(h))
-                parts.append((*hs, p[at]))
-        if not parts:
-            return Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0), 1, np.zeros(2, bool))
-        a, b, v = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(a, kind="stable")
-        seen = np.zeros(1 << min(26, len(a).bit_length() + 4), bool)
-        seen[a >> np.uint64(65 - len(seen).bit_length())] = True
-        return Lexicon(a[order], b[order], v[order], max(by), seen)
+    def of(rows: pa.Table) -> Lexicon:
+        """From lang, term, prob; of a repeated term of a language the first counts."""
+        rows = rows.filter(pa.compute.greater(pa.compute.utf8_length(rows["term"]), 0))
+        names = rows["lang"].combine_chunks().dictionary_encode() if rows.num_rows else None
+        langs = sorted(names.dictionary.to_pylist()) if names is not None else []
+        n = rows.num_rows
+        a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        if not n:
+            return Lexicon([], a, b, np.zeros(1, np.int64), np.zeros(0, np.int16), np.zeros(0), 1, np.zeros(1, np.uint8))
+        size = np.asarray(pa.compute.utf8_length(rows["term"])).astype(np.int64)
+        bits = int(max(3, min(32, (4 * int(size.sum())).bit_length())))
+        heads = np.zeros(1 << (bits - 3), np.uint8)
+        at = 0
+        for part in rows["term"].chunks:
+            for k in range(0, len(part), 1 << 18):
+                terms = part.slice(k, 1 << 18)
+                here = size[at : at + len(terms)]
+                code = _codes("".join(terms.to_pylist())).astype(np.uint64) + np.uint64(1)
+                begin = np.cumsum(here) - here
+                with np.errstate(over="ignore"):
+                    live = np.arange(len(terms))
+                    for i in range(int(here.max(initial=0))):
+                        live = live[here[live] > i]
+                        c = code[begin[live] + i]
+                        a[at + live] = a[at + live] * _A + c
+                        b[at + live] = b[at + live] * _B + c
+                        h = _spread(a[at + live]) >> np.uint64(64 - bits)
+                        np.bitwise_or.at(heads, h >> np.uint64(3), (1 << (h & np.uint64(7))).astype(np.uint8))
+                at += len(terms)
+        a, b = _spread(a), _spread(b)
+        place = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int16)
+        lang, prob = place[np.asarray(names.indices)], np.asarray(rows["prob"]).astype(float)
+        order = np.lexsort((lang, b, a))
+        a, b, lang, prob = a[order], b[order], lang[order], prob[order]
+        term = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        entry = term | np.concatenate([[True], lang[1:] != lang[:-1]])
+        start = np.cumsum(entry)[term] - 1
+        return Lexicon(langs, a[term], b[term], np.append(start, entry.sum()), lang[entry], prob[entry], int(size.max()), heads)
+
+    def begins(self, h: np.ndarray) -> np.ndarray:
+        """Whether some term may begin with what has this hash."""
+        at = h >> np.uint64(64 - (len(self.heads).bit_length() + 2))
+        return (self.heads[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
     def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a))
-        if not len(self.first):
-            return out
-        some = np.flatnonzero(self.seen[a >> np.uint64(65 - len(self.seen).bit_length())])
-        a, b = a[some], b[some]
+        """The place of the term with these hashes, or -1."""
         at = np.minimum(np.searchsorted(self.first, a), len(self.first) - 1)
-        out[some] = np.where((self.first[at] == a) & (self.second[at] == b), self.prob[at], 0.0)
-        return out
+        # Terms that share the first hash are next to each other.
+        while len(clash := np.flatnonzero((self.first[at] == a) & (self.second[at] < b))) and (at[clash] + 1 < len(self.first)).any():
+            clash = clash[at[clash] + 1 < len(self.first)]
+            clash = clash[self.first[at[clash] + 1] == a[clash]]
+            if not len(clash):
+                break
+            at[clash] += 1
+        return np.where((self.first[at] == a) & (self.second[at] == b), at, -1)
 
 
 def _free(ch: str) -> bool:
@@ -119,121 +137,228 @@ def _free_codes(cp: np.ndarray) -> np.ndarray:
     return _free_table[cp]
 
 
-def viterbi(texts: list[str], lexicon: Lexicon) -> list[list[tuple[int, int, float]]]:
-    """start, length and prefix probability of each word of each (upper-cased) text."""
-    out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+@dataclass
+class Words:
+    """The words of texts in one language, text by text."""
+
+    text: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    prob: np.ndarray
+
+    def scores(self, n: int) -> np.ndarray:
+        """Of n texts: the sum of logarithms; the smallest number there is if a probability is 0."""
+        zero = self.prob == 0
+        total = np.bincount(self.text, np.log(np.where(zero, 1.0, self.prob)), n)
+        return np.where(np.bincount(self.text[zero], minlength=n) > 0, MINIMUM, total)
+
+
+def viterbi(texts: list[str], lexicon: Lexicon, langs: list[str]) -> list[Words]:
+    """The words of each (upper-cased) text in each language."""
+    want = [lexicon.langs.index(x) for x in langs]
+    parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in langs]
     # Texts of like lengths go through the recurrence side by side.
-    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
     group: list[int] = []
-    for i in order:
-        if group and (len(group) + 1) * len(texts[i]) > _POSITIONS:
-            _group(group, texts, lexicon, out)
+    for i in [*sorted(range(len(texts)), key=lambda i: len(texts[i])), None]:
+        if group and (i is None or (len(group) + 1) * len(texts[i]) > _POSITIONS):
+            for k, found in enumerate(_group([texts[j] for j in group], lexicon, want)):
+                parts[k].append((np.array(group)[found[0]], *found[1:]))
             group = []
-        group.append(i)
-    if group:
-        _group(group, texts, lexicon, out)
+        if i is not None and texts[i]:
+            group.append(i)
+    out = []
+    for found in parts:
+        text, start, length, prob = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, t) for t in (np.int64, np.int32, np.int32, float))
+        order = np.argsort(text, kind="stable")
+        out.append(Words(text[order], start[order], length[order], prob[order]))
     return out
 
 
-def _group(group: list[int], texts: list[str], lexicon: Lexicon, out: list) -> None:
-    size, rows = max(len(texts[i]) for i in group), len(group)
-    if not size:
-        return
-    longest = min(lexicon.longest, size)
-    lengths = np.array([len(texts[i]) for i in group])
-    cp = _codes("".join(texts[i].ljust(size, "\0") for i in group))
-    place = np.tile(np.arange(size), rows)
-    g = np.empty((longest, rows, size))
-    for n, (a, b) in enumerate(zip(_rolling(cp, _A, longest), _rolling(cp, _B, longest), strict=True), 1):
-        v = np.zeros(len(cp))
-        there = place >= n - 1  # windows over the start of a text don't count
-        v[there] = lexicon.find(a[there], b[there])
-        if n == 1:
-            v = np.where(_free_codes(cp), 1.0, v)
-        g[n - 1] = v.reshape(rows, size)
-    p = np.zeros((rows, size + 1))
-    p[:, 0] = 1
-    step = np.zeros((rows, size + 1), np.int32)
-    for i in range(1, size + 1):
-        k = min(i, longest)
-        q = p[:, i - k : i][:, ::-1] * g[:k, :, i - 1].T  # the nearest start first, which wins among equals
-        best = q.argmax(axis=1)
-        p[:, i] = q[np.arange(rows), best]
-        step[:, i] = best + 1
-    for row, i in enumerate(group):
-        at, found = int(lengths[row]), []
-        while at > 0:
-            n = int(step[row, at])
-            found.append((at - n, n, float(p[row, at])))
-            at -= n
-        out[i] = found[::-1]
+def _substrings(codes: np.ndarray, lengths: np.ndarray, lo: int, hi: int, lex: Lexicon) -> tuple[np.ndarray, ...]:
+    """row, end, length, term of each term that starts in lo..hi - 1 of a row."""
+    row, at = np.divmod(np.arange(codes.shape[0] * (hi - lo)), hi - lo)
+    at += lo
+    a, b = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
+    found = []
+    with np.errstate(over="ignore"):
+        for n in range(1, lex.longest + 1):
+            inside = at + n <= lengths[row]
+            if not inside.all():
+                row, at, a, b = row[inside], at[inside], a[inside], b[inside]
+            c = codes[row, at + n - 1].astype(np.uint64) + np.uint64(1)
+            a, b = a * _A + c, b * _B + c
+            h = _spread(a)
+            live = np.flatnonzero(lex.begins(h))
+            if not len(live):
+                break
+            row, at, a, b = row[live], at[live], a[live], b[live]
+            term = lex.find(h[live], _spread(b))
+            hit = np.flatnonzero(term >= 0)
+            found.append((row[hit], at[hit] + n, np.full(len(hit), n), term[hit]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(4))
+
+
+def _group(texts: list[str], lex: Lexicon, want: list[int]) -> list[tuple[np.ndarray, ...]]:
+    """For each wanted language: text, start, length, prob of all words."""
+    rows, size, kinds = len(texts), max(map(len, texts)), len(want)
+    lengths = np.array(list(map(len, texts)))
+    codes = _codes("".join(t.ljust(size, "\0") for t in texts)).reshape(rows, size)
+    slots = [np.flatnonzero(np.array(want) == x) for x in range(len(lex.langs))]
+    p = np.zeros((size + 1, kinds, rows))
+    p[0] = 1
+    step = np.ones((size + 1, kinds, rows), np.int16 if lex.longest < 1 << 15 else np.int32)
+    width = max(1, min(_BLOCK, _CELLS // (rows * kinds * min(lex.longest, 32))))
+    kept: tuple[np.ndarray, ...] = tuple(np.zeros(0, np.int64) for _ in range(4))
+    for lo in range(0, size, width):
+        if not p[max(0, lo - lex.longest + 1) : lo + 1].any():
+            break  # nothing in reach but zeros: the rest comes out singly with probability 0
+        hi = min(lo + width, size)
+        found = tuple(map(np.concatenate, zip(kept, _substrings(codes, lengths, lo, hi, lex), strict=True)))
+        later = found[1] > hi
+        kept = tuple(x[later] for x in found)
+        row, end, n, term = (x[~later] for x in found)
+        longest = int(n.max(initial=1))
+        g = np.zeros((hi - lo, longest, kinds, rows))
+        count = lex.start[term + 1] - lex.start[term]
+        entry = np.repeat(lex.start[term] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        row, end, n = np.repeat(row, count), np.repeat(end, count), np.repeat(n, count)
+        for x, at in enumerate(slots):
+            here = np.flatnonzero(lex.lang[entry] == x) if len(at) else ()
+            for s in at:
+                g[end[here] - lo - 1, n[here] - 1, s, row[here]] = lex.prob[entry[here]]
+        free = (_free_codes(codes[:, lo:hi]) & (np.arange(lo, hi) < lengths[:, None])).T
+        g[:, 0] = np.where(free[:, None, :], 1.0, g[:, 0])
+        for i in range(lo + 1, hi + 1):
+            k = min(i, longest)
+            np.max(p[i - k : i][::-1] * g[i - lo - 1, :k], axis=0, out=p[i])
+        for k in range(longest, 0, -1):  # the nearest start last: it wins among equals
+            first = max(lo + 1, k)
+            same = p[first - k : hi + 1 - k] * g[first - lo - 1 :, k - 1] == p[first : hi + 1]
+            step[first : hi + 1][same] = k
+    out = []
+    for s in range(kinds):
+        if rows < 4:
+            ends = [(np.full(len(e), r), e) for r in range(rows) for e in [_trace(step[:, s, r], int(lengths[r]))]]
+            row, end = (np.concatenate(x) for x in zip(*ends, strict=True))
+        else:
+            mark, at, live = np.zeros((rows, size + 1), bool), lengths.copy(), np.arange(rows)
+            while len(live):
+                mark[live, at[live]] = True
+                at[live] -= step[at[live], s, live]
+                live = live[at[live] > 0]
+            row, end = np.nonzero(mark)
+        n = step[end, s, row].astype(np.int32)
+        out.append((row, end.astype(np.int32) - n, n, p[end, s, row]))
+    return out
 
 
-def score(tps: list[tuple[int, int, float]]) -> float:
-    """The sum of logarithms; the smallest number there is if a probability is 0."""
-    if any(p == 0 for _, _, p in tps):
-        return MINIMUM
-    return float(np.log([p for _, _, p in tps]).sum()) if tps else 0.0
+def _trace(step: np.ndarray, at: int) -> np.ndarray:
+    """The ends of the words of one text, rising."""
+    back, ends = memoryview(np.ascontiguousarray(step)), []
+    while at > 0:
+        ends.append(at)
+        at -= back[at]
+    return np.array(ends[::-1], np.int64)
 
 
-def lexicons(model: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, Lexicon]:
-    """The model by language. Its size is checked before anything is collected."""
-    n = model.count()
-    if n > max_terms:
-        raise ValueError(f"{n} terms are over {max_terms}: use segment_by_join")
-    return _collected(model)
+def lexicon(model: DataFrame, max_terms: int | None = None) -> Lexicon:
+    """The model as arrays. Its size is checked before anything is collected."""
+    got = prepared(model, max_terms)
+    if not isinstance(got, Lexicon):
+        raise ValueError(f"the model has over {MAX_TERMS if max_terms is None else max_terms} terms: use segment_by_join")
+    return got
 
 
-def prepared(model: DataFrame) -> dict[str, Lexicon] | DataFrame:
-    """The model by language if it has up to MAX_TERMS terms, else as it is; segment() takes both."""
-    return model if model.count() > MAX_TERMS else _collected(model)
+def prepared(model: DataFrame, max_terms: int | None = None) -> Lexicon | DataFrame:
+    """The model as arrays if it has up to MAX_TERMS terms, else as a table; segment() takes both. It is made once."""
+    kept = materialise(model.select("lang", "term", "prob"), "segment-model")
+    return kept if kept.count() > (MAX_TERMS if max_terms is None else max_terms) else Lexicon.of(kept.toArrow())
 
 
-def languages(model: dict[str, Lexicon] | DataFrame) -> list[str]:
-    return sorted(model if isinstance(model, dict) else [r[0] for r in model.select("lang").distinct().collect()])
+def languages(model: Lexicon | DataFrame) -> list[str]:
+    return model.langs if isinstance(model, Lexicon) else sorted(r[0] for r in model.select("lang").distinct().collect())
 
 
-def _collected(model: DataFrame) -> dict[str, Lexicon]:
-    rows = model.select("lang", "term", "prob").toArrow()
-    by: dict[str, tuple[list[str], list[float]]] = {}
-    for lang, term, prob in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
-        a, b = by.setdefault(lang, ([], []))
-        a.append(term)
-        b.append(prob)
-    return {k: Lexicon.of(*v) for k, v in by.items()}
+def _slices(batch: pa.RecordBatch, texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of up to _CHARS characters (a longer text is alone) and _ROWS rows."""
+    lo = chars = 0
+    for i, t in enumerate(texts):
+        if i > lo and (chars + len(t) > _CHARS or i - lo == _ROWS):
+            yield lo, i
+            lo, chars = i, 0
+        chars += len(t)
+    yield lo, len(texts)
 
 
-def segment(df: DataFrame, model: DataFrame | dict[str, Lexicon], text: str = "text", langs: list[str] | None = None, out: str = "results") -> DataFrame:
+def _cut(texts: list[str], kinds: int, length: np.ndarray) -> pa.Array:
+    """The words of all texts, `kinds` times each: they cover their text, so that its bytes need no more than the places of the cuts."""
+    whole = "".join(t for t in texts for _ in range(kinds))
+    code = _codes(whole)
+    size = np.concatenate([[0], np.cumsum(1 + (code > 0x7F).astype(np.int32) + (code > 0x7FF) + (code > 0xFFFF))])
+    ends = size[np.concatenate([[0], np.cumsum(length)])].astype(np.int32)
+    return pa.StringArray.from_buffers(len(length), pa.py_buffer(ends), pa.py_buffer(whole.encode("utf-8", "surrogatepass")))
+
+
+def segment(df: DataFrame, model: DataFrame | Lexicon, text: str = "text", langs: list[str] | None = None, out: str = "results", own: str | None = None, terms: bool = False) -> DataFrame:
     """Adds an array with a struct (lang_idx, lang, score, tps) for each language, in the order of `langs`.
 
     tps has start and len in characters of the text, and the prefix probability.
-    A null or blank text has empty tps, whose score is 0. Works on streams too,
-    if the model has up to MAX_TERMS terms.
+    A null or blank text has empty tps, whose score is 0. `own` names a column
+    with a row's language: it is the only one then, and one that isn't in
+    `langs` (or null) is an error. `terms` adds the words (upper-cased) to tps.
+    Works on streams too, if the model has up to MAX_TERMS terms.
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    lex = model if isinstance(model, dict) else prepared(model)
+    lex = model if isinstance(model, Lexicon) else prepared(model)
     known = languages(lex)
     langs = known if langs is None else langs
     if not langs:
         raise ValueError("no language models")
     if missing := [x for x in langs if x not in known]:
         raise ValueError(f"language not found: {missing}")
-    if not isinstance(lex, dict):
-        return _segment_by_join(df, lex, text, langs, out)
+    if not isinstance(lex, Lexicon):
+        return _segment_by_join(df, lex, text, langs, out, own, terms)
     shared = df.sparkSession.sparkContext.broadcast(lex)  # bounded by MAX_TERMS
-    schema = StructType([*df.schema.fields, *_parse_datatype_string(f"{out} array<struct<lang_idx:int,lang:string,score:double,tps:{TPS}>>").fields])
-    tp = pa.struct([("start", pa.int32()), ("len", pa.int32()), ("prob", pa.float64())])
-    result = pa.list_(pa.struct([("lang_idx", pa.int32()), ("lang", pa.string()), ("score", pa.float64()), ("tps", pa.list_(tp))]))
+    schema = StructType([*df.schema.fields, *_parse_datatype_string(f"{out} array<struct<lang_idx:int,lang:string,score:double,tps:{TERM_TPS if terms else TPS}>>").fields])
+
+    def lists(texts: list[str], owns: list[str | None] | None) -> pa.Array:
+        n = len(texts)
+        if owns is None:
+            each = viterbi(texts, shared.value, langs)
+            kinds, lang = len(langs), np.tile(np.arange(len(langs)), n)
+            scores = np.stack([w.scores(n) for w in each], axis=1).ravel()
+            place = [w.text * kinds + k for k, w in enumerate(each)]
+        else:
+            if wrong := set(owns) - set(langs):
+                raise ValueError(f"language not found: {sorted(map(str, wrong))}")
+            each, place, kinds, lang, scores = [], [], 1, np.array([langs.index(x) for x in owns], int), np.zeros(n)
+            for k in sorted(set(lang.tolist())):
+                at = np.flatnonzero(lang == k)
+                (w,) = viterbi([texts[i] for i in at], shared.value, [langs[k]])
+                each.append(w)
+                place.append(at[w.text])
+                scores[at] = w.scores(len(at))
+        place = np.concatenate(place)
+        order = np.argsort(place, kind="stable")
+        start, length, prob = (np.concatenate([getattr(w, c) for w in each])[order] for c in ("start", "length", "prob"))
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=n * kinds))])
+        fields = {"start": pa.array(start, pa.int32()), "len": pa.array(length, pa.int32()), "prob": pa.array(prob)}
+        if terms:
+            fields = {"term": _cut(texts, kinds, length)} | fields
+        tps = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([*fields.values()], [*fields]))
+        one = pa.StructArray.from_arrays([pa.array(lang, pa.int32()), pa.array([langs[k] for k in lang]), pa.array(scores), tps], ["lang_idx", "lang", "score", "tps"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * kinds, pa.int32()), one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             texts = [T.fold(t) if t and not t.isspace() else "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            each = [viterbi(texts, shared.value[x]) for x in langs]
-            rows = [[dict(lang_idx=k, lang=x, score=score(each[k][i]), tps=[dict(start=s, len=n, prob=p) for s, n, p in each[k][i]]) for k, x in enumerate(langs)] for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, result)], names=schema.names)
+            owns = b.column(b.schema.get_field_index(own)).to_pylist() if own else None
+            for lo, hi in _slices(b, texts):
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, lists(texts[lo:hi], owns and owns[lo:hi])], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -262,68 +387,88 @@ def routed(results: str, lang: Column) -> Column:
 
 
 def terms(text: Column, tps: Column, folded: bool = True) -> Column:
-    """The words as term and prob: upper-cased as the model has them, or as the text has them."""
-    t = T.fold_upper(text) if folded else text
-    return F.transform(tps, lambda x: F.struct(F.substring(t, x["start"] + 1, x["len"]).alias("term"), x["prob"].alias("prob")))
+    """The words as term (upper-cased as the model has them, or as the text has them) and prob. For short texts; segment(terms=True) gives those of any."""
+    one = lambda t: F.transform(tps, lambda x: F.struct(F.substring(t, x["start"] + 1, x["len"]).alias("term"), x["prob"].alias("prob")))
+    return T.let(T.fold_upper(text) if folded else text, one)
 
 
 def segment_by_join(texts: DataFrame, model: DataFrame, id_col: str = "text_id", text: str = "text") -> DataFrame:
-    """id, tps by joins and column expressions alone, for models of any size (of one language).
+    """id, tps by joins, for models of any size (of one language).
 
     Substrings longer than the longest term weigh 0 and never win against the
     single last character, so they aren't made.
     """
-    base = texts.select(F.col(id_col).alias("id"), T.fold_upper(F.col(text)).alias("t"))
-    found = _joined(base, model.select(F.lit("").alias("lang"), "term", "prob"), [""]).select("id", "tps")
+    base = texts.select(F.col(id_col).alias("id"), T.fold_upper(F.col(text)).alias("t"), F.lit("").alias("own"))
+    found = _joined(base, model.select(F.lit("").alias("lang"), "term", "prob"), [""], True).select("id", "tps")
     return texts.select(F.col(id_col).alias("id")).join(found, "id", "left").select(F.col("id").alias(id_col), F.coalesce("tps", F.array().cast(TPS)).alias("tps"))
 
 
-def _segment_by_join(df: DataFrame, model: DataFrame, text: str, langs: list[str], out: str) -> DataFrame:
+def _segment_by_join(df: DataFrame, model: DataFrame, text: str, langs: list[str], out: str, own: str | None, with_terms: bool) -> DataFrame:
     """segment() by joins: equal texts are done once."""
     if df.isStreaming:
         raise ValueError(f"streams take models of up to {MAX_TERMS} terms")
     key = "_text_key"
-    keyed = df.withColumn(key, F.sha2(T.fold_upper(F.col(text)), 256))
-    base = keyed.select(F.col(key).alias("id"), T.fold_upper(F.col(text)).alias("t")).dropDuplicates(["id"])
+    folded = T.fold_upper(F.col(text))
+    keyed = df.withColumn(key, F.sha2(folded if own is None else F.concat_ws("\0", F.col(own), folded), 256))
+    base = keyed.select(F.col(key).alias("id"), folded.alias("t"), (F.lit("") if own is None else F.col(own)).alias("own")).dropDuplicates(["id"])
+    kind = TERM_TPS if with_terms else TPS
     score = F.when(F.exists("tps", lambda x: x["prob"] == 0), MINIMUM).otherwise(F.aggregate("tps", F.lit(0.0), lambda a, x: a + F.log(x["prob"])))
     each = F.struct("lang", F.struct(score.alias("score"), "tps").alias("r"))
-    found = _joined(base, model.filter(F.col("lang").isin(langs)), sorted(set(langs)))
+    found = _joined(base, model.filter(F.col("lang").isin(langs)), sorted(set(langs)), own is not None)
+    if with_terms:
+        whole = lambda t: F.transform("tps", lambda x: F.struct(F.substring(t, x["start"] + 1, x["len"]).alias("term"), x["start"].alias("start"), x["len"].alias("len"), x["prob"].alias("prob")))
+        found = found.join(base.select("id", "t"), "id").select("id", "lang", T.let(F.col("t"), whole).alias("tps"))
     found = found.groupBy(F.col("id").alias(key)).agg(F.map_from_entries(F.collect_list(each)).alias("_by_lang"))  # an entry a language
-    one = lambda k, x: F.struct(F.lit(k).alias("lang_idx"), F.lit(x).alias("lang"), F.coalesce(F.col("_by_lang")[x]["score"], F.lit(0.0)).alias("score"), F.coalesce(F.col("_by_lang")[x]["tps"], F.array().cast(TPS)).alias("tps"))
-    return keyed.join(found, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], F.array(*[one(k, x) for k, x in enumerate(langs)]).alias(out))
-
-
-def _joined(base: DataFrame, model: DataFrame, langs: list[str]) -> DataFrame:
-    """id, lang, tps of each text (id, t: folded) that isn't blank, in each language."""
+    none = F.array().cast(kind)
+    one = lambda k, x: F.struct(k.cast("int").alias("lang_idx"), x.alias("lang"), F.coalesce(F.col("_by_lang")[x]["score"], F.lit(0.0)).alias("score"), F.coalesce(F.col("_by_lang")[x]["tps"], none).alias("tps"))
+    if own is None:
+        results = F.array(*[one(F.lit(k), F.lit(x)) for k, x in enumerate(langs)])
+    else:
+        known = F.array(*map(F.lit, langs))
+        checked = F.when(F.array_contains(known, F.col(own)), F.col(own)).otherwise(F.raise_error(F.concat(F.lit("language not found: "), F.coalesce(F.col(own), F.lit("null")))))
+        results = F.array(one(F.array_position(known, F.col(own)) - 1, checked))
+    return keyed.join(found, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], results.alias(out))
+
+
+def _joined(base: DataFrame, model: DataFrame, langs: list[str], own: bool) -> DataFrame:
+    """id, lang, tps of each text (id, t: folded, own) that isn't blank, in each language or its own."""
     longest = model.agg(F.max(F.length("term"))).first()[0] or 1
-    ends = base.filter(~T.is_blank(F.col("t"))).withColumn("e", F.explode(F.sequence(F.lit(1), F.length("t"))))
-    cand = ends.withColumn("j", F.explode(F.sequence(F.greatest(F.lit(0), F.col("e") - longest), F.col("e") - 1)))
-    cand = cand.select("id", "e", "j", F.substring(F.col("t"), F.col("j") + 1, F.col("e") - F.col("j")).alias("term"))
+    # Substrings are taken from windows of a text, so that finding one doesn't take its whole length.
+    window = 256
+    n = F.length("t")
+    cut = base.filter(~T.is_blank(F.col("t"))).select("id", "own", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / window).cast("int")), lambda k: F.struct((k * window).cast("int").alias("at"), F.substring(F.col("t"), (k * window + 1).cast("int"), F.lit(window + longest)).alias("w")))).alias("x"))
+    starts = cut.select("id", "own", "n", "x.*").withColumn("o", F.explode(F.sequence(F.lit(0), F.least(F.lit(window), F.col("n") - F.col("at")) - 1)))
+    cand = starts.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("at") - F.col("o")))))
+    cand = cand.select("id", "own", (F.col("at") + F.col("o") + F.col("k")).alias("e"), "k", F.substring(F.col("w"), F.col("o") + 1, F.col("k")).alias("term"))
     model = model.select("lang", "term", "prob")
-    longer = cand.filter("e - j > 1").join(model.filter("prob > 0"), "term").select("id", "lang", "e", "j", F.col("prob").alias("g"))
+    lang = F.col("own") if own else F.explode(F.array(*map(F.lit, langs)))
+    longer = cand.filter("k > 1").join(model.filter("prob > 0"), "term")
+    longer = longer.filter("lang = own") if own else longer
     # The last character alone is a candidate in every language, known or not.
-    single = cand.filter("e - j = 1").withColumn("lang", F.explode(F.array(*map(F.lit, langs)))).join(model, ["lang", "term"], "left")
+    single = cand.filter("k = 1").withColumn("lang", lang).join(model, ["lang", "term"], "left")
     g = F.when(T.is_letters_or_dash(F.col("term")), F.coalesce("prob", F.lit(0.0))).otherwise(1.0)
-    useful = longer.unionByName(single.select("id", "lang", "e", "j", g.alias("g")))
-    rows = useful.groupBy("id", "lang", "e").agg(F.sort_array(F.collect_list(F.struct("j", "g"))).alias("c"))  # a substring for each start: bounded
-    folded = rows.groupBy("id", "lang").agg(F.sort_array(F.collect_list(F.struct("e", "c"))).alias("ends"))  # a text's own rows
-    zero = F.struct(F.lit(0.0).alias("q"), F.lit(0).alias("j"))
-
-    def step(acc: Column, end: Column) -> Column:
-        pick = F.aggregate(end["c"], zero, lambda b, c: F.when(b["q"] <= F.element_at(acc["p"], c["j"] + 1) * c["g"], F.struct((F.element_at(acc["p"], c["j"] + 1) * c["g"]).alias("q"), c["j"].alias("j"))).otherwise(b))
-        return F.struct(F.concat(acc["p"], F.array(pick["q"])).alias("p"), F.concat(acc["b"], F.array(pick["j"])).alias("b"))
-
-    state = F.aggregate("ends", F.struct(F.array(F.lit(1.0)).alias("p"), F.array(F.lit(0)).alias("b")), step)
-    done = folded.select("id", "lang", F.size("ends").alias("n"), state.alias("s"))
-    back = F.aggregate(
-        F.sequence(F.lit(1), F.col("n")),
-        F.struct(F.col("n").alias("at"), F.array().cast(TPS).alias("tps")),
-        lambda a, _: F.when(
-            a["at"] > 0,
-            F.struct(
-                F.element_at(F.col("s.b"), a["at"] + 1).alias("at"),
-                F.concat(F.array(F.struct(F.element_at(F.col("s.b"), a["at"] + 1).alias("start"), (a["at"] - F.element_at(F.col("s.b"), a["at"] + 1)).alias("len"), F.element_at(F.col("s.p"), a["at"] + 1).alias("prob"))), a["tps"]).alias("tps"),
-            ),
-        ).otherwise(a),
-    )
-    return done.select("id", "lang", back["tps"].alias("tps"))
+    useful = longer.select("id", "lang", "e", "k", F.col("prob").alias("g")).unionByName(single.select("id", "lang", "e", "k", g.alias("g")))
+    rows = useful.groupBy("id", "lang").agg(F.collect_list(F.struct("e", "k", "g")).alias("c"))  # a text's own substrings
+    tp = pa.struct([("start", pa.int32()), ("len", pa.int32()), ("prob", pa.float64())])
+
+    def fold(found: pa.StructScalar) -> list[dict]:
+        e, k, g = (np.asarray(found.values.field(i)) for i in range(3))
+        order = np.lexsort((-k, e))
+        e, k, g = (x[order].tolist() for x in (e, k, g))
+        p, back = [1.0] + [0.0] * e[-1], [1] * (e[-1] + 1)
+        for i, m, w in zip(e, k, g, strict=True):
+            q = p[i - m] * w
+            if p[i] <= q:
+                p[i], back[i] = q, m
+        at, out = e[-1], []
+        while at > 0:
+            out.append(dict(start=at - back[at], len=back[at], prob=p[at]))
+            at -= back[at]
+        return out[::-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([fold(b.column(2)[i])], pa.list_(tp))], names=["id", "lang", "tps"])
+
+    return rows.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, lang string, tps {TPS}")

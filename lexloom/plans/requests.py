@@ -37,13 +37,23 @@ def respond(requests: DataFrame, model, langs: list[str], id_col: str = "request
     return grouped.select(id_col, F.to_json(response).alias("response"))
 
 
-def line_view(text: Column, result: Column) -> Column:
-    """The words, joined by a space, and the language; EMPTY if there are none."""
-    words = S.terms(text, result["tps"])
-    return F.when(F.size(words) > 0, F.concat(F.array_join(F.transform(words, lambda w: w["term"]), " "), F.lit(" ("), result["lang"], F.lit(")"))).otherwise(F.lit("EMPTY"))
+def _words(tps: Column) -> Column:
+    return F.concat(F.lit("'"), F.array_join(F.transform(tps, lambda w: w["term"]), " "), F.lit("'"))
+
+
+def line_view(result: Column) -> Column:
+    """A result with terms: the words in quotes, joined by a space, and the language; EMPTY if there are none."""
+    return F.when(F.size(result["tps"]) > 0, F.concat(_words(result["tps"]), F.lit(" ("), result["lang"], F.lit(")"))).otherwise(F.lit("EMPTY"))
 
 
 def share_view(shared: Column) -> Column:
-    """Languages by falling share, as percent with two decimals."""
-    order = F.sort_array(F.transform(shared, lambda r: F.struct((-r["share"]).alias("s"), r["lang_idx"].alias("i"), r["lang"].alias("lang"))))
-    return F.array_join(F.transform(order, lambda r: F.concat(r["lang"], F.lit(": "), F.format_number(-r["s"] * 100, 2), F.lit("%"))), ", ")
+    """A line for each language by falling share (equal ones in their order): the language, percent with two decimals, the words."""
+    order = F.sort_array(F.transform(shared, lambda r: F.struct((-r["share"]).alias("s"), r["lang_idx"].alias("i"), r["lang"].alias("lang"), r["tps"].alias("tps"))))
+    line = lambda r: F.concat(F.lit("("), r["lang"], F.lit(")  "), F.format_number(-r["s"] * 100, 2), F.lit("%  "), _words(r["tps"]))
+    return F.when(F.size(shared) > 0, F.array_join(F.transform(order, line), "\n")).otherwise(F.lit("EMPTY"))
+
+
+def result_view(result: Column, probs: bool = True) -> Column:
+    """The language and the terms, each with its prefix probability if wanted: 'EN', ('IT': 0.01, 'IS': 2.0E-4)."""
+    term = lambda w: F.concat(F.lit("'"), w["term"], F.lit("'"), *([F.lit(": "), w["prob"].cast("string")] if probs else []))
+    return F.concat(F.lit("'"), result["lang"], F.lit("', ("), F.array_join(F.transform(result["tps"], term), ", "), F.lit(")"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -66,12 +66,63 @@ def fold_upper(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.fold_upper(F.col("text")).alias("folded"), F.length("text").alias("n"))
 
 
-@query(r"""SELECT item_id, regexp_matches(text, '[0-9]') AS digits, regexp_matches(text, '[А-яЁё]') AS cyrillics, regexp_matches(text, '[0-9А-яЁё]') AS both_kinds,
-regexp_matches(text, '^\p{L}+$') AS letters, regexp_matches(text, '^[\p{L}‒-―]+$') AS letters_dash, regexp_matches(text, '\p{L}') AS some_letter, FALSE AS cyrillic_share FROM benchmark""")
+#: Texts of kinds that the tables lack, with ids below zero.
+SAMPLES = (
+    (-1, "ru", "Мама мыла раму 2020 раза"), (-2, "ru", "ёж и Ёлка"), (-3, "ru", "аbc12345678901234567"), (-4, "ru", "1234"), (-5, "ru", "привет, world! да-да"), (-6, "ru", "абв12 xyz9 где"),
+    (-7, "ru", "Я"), (-8, "ru", "‒–—―"), (-9, "ru", "слово–слово"), (-10, "ru", ""), (-11, "ru", "АЯаяЀѐ"), (-12, "ru", "abcабв"), (-13, "ru", "Q"), (-14, "ru", "а1 б2 в3 г4 д5"), (-15, "ru", "x2y а3б ёж"),
+)
+_SAMPLES = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{lang}', '{t}')" for i, lang, t in SAMPLES) + ") AS v(doc_id, lang, text)"
+_WITH_SAMPLES = f"(SELECT doc_id, lang, text FROM documents UNION ALL {_SAMPLES})"
+
+
+def _with_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
+    return docs.unionByName(spark.createDataFrame(SAMPLES, "doc_id bigint, lang string, text string"))
+
+
+def _share(n: str) -> str:
+    return f"floor((0.5::FLOAT * {n}::FLOAT)::DOUBLE)"
+
+
+_LETTERS = r"len(regexp_extract_all(text, '\p{L}'))"
+_CYR = "len(regexp_extract_all(text, '[А-я]'))"
+
+
+@query(rf"""SELECT doc_id, regexp_matches(text, '[0-9]') AS digits, regexp_matches(text, '[А-яЁё]') AS cyrillics, regexp_matches(text, '[0-9А-яЁё]') AS both_kinds,
+regexp_matches(text, '^\p{{L}}+$') AS letters, regexp_matches(text, '^[\p{{L}}‒-―]+$') AS letters_dash, regexp_matches(text, '\p{{L}}') AS some_letter,
+({_CYR} > 0 AND {_CYR} >= {_share('length(text)')}) OR {_CYR} >= {_share(_LETTERS)} AS cyrillic_share FROM {_WITH_SAMPLES}""")
 def char_predicates(spark, sf_dir):
-    """Tests of character classes."""
+    """Tests of character classes, on all documents and on SAMPLES."""
     t = F.col("text")
-    return _table(spark, sf_dir, "benchmark").select("item_id", T.has_digits(t).alias("digits"), T.has_cyrillics(t).alias("cyrillics"), T.has_cyrillics_or_digits(t).alias("both_kinds"), T.is_letters(t).alias("letters"), T.is_letters_or_dash(t).alias("letters_dash"), T.has_letters(t).alias("some_letter"), T.has_cyrillic_letters(t, 50).alias("cyrillic_share"))
+    return _with_samples(spark, sf_dir).select("doc_id", T.has_digits(t).alias("digits"), T.has_cyrillics(t).alias("cyrillics"), T.has_cyrillics_or_digits(t).alias("both_kinds"), T.is_letters(t).alias("letters"), T.is_letters_or_dash(t).alias("letters_dash"), T.has_letters(t).alias("some_letter"), T.has_cyrillic_letters(t, 50).alias("cyrillic_share"))
+
+
+SIZES = (0, 1023, 1024, 1025, 1536, 1 << 20, (1 << 20) + 1, 5_000_000, 1 << 30, (1 << 30) + 1, 1_234_567_890_123)
+
+
+@query("SELECT n, CASE WHEN n > 1073741824 THEN format('{:,.2f}', n / 1073741824.0::DOUBLE) || ' GB' WHEN n > 1048576 THEN format('{:,.2f}', n / 1048576.0::DOUBLE) || ' MB' WHEN n > 1024 THEN format('{:,.2f}', n / 1024.0::DOUBLE) || ' KB' ELSE n || ' bytes' END AS size FROM "
+    + "(SELECT strlen(text)::BIGINT AS n FROM documents UNION ALL VALUES " + ", ".join(f"({n}::BIGINT)" for n in SIZES) + ")")
+def size_display(spark, sf_dir):
+    """Sizes of all documents and of SIZES, which reach every unit."""
+    n = _docs(spark, sf_dir).select(F.octet_length("text").cast("bigint").alias("n")).unionByName(spark.createDataFrame([(x,) for x in SIZES], "n bigint"))
+    return n.select("n", T.display_size(F.col("n")).alias("size"))
+
+
+_TRIMMED = r"regexp_replace(text, '^[\t-\r \x{FEFF}\p{Z}]+|[\t-\r \x{FEFF}\p{Z}]+$', '', 'g')"
+
+
+@query(rf"SELECT doc_id, length({_TRIMMED})::INT AS trimmed, md5(regexp_replace(text, '(?s)(.{{50}})', '\1<wbr/>', 'g')) AS wrapped, length(substr({_TRIMMED}, 1, 10000))::INT AS limited FROM documents")
+def input_limits(spark, sf_dir):
+    """Trimmed and wrapped texts, and the recommended most of a request's text."""
+    t = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", F.length(T.trim_text(t)).alias("trimmed"), F.md5(T.wrap_text(t).cast("binary")).alias("wrapped"), F.length(T.limit_text(t)).alias("limited"))
+
+
+@query(r'''SELECT page_id, 0 AS n, 0 AS start, length(v)::INT AS len, v AS value FROM (SELECT page_id, regexp_replace(url, '[!"#%&''()*,\-.:;?@\[\\\]_{}]+$', '') AS v FROM pages WHERE regexp_matches(url, '^(?i)https?://[!-~]+$'))''')
+def scheme_urls(spark, sf_dir):
+    """UR5, UR6 on a restricted pattern: addresses of pages that are one URL with a scheme."""
+    found = U.with_urls(_table(spark, sf_dir, "pages").filter(F.col("url").rlike(r"^(?i)https?://[!-~]+\z")).select("page_id", "url"), "url")
+    return found.select("page_id", F.posexplode("urls").alias("n", "u")).select("page_id", "n", "u.start", "u.len", "u.value")
 
 
 @query(r"""SELECT conv_id, turn, lower(text) AS low, replace(text, ' ', '') AS joined, regexp_replace(text, '[\x00-\x1E]', ' ', 'g') AS visible, NOT regexp_matches(text, '[^\t-\r \x{85}\x{A0}\p{Z}]') AS blank,
@@ -101,13 +152,14 @@ def term_counts(spark, sf_dir):
     return M.counts(M.clean_words(_words(spark, sf_dir)).withColumnRenamed("word", "term"))
 
 
-@query(f"""WITH {_TOKENS} SELECT lang, count(*) AS n_all, count(*) FILTER (length(word) <= 10) AS n_short, count(*) FILTER (NOT regexp_matches(word, '[А-яЁё]')) AS n_no_cyrillics,
+@query(f"""WITH {_TOKENS.replace('FROM documents', f'FROM {_WITH_SAMPLES}')} SELECT lang, count(*) AS n_all, count(*) FILTER (length(word) <= 10) AS n_short, count(*) FILTER (NOT regexp_matches(word, '[А-яЁё]')) AS n_no_cyrillics,
 count(*) FILTER (NOT regexp_matches(word, '[0-9]')) AS n_no_digits, count(*) FILTER (NOT regexp_matches(word, '[0-9А-яЁё]')) AS n_neither FROM words GROUP BY lang""")
 def word_filters(spark, sf_dir):
-    """Words that each set of filters keeps."""
+    """Words that each set of filters keeps, of all documents and of SAMPLES."""
     w = F.col("word")
     n = lambda ok: F.count(F.when(ok, 1))
-    return _words(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n_all"), n(M.kept(w, 10)).alias("n_short"), n(M.kept(w, 1 << 30, True)).alias("n_no_cyrillics"), n(M.kept(w, 1 << 30, False, True)).alias("n_no_digits"), n(M.kept(w, 1 << 30, True, True)).alias("n_neither"))
+    words = _with_samples(spark, sf_dir).select("lang", F.explode(T.simple_tokens(T.fold_upper(F.col("text")))).alias("word"))
+    return words.groupBy("lang").agg(F.count(F.lit(1)).alias("n_all"), n(M.kept(w, 10)).alias("n_short"), n(M.kept(w, 1 << 30, True)).alias("n_no_cyrillics"), n(M.kept(w, 1 << 30, False, True)).alias("n_no_digits"), n(M.kept(w, 1 << 30, True, True)).alias("n_neither"))
 
 
 @query(f"WITH {_COUNTS} SELECT lang, term, freq, freq::DOUBLE / sum(freq) OVER (PARTITION BY lang) AS prob FROM freqs")
@@ -128,14 +180,15 @@ def model_order(spark, sf_dir):
     return _model(spark, sf_dir).select("lang", "term", "prob", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("prob"), "term")).alias("place"))
 
 
-@query(f"""WITH {_TOKENS}, marked AS (SELECT *, length(word) <= 12 AS ok FROM words), runs AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY lang, doc_id ORDER BY pos) AS run FROM marked),
+@query(f"""WITH {_TOKENS}, marked AS (SELECT *, length(word) <= 100 AS ok FROM words), runs AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY lang, doc_id ORDER BY pos) AS run FROM marked),
 kept AS (SELECT *, lag(word, 1) OVER w AS b1, lag(word, 2) OVER w AS b2, lag(word, 3) OVER w AS b3 FROM runs WHERE ok WINDOW w AS (PARTITION BY lang, doc_id, run ORDER BY pos)),
 grams AS (SELECT lang, word AS term FROM kept UNION ALL SELECT lang, b1 || ' ' || word FROM kept WHERE b1 IS NOT NULL UNION ALL SELECT lang, b2 || ' ' || b1 || ' ' || word FROM kept WHERE b2 IS NOT NULL
 UNION ALL SELECT lang, b3 || ' ' || b2 || ' ' || b1 || ' ' || word FROM kept WHERE b3 IS NOT NULL),
 u AS (SELECT lang, count(*) AS n FROM kept GROUP BY lang) SELECT lang, term, count(*) AS freq, count(*)::DOUBLE / any_value(n) AS prob FROM grams JOIN u USING (lang) GROUP BY lang, term""")
 def ngram_model(spark, sf_dir):
-    """A3: n-grams of 1 to 4 words of up to 100 characters; none goes over a word that is left out. The SQL has 12."""
-    return M.build(_words(spark, sf_dir), n=4).select("lang", "term", "freq", "prob")
+    """A3: n-grams of 1 to 4 words of up to 100 characters; none goes over a word that is left out."""
+    tokens = _docs(spark, sf_dir).select("lang", T.simple_tokens(T.fold_upper(F.col("text"))).alias("words"))
+    return M.build_ngrams(tokens, 4).select("lang", "term", "freq", "prob")
 
 
 def _shards(model: DataFrame) -> DataFrame:
@@ -172,84 +225,146 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select(F.explode(T.split_rows(F.col("text"))).alias("text")).distinct()
 
 
-_PIECES = r"""pieces2 AS (SELECT DISTINCT piece AS text FROM (SELECT unnest(regexp_split_to_array(text, '[\r\n ]')) AS piece FROM conversations) WHERE regexp_matches(piece, '[^\t-\r \x{85}\x{A0}\p{Z}]')),
-texts AS (SELECT text, FOLD AS t, length(text) AS n FROM pieces2)""".replace("FOLD", _FOLD)
-#: The recurrence: a row for each text, language and end; P and starts are carried in lists.
-_VITERBI = r""", cand AS MATERIALIZED (SELECT text, lang, e, list({'j': j, 'g': g} ORDER BY j) AS c FROM (
-  SELECT x.text, l.lang, x.e, x.j, CASE WHEN x.e - x.j = 1 AND NOT regexp_matches(x.w, '^[\p{L}‒-―]$') THEN 1.0::DOUBLE ELSE coalesce(m.prob, 0.0)::DOUBLE END AS g
-  FROM (SELECT text, e, j, substr(t, j + 1, e - j) AS w FROM (SELECT text, t, n, unnest(range(1, n + 1)) AS e FROM texts) AS ends(text, t, n, e), LATERAL (SELECT unnest(range(0, e)) AS j)) x
-  CROSS JOIN (SELECT DISTINCT lang FROM model) l LEFT JOIN model m ON m.lang = l.lang AND m.term = x.w) y WHERE g > 0 OR j = e - 1 GROUP BY text, lang, e),
-walk AS (SELECT text, lang, 0 AS e, [1.0::DOUBLE] AS p, [0::BIGINT] AS b FROM texts, (SELECT DISTINCT lang FROM model)
-  UNION ALL SELECT text, lang, e, list_append(p, best.q), list_append(b, best.j) FROM (
-    SELECT w.text, w.lang, c.e, w.p, w.b, list_reduce(list_transform(c.c, lambda x: {'q': w.p[x.j + 1] * x.g, 'j': x.j}), lambda a, x: CASE WHEN a.q <= x.q THEN x ELSE a END) AS best
-    FROM walk w JOIN cand c ON c.text = w.text AND c.lang = w.lang AND c.e = w.e + 1)),
-ends AS (SELECT w.text, w.lang, w.p, w.b, x.n FROM walk w JOIN texts x ON x.text = w.text AND w.e = x.n),
-back AS (SELECT text, lang, p, b, n AS cur, 0 AS k FROM ends UNION ALL SELECT text, lang, p, b, b[cur + 1] AS cur, k + 1 FROM back WHERE cur > 0),
-terms AS (SELECT text, lang, (max(k) OVER (PARTITION BY text, lang) - k + 1)::INT AS place, cur AS stop, b[cur + 1] AS start, p[cur + 1] AS prob FROM back WHERE cur > 0)
-"""
-_SCORES = """, scores AS (SELECT text, lang, CASE WHEN min(prob) = 0 THEN -1.7976931348623157e308::DOUBLE ELSE sum(ln(prob)) END AS score, string_agg(substr(FOLD, start + 1, stop - start), ' ' ORDER BY place) AS words, row_number() OVER (PARTITION BY text ORDER BY lang) - 1 AS lang_idx FROM terms GROUP BY text, lang)
-""".replace("FOLD", _FOLD)
-_RECURSIVE = "WITH RECURSIVE "
-
-
-def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.segment(_pieces(spark, sf_dir), _model(spark, sf_dir))
+_BLANK = r"[^\t-\r \x{85}\x{A0}\p{Z}]"
+_PIECES = rf"""pieces2 AS (SELECT DISTINCT piece AS text FROM (SELECT unnest(regexp_split_to_array(text, '[\r\n ]')) AS piece FROM conversations) WHERE regexp_matches(piece, '{_BLANK}')),
+texts AS (SELECT text, {_FOLD} AS t, length(text) AS n FROM pieces2)"""
 
 
 @query(f"WITH {_MODEL}, {_PIECES} SELECT text, lang, CASE WHEN length(text) = 1 AND NOT regexp_matches(text, '^[\\p{{L}}‒-―]$') THEN 1.0::DOUBLE ELSE coalesce(prob, 0.0)::DOUBLE END AS weight FROM texts CROSS JOIN (SELECT DISTINCT lang AS lang FROM model) l LEFT JOIN (SELECT lang AS ml, term, prob FROM model) m ON ml = l.lang AND term = t")
 def model_lookup(spark, sf_dir):
     """The weight of each piece as one word, in each language."""
     model = _model(spark, sf_dir)
-    asked = _pieces(spark, sf_dir).withColumn("lang", F.explode(F.array(*[F.lit(r[0]) for r in model.select("lang").distinct().collect()])))
-    term = T.fold_upper(F.col("text"))
-    joined = asked.withColumn("term", term).join(model.select("lang", "term", "prob"), ["lang", "term"], "left")
+    langs = _docs(spark, sf_dir).select("lang").distinct()  # a row a language
+    asked = _pieces(spark, sf_dir).withColumn("term", T.fold_upper(F.col("text"))).join(F.broadcast(langs))
+    joined = asked.join(model.select("lang", "term", "prob"), ["lang", "term"], "left")
     free = (F.length("text") == 1) & ~T.is_letters_or_dash(F.col("text"))
     return joined.select("text", "lang", F.when(free, 1.0).otherwise(F.coalesce("prob", F.lit(0.0))).alias("weight"))
 
 
-@query(_RECURSIVE + f"{_MODEL}, {_PIECES}{_VITERBI} SELECT text, lang, place - 1 AS place, start::INT AS start, (stop - start)::INT AS len, substr({_FOLD}, start + 1, stop - start) AS term, prob FROM terms")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, line_no, text: each line of all documents without its spaces; blank lines and documents without a language have none."""
+    lines = _docs(spark, sf_dir).filter("lang IS NOT NULL").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "lang", "line_no", T.no_spaces(F.col("line")).alias("text")).filter(~T.is_blank(F.col("text")))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct line of the conversations without its spaces."""
+    lines = _table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select(T.no_spaces(F.col("line")).alias("text")).filter(~T.is_blank(F.col("text"))).distinct()
+
+
+_LINES = rf"""lines AS MATERIALIZED (SELECT doc_id, lang AS own, line_no::INT AS line_no, replace(line, ' ', '') AS text FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE lang IS NOT NULL) WHERE regexp_matches(replace(line, ' ', ''), '{_BLANK}'))"""
+_TURNS = rf"""lines AS MATERIALIZED (SELECT DISTINCT replace(line, ' ', '') AS text FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE regexp_matches(replace(line, ' ', ''), '{_BLANK}'))"""
+
+
+def _viterbi(lines: str, own: bool = False) -> str:
+    """The recurrence in SQL: substrings from windows of each distinct text, then a fold with P and the lengths of last words in lists."""
+    same, word = ("AND lang = own", "l.lang = own") if own else ("", "TRUE")
+    return rf"""WITH {_MODEL}, {lines},
+texts AS MATERIALIZED (SELECT row_number() OVER () AS id, own, text, {_FOLD} AS t, length(text) AS n FROM (SELECT DISTINCT {'own' if own else 'NULL AS own'}, text FROM lines)),
+wins AS (SELECT id, own, s, n, substr(t, s + 1, 256 + longest) AS w, longest FROM (SELECT id, own, t, n, unnest(range(0, n, 256)) AS s FROM texts), (SELECT max(length(term)) AS longest FROM model)),
+starts AS (SELECT *, unnest(range(0, least(256, n - s))) AS o FROM wins),
+subs AS (SELECT id, own, s + o + k AS e, k, substr(w, o + 1, k) AS term FROM (SELECT *, unnest(range(1, least(longest, n - s - o) + 1)) AS k FROM starts)),
+found AS (SELECT id, lang, e, k, prob AS g FROM subs JOIN model USING (term) WHERE k > 1 {same}
+  UNION ALL SELECT id, l.lang, e, k, CASE WHEN NOT regexp_matches(subs.term, '^[\p{{L}}‒-―]$') THEN 1.0::DOUBLE ELSE coalesce(m.prob, 0.0)::DOUBLE END
+  FROM subs JOIN (SELECT DISTINCT lang FROM model) l ON {word} LEFT JOIN model m ON m.lang = l.lang AND m.term = subs.term WHERE k = 1),
+ends AS MATERIALIZED (SELECT id, lang, list({{'p': NULL::DOUBLE[], 'b': NULL::BIGINT[], 'c': c}} ORDER BY e) AS xs FROM (SELECT id, lang, e, list({{'k': k, 'g': g}} ORDER BY k DESC) AS c FROM found GROUP BY id, lang, e) GROUP BY id, lang),
+walks AS MATERIALIZED (SELECT id, lang, list_reduce(xs, lambda a, x: list_transform([list_reduce(list_transform(x.c, lambda y: {{'q': a.p[len(a.p) - y.k + 1] * y.g, 'k': y.k}}), lambda u, v: CASE WHEN u.q <= v.q THEN v ELSE u END)],
+  lambda best: {{'p': list_append(a.p, best.q), 'b': list_append(a.b, best.k), 'c': x.c[1:0]}})[1], {{'p': [1.0::DOUBLE], 'b': [0::BIGINT], 'c': xs[1].c}}) AS r FROM ends),
+backs AS (SELECT id, lang, r, list_reduce(list_transform(range(len(r.b) - 1), lambda i: {{'at': i, 'o': NULL::BIGINT[]}}), lambda a, x: CASE WHEN a.at = 0 THEN a ELSE {{'at': a.at - r.b[a.at + 1], 'o': list_append(a.o, a.at)}} END, {{'at': len(r.b) - 1, 'o': []::BIGINT[]}}).o AS o FROM walks),
+tps AS MATERIALIZED (SELECT id, lang, list_transform(list_reverse(o), lambda e: {{'start': e - r.b[e + 1], 'len': r.b[e + 1], 'prob': r.p[e + 1]}}) AS tps FROM backs),
+scores AS (SELECT own, text, lang, list_transform(tps, lambda x: {{'term': substr(t, x.start + 1, x.len), 'start': x.start, 'len': x.len, 'prob': x.prob}}) AS tps, row_number() OVER (PARTITION BY id ORDER BY lang) - 1 AS lang_idx, array_to_string(list_transform(tps, lambda x: substr(t, x.start + 1, x.len)), ' ') AS words,
+  CASE WHEN list_min(list_transform(tps, lambda x: x.prob)) = 0 THEN -1.7976931348623157e308::DOUBLE ELSE list_sum(list_transform(tps, lambda x: CASE WHEN x.prob = 0 THEN 0 ELSE ln(x.prob) END)) END AS score FROM tps JOIN texts USING (id)),
+shares AS (SELECT *, x / sum(x) OVER (PARTITION BY text) AS share FROM (SELECT *, CASE WHEN min(score) OVER (PARTITION BY text) = 0 THEN 'NaN'::DOUBLE ELSE exp(score / abs(min(score) OVER (PARTITION BY text))) END AS x FROM scores)),
+bests AS (SELECT text, max_by(lang, (score, lang_idx)) AS lang, max_by(words, (score, lang_idx)) AS words FROM scores GROUP BY text)
+"""
+
+
+def _joined_words(tps: Column) -> Column:
+    return F.array_join(F.transform(tps, lambda w: w["term"]), " ")
+
+
+@query(_viterbi(_LINES, True) + "SELECT doc_id, line_no, (generate_subscripts(tps, 1) - 1)::INT AS place, unnest(tps).start::INT AS start, unnest(tps).len::INT AS len, unnest(tps).term AS term, unnest(tps).prob AS prob FROM scores JOIN lines USING (own, text)")
+def segment_text(spark, sf_dir):
+    """The words of each document's lines without their spaces, in its own language; start and len are in the joined line."""
+    done = S.segment(_lines(spark, sf_dir), _model(spark, sf_dir), own="lang", terms=True)
+    rows = done.select("doc_id", "line_no", F.posexplode(F.col("results")[0]["tps"]).alias("place", "w"))
+    return rows.select("doc_id", "line_no", "place", "w.start", "w.len", "w.term", "w.prob")
+
+
+@query(_viterbi(_LINES) + "SELECT doc_id, line_no, lang, words FROM lines JOIN bests USING (text)")
+def segment_best(spark, sf_dir):
+    """The best language of each document's lines without their spaces, and the words."""
+    done = S.segment(_lines(spark, sf_dir).drop("lang"), _model(spark, sf_dir), terms=True).withColumn("best", S.best())
+    return done.select("doc_id", "line_no", "best.lang", _joined_words(F.col("best.tps")).alias("words"))
+
+
+@query(_viterbi(_LINES) + "SELECT doc_id, line_no, lang, lang_idx::INT AS lang_idx, CASE WHEN score > -1e300 THEN round(score, 3) ELSE score END AS score, round(share, 6) AS share FROM lines JOIN shares USING (text)")
+def segment_all(spark, sf_dir):
+    """The score and share of each language for each document's lines without their spaces."""
+    rows = S.segment(_lines(spark, sf_dir).drop("lang"), _model(spark, sf_dir)).select("doc_id", "line_no", F.explode(S.shares()).alias("r"))
+    score = F.when(F.col("r.score") > -1e300, F.round("r.score", 3)).otherwise(F.col("r.score"))
+    return rows.select("doc_id", "line_no", "r.lang", "r.lang_idx", score.alias("score"), F.round("r.share", 6).alias("share"))
+
+
+@query(_viterbi(_LINES, True) + "SELECT doc_id, line_no, lang, len(tps)::INT AS n_terms, tps[-1].prob AS prob FROM scores JOIN lines USING (own, text)")
+def line_segments(spark, sf_dir):
+    """How many words each document's lines without their spaces have in its own language, and their probability."""
+    done = S.segment(_lines(spark, sf_dir), _model(spark, sf_dir)).withColumn("one", S.routed("results", F.col("lang")))
+    return done.select("doc_id", "line_no", "one.lang", F.size("one.tps").alias("n_terms"), F.try_element_at("one.tps", F.lit(-1))["prob"].alias("prob"))
+
+
+def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.segment(_turns(spark, sf_dir), _model(spark, sf_dir), terms=True)
+
+
+@query(_viterbi(_TURNS) + "SELECT text, lang, (generate_subscripts(tps, 1) - 1)::INT AS place, unnest(tps).start::INT AS start, unnest(tps).len::INT AS len, unnest(tps).term AS term, unnest(tps).prob AS prob FROM scores")
 def viterbi_terms(spark, sf_dir):
-    """V2-V5, V7: the words of each piece in each language, with offsets and prefix probabilities."""
-    rows = _segmented(spark, sf_dir).select("text", F.explode("results").alias("r")).select("text", "r.lang", F.posexplode("r.tps").alias("place", "x"))
-    return rows.select("text", "lang", "place", "x.start", "x.len", F.substring(T.fold_upper(F.col("text")), F.col("x.start") + 1, F.col("x.len")).alias("term"), "x.prob")
+    """V2-V5, V7: the words of each line of the conversations in each language, with offsets and prefix probabilities."""
+    rows = _segmented(spark, sf_dir).select("text", F.explode("results").alias("r"))
+    rows = rows.select("text", "r.lang", F.posexplode("r.tps").alias("place", "w"))
+    return rows.select("text", "lang", "place", "w.start", "w.len", "w.term", "w.prob")
 
 
-@query(_RECURSIVE + f"{_MODEL}, {_PIECES}{_VITERBI}{_SCORES} SELECT text, max_by(lang, (round(score, 9), lang_idx)) AS lang, max_by(words, (round(score, 9), lang_idx)) AS words FROM scores GROUP BY text")
+@query(_viterbi(_TURNS) + "SELECT text, lang, words FROM bests")
 def best_language(spark, sf_dir):
-    """The best language of each piece and its words."""
-    rounded = F.transform("results", lambda r: F.struct(r["lang_idx"].alias("lang_idx"), r["lang"].alias("lang"), F.round(r["score"], 9).alias("score"), r["tps"].alias("tps")))
-    top = _segmented(spark, sf_dir).withColumn("results", rounded).withColumn("best", S.best())
-    return top.select("text", "best.lang", F.array_join(F.transform(S.terms(F.col("text"), F.col("best.tps")), lambda w: w["term"]), " ").alias("words"))
+    """The best language of each line of the conversations and its words."""
+    top = _segmented(spark, sf_dir).withColumn("best", S.best())
+    return top.select("text", "best.lang", _joined_words(F.col("best.tps")).alias("words"))
 
 
-@query(_RECURSIVE + f"""{_MODEL}, {_PIECES}{_VITERBI}{_SCORES}, e AS (SELECT *, CASE WHEN min(score) OVER (PARTITION BY text) = 0 THEN 'NaN'::DOUBLE ELSE exp(score / abs(min(score) OVER (PARTITION BY text))) END AS x FROM scores)
-SELECT text, lang, lang_idx::INT AS lang_idx, CASE WHEN score < -1e300 THEN NULL ELSE round(score, 6) END AS score, round(x / sum(x) OVER (PARTITION BY text), 6) AS share FROM e""")
+@query(_viterbi(_TURNS) + "SELECT text, lang, lang_idx::INT AS lang_idx, CASE WHEN score > -1e300 THEN round(score, 3) ELSE score END AS score, round(share, 6) AS share FROM shares")
 def all_languages(spark, sf_dir):
-    """The share of each language for each piece."""
+    """The score and share of each language for each line of the conversations."""
     rows = _segmented(spark, sf_dir).select("text", F.explode(S.shares()).alias("r"))
-    return rows.select("text", "r.lang", "r.lang_idx", F.when(F.col("r.score") > -1e300, F.round("r.score", 6)).alias("score"), F.round("r.share", 6).alias("share"))
+    score = F.when(F.col("r.score") > -1e300, F.round("r.score", 3)).otherwise(F.col("r.score"))
+    return rows.select("text", "r.lang", "r.lang_idx", score.alias("score"), F.round("r.share", 6).alias("share"))
 
 
-@query(_RECURSIVE + f"{_MODEL}, {_PIECES}{_VITERBI}{_SCORES} SELECT text, lang, words FROM scores WHERE lang = 'de'")
+@query(_viterbi(_TURNS) + "SELECT text, lang, words FROM scores WHERE lang = 'de'")
 def routed_language(spark, sf_dir):
     """One language's words."""
     one = S.routed("results", F.lit("de"))
-    return _segmented(spark, sf_dir).select("text", one["lang"].alias("lang"), F.array_join(F.transform(S.terms(F.col("text"), one["tps"]), lambda w: w["term"]), " ").alias("words"))
+    return _segmented(spark, sf_dir).select("text", one["lang"].alias("lang"), _joined_words(one["tps"]).alias("words"))
 
 
-@query(_RECURSIVE + f"{_MODEL}, {_PIECES}{_VITERBI}{_SCORES} SELECT text, max_by(words, (round(score, 9), lang_idx)) || ' (' || max_by(lang, (round(score, 9), lang_idx)) || ')' AS line FROM scores GROUP BY text")
+@query(_viterbi(_TURNS) + "SELECT text, '''' || words || ''' (' || lang || ')' AS line FROM bests")
 def console_lines(spark, sf_dir):
-    """The best words and language as a line."""
-    rounded = F.transform("results", lambda r: F.struct(r["lang_idx"].alias("lang_idx"), r["lang"].alias("lang"), F.round(r["score"], 9).alias("score"), r["tps"].alias("tps")))
-    return _segmented(spark, sf_dir).withColumn("results", rounded).select("text", R.line_view(F.col("text"), S.best()).alias("line"))
+    """K5: the best words and language as a line."""
+    return _segmented(spark, sf_dir).select("text", R.line_view(S.best()).alias("line"))
 
 
-@query()
-def line_segments(spark, sf_dir):
-    """V4 over whole documents: each line without its spaces, in its own language (offsets are in the joined line)."""
-    lines = _docs(spark, sf_dir).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("text", T.no_spaces(F.col("line")))
-    out = S.segment(lines.drop("line"), _model(spark, sf_dir)).withColumn("one", S.best())
-    return out.select("doc_id", "line_no", "one.lang", F.size("one.tps").alias("n_terms"), F.try_element_at("one.tps", F.lit(-1))["prob"].alias("prob"))
+@query(_viterbi(_TURNS) + "SELECT text, string_agg('(' || lang || ')  ' || format('{:,.2f}', share * 100) || '%  ''' || words || '''', chr(10) ORDER BY share DESC, lang_idx) AS lines FROM (SELECT * REPLACE (round(share, 9) AS share) FROM shares) GROUP BY text")
+def share_lines(spark, sf_dir):
+    """All languages by falling share, with percent and words."""
+    rounded = F.transform(S.shares(), lambda r: r.withField("share", F.round(r["share"], 9)))
+    return _segmented(spark, sf_dir).select("text", R.share_view(rounded).alias("lines"))
+
+
+@query(_viterbi(_TURNS) + "SELECT text, '''' || lang || ''', (' || array_to_string(list_transform(tps, lambda x: '''' || x.term || ''''), ', ') || ')' AS result FROM scores JOIN bests USING (text, lang)")
+def result_strings(spark, sf_dir):
+    """A result as a string, here without the probabilities, which engines write in their own ways."""
+    return _segmented(spark, sf_dir).select("text", R.result_view(S.best(), probs=False).alias("result"))
 
 
 @query()
@@ -281,5 +396,5 @@ def exact_tokenizer(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models of all languages from the documents, then the best words of each piece of the conversations."""
-    return best_language(spark, sf_dir)
+    """Models of all languages from the documents, then the words of each document's lines without their spaces in its own language."""
+    return segment_text(spark, sf_dir)

@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_upper, is_blank
+from ..functions.text import fold_upper, is_blank, trim_text
+
+#: A number without a sign.
+NUMBER = r"^(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def parse_line(line: Column) -> Column:
@@ -19,26 +22,46 @@ def parse_line(line: Column) -> Column:
     """
     parts = F.filter(F.split(line, "\t"), lambda x: x != "")
     term, prob = F.trim(F.try_element_at(parts, F.lit(1))), F.trim(F.try_element_at(parts, F.lit(2)))
-    ok = (F.size(parts) == 2) & ~is_blank(term) & prob.rlike(r"^(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    ok = (F.size(parts) == 2) & ~is_blank(term) & prob.rlike(NUMBER)
     value = F.struct(term.alias("term"), prob.cast("float").cast("double").alias("prob"))
     return F.when(ok, value).otherwise(F.raise_error(F.concat(F.lit("wrong line in a model: "), F.coalesce(line, F.lit("null")))))
 
 
+def paths_of(setting: str, folder: str = "") -> list[str]:
+    """The paths of a setting, cut at semicolons and trimmed; empty ones are dropped, of those that differ in case alone the first stays."""
+    names = [x.strip() for x in setting.split(";")]
+    paths = [f"{folder.rstrip('/')}/{x}" if folder else x for x in names if x]
+    return [p for i, p in enumerate(paths) if p.lower() not in {q.lower() for q in paths[:i]}]
+
+
+def _records(spark: SparkSession, path: str, trim: bool = False) -> DataFrame:
+    """line: those of each file (a file is one value) from the first on that isn't a comment; comments after it are data.
+
+    `trim` takes white space off the lines' ends and drops those without anything else.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\r", "\n").alias("value"))
+    lines = F.split(F.regexp_replace("value", r"\n\z", ""), "\n")  # a line feed at the end of the file starts no line
+    if trim:
+        lines = F.filter(F.transform(lines, trim_text), lambda x: x != "")
+    lines = F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(lines)
+    first = F.array_position(F.transform("lines", lambda x: ~F.startswith(x, F.lit("#"))), True).cast("int")  # 0: there is none
+    return whole.select(lines.alias("lines")).withColumn("first", first).filter("first > 0").select(F.explode(F.slice("lines", F.col("first"), F.size("lines"))).alias("line"))
+
+
 def read_text(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
     """lang, term, prob. Lines that start with # are skipped before the first record of a file only."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = F.split(F.regexp_replace(F.col("value"), r"\r\n|\r", "\n"), "\n")
-    # A line feed at the end of the file ends a line, it doesn't start one.
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    rows = whole.select(F.posexplode(lines).alias("n", "line"), F.coalesce(F.array_position(F.transform(lines, lambda x: ~F.startswith(x, F.lit("#"))), True), F.lit(1 << 30)).alias("first"))
-    return rows.filter(F.col("n") + 1 >= F.col("first")).select(F.lit(lang).cast("string").alias("lang"), parse_line(F.col("line")).alias("r")).select("lang", "r.term", "r.prob")
+    return _records(spark, path).select(F.lit(lang).cast("string").alias("lang"), parse_line(F.col("line")).alias("r")).select("lang", "r.term", "r.prob")
 
 
 def read_text_folded(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
-    """As read_text, in double precision and with upper-cased terms; a line is cut at its first tab."""
-    raw = spark.read.text(path).filter(~F.startswith("value", F.lit("#")))
-    line = F.regexp_replace("value", "^﻿", "")
-    return raw.select(F.lit(lang).cast("string").alias("lang"), fold_upper(F.trim(F.substring_index(line, "\t", 1))).alias("term"), F.trim(F.regexp_replace(line, "^[^\t]*\t", "")).cast("double").alias("prob"))
+    """As read_text, in double precision and with upper-cased terms; lines are trimmed, blank ones skipped, and cut at their first tab. Others without a term and a probability are an error."""
+    line = F.col("line")
+    cut = F.instr(line, "\t")
+    term, prob = trim_text(F.substring(line, F.lit(1), cut - 1)), trim_text(F.substring(line, cut + 1, F.length(line)))
+    ok = (cut > 1) & (term != "") & prob.rlike(NUMBER)
+    value = F.struct(fold_upper(term).alias("term"), prob.cast("double").alias("prob"))
+    parsed = F.when(ok, value).otherwise(F.raise_error(F.concat(F.lit("wrong line in a model: "), line)))
+    return _records(spark, path, trim=True).select(F.lit(lang).cast("string").alias("lang"), parsed.alias("r")).select("lang", "r.term", "r.prob")
 
 
 def write_text(model: DataFrame, path: str, header: str) -> None:
@@ -69,6 +92,47 @@ def encode_record(term: str, prob: float) -> bytes:
     return term.encode("utf-16-le") + b"\0\0" + struct.pack("<d", prob)
 
 
+def write_shards(model: DataFrame, folder: str, name: str, limit_bytes: int = 0) -> list[str]:
+    """Writes the records by falling probability and rising term to <name>-1.bin, -2.bin and so on; returns the paths.
+
+    A file ends with the record that takes it to limit_bytes (0: no limit); a
+    single file has no number. An empty model is an error. Files of these names
+    are replaced. A shard at a time goes through the driver.
+    """
+    spark = model.sparkSession
+    jvm = spark._jvm
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bytearray()
+        for b in batches:
+            for term, prob in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
+                held += encode_record(term, prob)
+                if 0 < limit_bytes <= len(held):
+                    yield pa.RecordBatch.from_arrays([pa.array([bytes(held)], pa.binary())], names=["content"])
+                    held.clear()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(held)], pa.binary())], names=["content"])
+
+    # Where a file ends depends on all records before it: the ordered records go through one task, which holds one file.
+    ordered = model.select("term", "prob").orderBy(F.desc("prob"), "term").coalesce(1)
+    paths: list[str] = []
+    for row in ordered.mapInArrow(cut, "content binary").toLocalIterator():
+        paths.append(f"{folder.rstrip('/')}/{name}-{len(paths) + 1}.bin")
+        path = jvm.org.apache.hadoop.fs.Path(paths[-1])
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(row["content"]))
+        out.close()
+    if not paths:
+        raise ValueError("the model is empty")
+    if len(paths) == 1:
+        single = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.bin")
+        files = single.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(single, False)
+        files.rename(jvm.org.apache.hadoop.fs.Path(paths[0]), single)
+        paths = [f"{folder.rstrip('/')}/{name}.bin"]
+    return paths
+
+
 def decode_shard(content: bytes) -> Iterator[tuple[str, float]]:
     at = 0
     while at < len(content):

@@ -7,4 +7,4 @@ def test_every_sql_has_a_query():
 
 def test_flagship(spark):
     df = entry.entry(spark)
-    assert df.columns == ["text", "lang", "words"] and df.limit(5).count() == 5
+    assert df.columns == ["doc_id", "line_no", "place", "start", "len", "term", "prob"] and df.limit(5).count() == 5

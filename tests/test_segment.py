@@ -1,5 +1,8 @@
 import random
+import subprocess
+import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,8 +28,16 @@ def brute(text, model):
     return out[::-1]
 
 
-def lex(model):
-    return S.Lexicon.of(list(model), list(model.values()))
+def lex(model, lang="x"):
+    return S.Lexicon.of(pa.table({"lang": [lang] * len(model), "term": list(model), "prob": pa.array(model.values(), pa.float64())}))
+
+
+def run(texts, lexicon, lang="x"):
+    (w,) = S.viterbi(texts, lexicon, [lang])
+    out = [[] for _ in texts]
+    for t, a, n, p in zip(w.text.tolist(), w.start.tolist(), w.length.tolist(), w.prob.tolist(), strict=True):
+        out[t].append((a, n, p))
+    return out
 
 
 @pytest.mark.parametrize(
@@ -36,27 +47,72 @@ def lex(model):
     ],
 )
 def test_words(text, want):
-    (got,) = S.viterbi([S.T.fold(text)], lex(TOY))
+    (got,) = run([S.T.fold(text)], lex(TOY))
     assert " ".join(S.T.fold(text)[a : a + n] for a, n, _ in got) == want
     assert got == brute(text, TOY)
 
 
 def test_ties_take_the_shorter_last_word():
-    assert [n for _, n, _ in S.viterbi(["AB"], lex({"A": 0.5, "B": 0.5, "AB": 0.25}))[0]] == [1, 1]
+    assert [n for _, n, _ in run(["AB"], lex({"A": 0.5, "B": 0.5, "AB": 0.25}))[0]] == [1, 1]
 
 
 def test_underflow_ends_in_single_characters():
     m = {"TO": 3e-4, "READ": 5e-6, "E": 1e-4, "RE": 1e-5, "AD": 1e-5, "TOR": 1e-6}
-    (got,) = S.viterbi(["TOREAD" * 60], lex(m))
+    (got,) = run(["TOREAD" * 60], lex(m))
     zero = [n for _, n, p in got if p == 0]
     assert len(zero) == 142 and set(zero) == {1}
 
 
-def test_against_the_recurrence():
+@pytest.mark.parametrize("block", [4096, 3, 1])
+def test_against_the_recurrence(monkeypatch, block):
+    monkeypatch.setattr(S, "_BLOCK", block)
     rng = random.Random(1)
-    model = {"".join(rng.choices("ABCÄ-", k=rng.randint(1, 5))): rng.random() for _ in range(60)}
-    texts = ["".join(rng.choices("ABCÄ-1 ", k=rng.randint(0, 40))) for _ in range(60)]
-    assert S.viterbi(texts, lex(model)) == [brute(t, model) for t in texts]
+    model = {"".join(rng.choices("ABCÄ-𐀀", k=rng.randint(1, 5))): rng.random() for _ in range(60)}
+    texts = ["".join(rng.choices("ABCÄ-1 𐀀", k=rng.randint(0, 40))) for _ in range(60)]
+    assert run(texts, lex(model)) == [brute(t, model) for t in texts]
+    assert all(run([t], lex(model)) == [brute(t, model)] for t in texts)
+    long = "".join(rng.choices("ABCÄ1", k=3000))
+    assert run([long, long[:2000]], lex(model)) == [brute(long, model), brute(long[:2000], model)]
+
+
+def test_empty_model_and_equal_terms():
+    assert run(["AB1", ""], lex({"Q": 0.5})) == [brute("AB1", {}), []]
+    two = pa.table({"lang": ["a", "b", "a", "b"], "term": ["IT", "IT", "IS", "IT"], "prob": [0.1, 0.2, 0.3, 0.4]})
+    both = S.Lexicon.of(two)
+    assert both.langs == ["a", "b"] and run(["ITIS"], both, "a") == [brute("ITIS", {"IT": 0.1, "IS": 0.3})] and run(["ITIS"], both, "b") == [brute("ITIS", {"IT": 0.2})]
+
+
+def test_long_line_in_bounded_memory():
+    """A line of ten million characters, in a process of its own."""
+    code = """
+import random, resource, pyarrow as pa
+from lexloom.operators import segment as S
+rng = random.Random(1)
+terms = {"".join(rng.choices("ABCDE", k=rng.randint(1, 100))) for _ in range(5000)} | set("ABCDE")
+lex = S.Lexicon.of(pa.table({"lang": ["x"] * len(terms), "term": sorted(terms), "prob": [0.5] * len(terms)}))
+text = "".join(rng.choices("ABCDE", k=1000)) * 10_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+(w,) = S.viterbi([text], lex, ["x"])
+assert int(w.length.sum()) == len(text) and len(w.start) > 5_000_000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=False)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 1024
+
+
+def test_own_language_and_terms(spark):
+    rows = [("a", "IT", 0.01), ("a", "IS", 0.02), ("b", "ITIS", 0.001), ("b", "ÉÜ", 0.02)]
+    model = spark.createDataFrame(rows, "lang string, term string, prob double")
+    df = spark.createDataFrame([(1, "ITIS", "a"), (2, "itis", "b"), (3, "éü1ßx", "b"), (4, None, "a")], "n int, text string, lang string")
+    for plan in (S.lexicon(model), model):
+        got = {r["n"]: r["results"] for r in S.segment(df, plan, own="lang", terms=True).collect()}
+        assert {k: [x["lang"] for x in v] for k, v in got.items()} == {1: ["a"], 2: ["b"], 3: ["b"], 4: ["a"]}
+        assert {k: [t["term"] for t in v[0]["tps"]] for k, v in got.items()} == {1: ["IT", "IS"], 2: ["ITIS"], 3: ["ÉÜ", "1", "ß", "X"], 4: []}
+        every = S.segment(df, plan, terms=True).filter("n = 3").first()["results"]
+        assert [[t["term"] for t in r["tps"]] for r in every] == [["É", "Ü", "1", "ß", "X"], ["ÉÜ", "1", "ß", "X"]]
+        with pytest.raises(Exception, match="language not found"):
+            S.segment(df.withColumn("lang", F.lit("z")), plan, own="lang").collect()
 
 
 def test_languages(spark):
@@ -74,7 +130,7 @@ def test_languages(spark):
     with pytest.raises(Exception, match="language not found"):
         S.segment(df.limit(1), model).select(S.routed("results", F.lit("x"))).collect()
     with pytest.raises(ValueError, match="use segment_by_join"):
-        S.lexicons(model, max_terms=2)
+        S.lexicon(model, max_terms=2)
 
 
 def test_join_form_agrees(spark):
@@ -96,7 +152,10 @@ def test_large_models_take_the_join(spark, monkeypatch):
     want = [plain(None), plain(["c", "a"])]
     schema = S.segment(df, model).schema["results"].dataType.simpleString()
     monkeypatch.setattr(S, "MAX_TERMS", 4)
-    assert "MapInArrow" not in S.segment(df, model)._jdf.queryExecution().toString()
+    assert "Join" in S.segment(df, model)._jdf.queryExecution().toString()
+    own = df.withColumn("own", F.when(F.col("n") % 2 == 0, "a").otherwise("c"))
+    joined = [sorted(map(str, S.segment(own, m, own="own", terms=True).collect())) for m in (model, S.lexicon(model, 99))]
+    assert joined[0] == joined[1]
     assert [plain(None), plain(["c", "a"])] == want and S.segment(df, model).schema["results"].dataType.simpleString() == schema
     with pytest.raises(ValueError, match="language not found"):
         S.segment(df, model, langs=["x"])
@@ -107,12 +166,12 @@ def test_queries_with_large_models(spark, monkeypatch, tmp_path):
     spark.createDataFrame(docs, "doc_id int, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     talks = [("c1", 0, "itis toread"), ("c1", 1, "esistgut"), ("c2", 0, " "), ("c2", 1, "gut, 1x")]
     spark.createDataFrame(talks, "conv_id string, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    names = ["viterbi_terms", "best_language", "all_languages", "routed_language", "console_lines", "line_segments", "request_responses"]
+    names = ["segment_text", "segment_best", "segment_all", "viterbi_terms", "best_language", "all_languages", "routed_language", "console_lines", "share_lines", "result_strings", "line_segments", "request_responses"]
     rows = lambda: {k: sorted(map(str, registry.QUERIES[k](spark, str(tmp_path)).collect())) for k in names}
     want = rows()
     monkeypatch.setattr(S, "MAX_TERMS", 3)
     assert all(want.values()) and rows() == want
-    assert not any("MapInArrow" in registry.QUERIES[k](spark, str(tmp_path))._jdf.queryExecution().toString() for k in names)
+    assert all("Join" in registry.QUERIES[k](spark, str(tmp_path))._jdf.queryExecution().toString() for k in names)
 
 
 def test_each_row_of_conversations_is_answered(spark, tmp_path):
@@ -143,3 +202,22 @@ def test_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("seg").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r[0] for r in spark.sql("select size(best.tps) from seg").collect()) == [2, 2]
+
+
+def test_views(spark):
+    model = spark.createDataFrame([("EN", "IT", 0.01), ("EN", "IS", 0.02), ("DE", "ITIS", 0.5)], "lang string, term string, prob double")
+    df = S.segment(spark.createDataFrame([("itis",), ("",)], "text string"), model, terms=True)
+    got = [tuple(r) for r in df.select(R.line_view(S.best()), R.result_view(S.routed("results", F.lit("EN"))), R.share_view(S.shares())).collect()]
+    assert got[0][:2] == ("'ITIS' (DE)", "'EN', ('IT': 0.01, 'IS': 2.0E-4)") and got[1][:2] == ("EMPTY", "'EN', ()")
+    assert [x.split("  ")[0] for x in got[0][2].split("\n")] == ["(DE)", "(EN)"] and got[0][2].endswith("'IT IS'")
+
+
+def test_counts_of_a_stream(spark, tmp_path):
+    from lexloom.streaming.segments import term_counts
+
+    path = tmp_path / "in"
+    spark.createDataFrame([("en", "one two one", "2024-01-01 00:10:00"), ("en", "one", "2024-01-01 01:10:00")], "lang string, text string, at string").withColumn("at", F.to_timestamp("at")).write.parquet(str(path))
+    q = term_counts(spark.readStream.schema("lang string, text string, at timestamp").parquet(str(path)), "at").writeStream.format("memory").outputMode("complete").queryName("counts").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {(r["window"]["start"].hour, r["term"]): r["freq"] for r in spark.sql("select * from counts").collect()}
+    assert got == {(0, "ONE"): 2, (0, "TWO"): 1, (1, "ONE"): 1}
