@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise, release, shared_dir
+
+__all__ = ["SLICE", "WORD", "crc_mod", "fresh", "held_out", "map_columns", "materialise", "release", "shared_dir", "table"]
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch that are Python objects at a time.
@@ -20,35 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests on one machine) a local one is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jsc = spark.sparkContext._jsc.sc()
-        got = jsc.getCheckpointDir()
-        if got.isDefined():
-            base = got.get()
-        else:
-            base = tempfile.mkdtemp(prefix="lexloom-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts the lineage.
-
-    The files outlive lost executors; the cluster's retention of
-    spark.checkpoint.dir removes them.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that no column of df has, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -76,13 +49,20 @@ def map_columns(
     """Adds columns made by fn from Arrow batches; rows keep their place.
 
     fn takes the input columns as Python lists and returns one Arrow array a
-    column of `outputs` (a DDL string). `keep` names the columns to carry.
+    column of `outputs` (a DDL string). `keep` names the columns to carry; an
+    output whose name one of them has gets underscores in front of it.
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     keep = df.columns if keep is None else keep
     added = _parse_datatype_string(outputs)
-    schema = StructType([df.schema[c] for c in keep] + list(added.fields))
+    fields = [df.schema[c] for c in keep]
+    for f in added.fields:
+        taken = {x.name.lower() for x in fields}
+        while f.name.lower() in taken:
+            f.name = f"_{f.name}"
+        fields.append(f)
+    schema = StructType(fields)
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
