@@ -1,20 +1,27 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Each page's containers are scored by the text of their paragraphs, less what is
-in links. The best containers vote, with their share of the page's score, for a
-generalised path: the tags from the root with their classes, digits masked.
-Spark adds the votes up by host; the path with most votes is the host's (ties:
-the first by code point). A container inside an article or main stands for the
-nearest of them, so that what is beside it there is kept. Every page is then extracted again from the
-containers on its host's path. A page that has none on it, or none with text,
-falls back on its own best container.
+in links. They vote, with their share of the page's score, for a generalised
+path: the tags from the root with their classes, digits masked. Spark adds the
+votes up by host; the path with most votes is the host's (ties: the first by
+digest). A container inside an article or main stands for the nearest of them,
+so that what is beside it there is kept. Every page is then extracted again from
+the containers on its host's path. A page that has none on it, or none with
+text, falls back on its own best container, and without any on all its text;
+`path` is that of the container really used (null: none).
 
 Left out: menus, headers and footers of the page, sidebars, notices, adverts,
-forms, scripts, styles and reader comments, told by tag, role, class and id. A
-header inside an article keeps its headings. Character references are decoded,
-white space in a block (line breaks included) becomes one space, blocks are
-trimmed and joined by a line feed. A null or empty html gives an empty text; a
-null or odd url belongs to the host ''. Repeated pages are extracted each.
+forms, scripts, styles and reader comments, told by tag, role and hidden state,
+and by name: a class or id all of whose parts say so or say nothing. Names of
+headings and the ids of sections, which are slugs of their titles, count only if
+they are plain. A block told by name alone is kept if it has a main element or a
+first heading in it; one whose name also has other uses, if it has half of the
+article's text (outside articles: of the page's). A header inside an article
+keeps its headings. Character references are decoded, white space in a block
+(line breaks included) becomes one space, blocks are trimmed and joined by a
+line feed. A null or empty html gives an empty text; a null or odd url belongs
+to the host ''. Repeated pages are extracted each. Very long pages are parsed
+whole, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -29,28 +36,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_columns, materialise
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title|math|object|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title|canvas|audio|video|annotation|annotation-xml)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-z][^>]*>"
     r"|<[!?/][^>]*>",
     re.I | re.S,
 )
-_ATTR = re.compile(r"(class|id|role|itemprop|hidden|style|aria-hidden|aria-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+#: Tags that start and end a block; all others are part of a line.
+_BLOCK = frozenset(
+    "html head body main article section nav aside header footer hgroup address div p pre blockquote center dialog dir menu ul ol li dl dt dd figure figcaption fieldset legend form details summary "
+    "h1 h2 h3 h4 h5 h6 table caption colgroup thead tbody tfoot tr td th optgroup option datalist frameset noframes search".split()
+)
 _CONTAINER = frozenset("article body div main section td html center".split())
-_NOISE_TAG = frozenset("nav footer aside form button dialog menu head fieldset input option datalist".split())
+_NOISE_TAG = frozenset("nav footer aside form button dialog menu head fieldset input option datalist search".split())
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar alert".split())
-#: Parts of class names and ids that tell what is not of the article.
-_NOISE_WORD = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "sidebar sidebars rail footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification disclaimer popup modal overlay newsletter subscribe subscription signup "
-    "login comment comments commentlist discussion disqus respond replies reply share sharing social related recommended recommendations trending "
-    "widget widgets pagination pager skip search searchbox alert toast outbrain taboola".split()
+#: Parts of names: what is plainly not of the article; what is mostly not; and what says nothing about it.
+_PLAIN = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsors sponsored promo promos nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars "
+    "footer masthead topbar toolbar cookie cookies consent gdpr popup modal newsletter newsletters subscribe signup comment comments commentlist disqus respond pagination pager searchbox searchform outbrain taboola".split()
+)
+_MOSTLY = frozenset(
+    "discussion discussions related recommended recommendations trending share sharing social widget widgets notice notices notification notifications disclaimer banner banners alert alerts toast overlay login "
+    "search skip reply replies rail promotion promotions subscription teaser teasers".split()
+)
+_NEUTRAL = frozenset(
+    "a and area article articles bar block blog body bottom box btn button buttons center col column container content cta entry external fixed floating footer form global grid group header icons in inner item items "
+    "js large left link links list local main message mobile module more news of on outer page panel post posts primary right row secondary section site slot small stack sticky story stories text the thread to top "
+    "unit user users view wide wrap wrapper".split()
 )
 _GOOD_WORD = frozenset("article content post entry story body text main page blog news".split())
 _CLOSES_P = frozenset(
@@ -58,39 +76,61 @@ _CLOSES_P = frozenset(
 )
 _SELF_CLOSE = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks whose ids are slugs of titles.
+_TITLED = _HEADING | {"section"}
+#: Blocks that can be of no article for names that also have other uses.
+_NAMED = frozenset("div section ul ol dl table td aside figure details header blockquote center".split())
 #: Parts of a name: camel case and punctuation end one.
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: The containers of a page that vote, and how deep paths go.
-VOTERS, DEPTH = 3, 24
-#: Characters of a path; a longer one stands as its digest, so that deep pages take no square of their depth.
-LONGEST_PATH = 1024
 _BODY = frozenset(("html", "body"))
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "soft", "parent", "score", "first", "last", "article", "container", "heading", "link", "name")
+    __slots__ = ("tag", "key", "noise", "soft", "parent", "score", "first", "last", "article", "container", "heading", "link", "name", "named", "kept", "plain", "whole")
+
+    def path(self) -> str:
+        names, n = [], self
+        while n.parent is not None:
+            names.append(n.name)
+            n = n.parent.container
+        return ">".join(reversed(names))
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(raw)} if "=" in raw or "hidden" in raw else {}
+    return {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(raw)} if "=" in raw or "hidden" in raw.lower() else {}
 
 
 def _parts(name: str) -> set[str]:
     return {p.lower() for p in _PART.findall(name)}
 
 
+def _says(names: list[str]) -> str:
+    """plain or mostly, if one of the names says so all through, or ''."""
+    out = ""
+    for x in names:
+        p = _parts(x)
+        if p & _PLAIN and p <= _PLAIN | _MOSTLY | _NEUTRAL:
+            return "plain"
+        if p & _MOSTLY and p <= _MOSTLY | _NEUTRAL:
+            out = "mostly"
+    return out
+
+
 class Page:
     """Blocks of text in order, and containers with the range of blocks that each spans."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, bool]] = []  # text, whether it is of no article
+        self.blocks: list[tuple[str, int, Node]] = []  # text, characters in links, the node open at its end
         self.containers: list[Node] = []
+        self._names: list[Node] = []  # nodes that their names tell to be of no article
         self._text: list[str] = []
         self._linked = 0
         root = Node()
-        root.tag, root.path, root.noise, root.soft, root.parent, root.score = "", "", False, False, None, 0.0
-        root.first, root.last, root.article, root.container, root.heading, root.link, root.name = 0, 0, False, root, False, False, ""
+        root.tag, root.key, root.noise, root.soft, root.parent, root.score = "", b"", False, False, None, 0.0
+        root.first, root.last, root.article, root.container, root.heading, root.link, root.name = 0, 0, None, root, False, False, ""
+        root.named, root.kept, root.plain, root.whole = None, True, False, False
+        self.root = root
         self.stack = [root]
         self.containers.append(root)
         self._open_tags: Counter = Counter()
@@ -101,8 +141,8 @@ class Page:
             at = m.end()
             name = m[3]
             if name is None:
-                if m[1] and m[1].lower() not in ("noscript", "svg", "math"):
-                    self._flush() if m[1].lower() not in ("select", "textarea") else None
+                if m[1] and m[1].lower() not in ("noscript", "svg", "annotation", "annotation-xml", "select", "textarea"):
+                    self._flush()
                 continue
             name = name.lower()
             if m[2]:
@@ -119,6 +159,7 @@ class Page:
         self._flush()
         for n in self.stack:
             n.last = len(self.blocks)
+        self._settle()
 
     @staticmethod
     def _unclosed(m: re.Match) -> bool:
@@ -128,8 +169,11 @@ class Page:
         return m[0].startswith("<!--") and not (m[0].endswith("-->") and len(m[0]) > 6)
 
     def _add(self, raw: str) -> None:
+        top = self.stack[-1]
+        if top.noise:
+            return
         self._text.append(raw)
-        if self.stack[-1].link:
+        if top.link:
             self._linked += len(raw)
 
     def _flush(self) -> None:
@@ -138,30 +182,47 @@ class Page:
         raw = "".join(self._text)
         self._text.clear()
         linked, self._linked = self._linked, 0
-        if not raw.isspace():
+        top = self.stack[-1]
+        if not raw.isspace() and not (top.soft and not top.heading):
             text = " ".join(unescape(raw).split())
             if text:
-                top = self.stack[-1]
-                noise = top.noise or top.soft and not top.heading
-                self.blocks.append((text, noise))
-                if not noise:
-                    weight = max(len(text) - linked, 0)
-                    if weight >= 20:
-                        weight *= 1.0 if len(text) >= 60 else 0.5
-                        c = top.container
-                        c.score += weight
-                        if c.parent is not None:
-                            c.parent.container.score += weight / 2
+                self.blocks.append((text, linked, top))
+
+    def _settle(self) -> None:
+        """Tells which of the named nodes are of the article after all, drops the blocks of the others, and scores the containers."""
+        before = [0]
+        for text, _, _ in self.blocks:
+            before.append(before[-1] + len(text))
+        for n in reversed(self._names):  # inner ones first
+            if n.whole and n.parent.named is not None:
+                n.parent.named.whole = True
+        for n in self._names:
+            room, outer = n.article or self.root, n.parent.named
+            n.kept = n.whole or not n.plain and 2 * (before[n.last] - before[n.first]) >= before[room.last] - before[room.first] > 0
+            n.kept = n.kept and (outer is None or outer.kept)
+        self.noise = []
+        for text, linked, top in self.blocks:
+            noise = top.named is not None and not top.named.kept
+            self.noise.append(noise)
+            weight = max(len(text) - linked, 0)
+            if not noise and weight >= 20:
+                weight *= 1.0 if len(text) >= 60 else 0.5
+                c = top.container
+                c.score += weight
+                if c.parent is not None:
+                    c.parent.container.score += weight / 2
+        self._like = Counter((n.parent.container, n.key) for n in self.containers if n.parent is not None and n.score > 0)
 
     def _open(self, name: str, raw: str) -> None:
         if name == "br" or name == "wbr":
-            self._text.append(" " if name == "br" else "")
+            self._add(" " if name == "br" else "")
             return
         if name in _VOID:
             if name == "hr":
                 self._flush()
             return
-        if name not in _INLINE:
+        block = name in _BLOCK
+        if block:
             self._flush()
             if name in _CLOSES_P:
                 self._pop_to({"p"}, _CONTAINER | {"li", "blockquote", "table"})
@@ -171,35 +232,43 @@ class Page:
         up = self.stack[-1]
         n = Node()
         n.tag, n.parent, n.score, n.first, n.last, n.name = name, up, 0.0, len(self.blocks), None, name
-        n.noise, n.soft, n.article, n.heading, n.link = up.noise, up.soft, up.article or name in ("article", "main"), up.heading or name in _HEADING, up.link or name == "a"
+        n.noise, n.soft, n.article, n.heading, n.link, n.named = up.noise, up.soft, up.article, up.heading or name in _HEADING, up.link or name == "a", up.named
+        n.kept, n.plain, n.whole = True, False, False
+        own = name in ("article", "main")
+        if name in ("main", "h1") and up.named is not None:
+            up.named.whole = True
         a = _attributes(raw) if raw else {}
-        classes: list[str] = []
+        classes = a["class"].split() if "class" in a else []
         if a:
-            classes = sorted(set(a.get("class", "").split()))[:3]
             role = a.get("role", "").lower()
-            n.article = n.article or role in ("main", "article") or "articlebody" in a.get("itemprop", "").lower()
+            own = own or role in ("main", "article") or "articlebody" in a.get("itemprop", "").lower()
             if role in _NOISE_ROLE or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
                 n.noise = True
-            if name not in _BODY and name != "article" and name != "main":
-                words = _parts(a.get("class", "") + " " + a.get("id", ""))
-                if words & _NOISE_WORD and not (words & {"article", "entry", "story"} and words & {"body", "content", "text"}):
-                    n.noise = True
-                if "header" in words and name not in _HEADING:
-                    n.soft, n.noise = True, n.noise or not up.article
+            if name not in _BODY and not own and not n.noise:
+                ids = a["id"].split() if "id" in a else []
+                says = _says(classes if name in _HEADING else classes + ids)
+                if says == "mostly" and (name not in _NAMED or name in _TITLED and _says(classes) != "mostly"):
+                    says = ""
+                if says and not block:
+                    n.noise = n.noise or says == "plain"
+                elif says:
+                    n.named, n.kept, n.plain = n, False, says == "plain"
+                    self._names.append(n)
+                if block and name not in _HEADING and any("header" in (p := _parts(x)) and p <= _NEUTRAL for x in classes + ids):
+                    n.soft, n.noise = True, n.noise or up.article is None
+        if own and up.article is None:
+            n.article = n
         if name in _NOISE_TAG:
             n.noise = True
         elif name == "header":
-            n.soft, n.noise = True, n.noise or not up.article
+            n.soft, n.noise = True, n.noise or up.article is None
         if name in _CONTAINER and not n.noise:
             n.container = n
-            if len(self.stack) <= DEPTH:
-                n.name = ".".join([name, *(re.sub(r"\d+", "#", c) for c in classes)])
+            n.name = ".".join([name, *sorted({re.sub(r"\d+", "#", c) for c in classes})])
             self.containers.append(n)
-            n.path = f"{up.container.path}>{n.name}"
-            if len(n.path) > LONGEST_PATH:
-                n.path = "~" + md5(n.path.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+            n.key = md5(up.container.key + n.name.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
         else:
-            n.container, n.path = up.container, up.path
+            n.container, n.key = up.container, up.key
         self.stack.append(n)
         self._open_tags[name] += 1
 
@@ -218,13 +287,13 @@ class Page:
         del self.stack[i:]
 
     def _close(self, name: str) -> None:
-        if name not in _INLINE:
+        if name in _BLOCK:
             self._flush()
         if not self._open_tags[name]:
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == name:
-                if name in _INLINE and any(n.tag not in _INLINE for n in self.stack[i + 1 :]):
+                if name not in _BLOCK and any(n.tag in _BLOCK for n in self.stack[i + 1 :]):
                     return  # an inline end does not close blocks
                 self._drop(i)
                 return
@@ -236,15 +305,17 @@ class Page:
         return n.score * (2.0 if n.tag in ("article", "main") else 1.25 if words & _GOOD_WORD and n.tag != "body" else 1.0)
 
     def best(self) -> list[tuple[Node, float]]:
-        """The containers of most worth with their shares; the first of equals by order."""
-        ranked = sorted(((n, self._worth(n)) for n in self.containers if n.score > 0), key=lambda x: -x[1])[:VOTERS]
+        """The containers that have text with their shares of worth, the largest first; of equals the first by order."""
+        ranked = sorted(((n, self._worth(n)) for n in self.containers if n.score > 0), key=lambda x: -x[1])
         total = sum(w for _, w in ranked)
         return [(self._article(self._whole(n)), w / total) for n, w in ranked]
 
     def _article(self, n: Node) -> Node:
-        """The nearest article or main (by tag, else by role) that has the container, for headings and leads beside it; else itself."""
-        up = n if n.article else None
-        while up is not None and up.tag not in ("article", "main") and not (up.article and not up.parent.article):
+        """The article or main (by tag or role) that has the container, for headings and leads beside it: the nearest by tag, else the outermost by role; else itself."""
+        if n.article is None:
+            return n
+        up = n
+        while up is not None and up.tag not in ("article", "main") and up is not n.article:
             up = up.parent.container if up.parent is not None else None
         return n if up is None else up
 
@@ -253,23 +324,23 @@ class Page:
         up = n.parent.container if n.parent is not None else None
         if up is None or n.tag in ("article", "main", "body") or up.tag in ("", "html"):
             return n
-        like = sum(1 for x in self.containers if x is not n and x.path == n.path and x.score > 0 and x.parent is not None and x.parent.container is up)
-        return up if like else n
+        return up if self._like[up, n.key] > 1 else n
 
     def texts(self, nodes: list[Node]) -> list[str]:
         out, end = [], 0
         for n in nodes:  # in order of their starts; what an outer one has, an inner one doesn't repeat
-            out += [t for t, noise in self.blocks[max(n.first, end) : n.last] if not noise]
+            out += [self.blocks[i][0] for i in range(max(n.first, end), n.last) if not self.noise[i]]
             end = max(end, n.last)
         return out
 
-    def extract(self, path: str | None) -> str:
-        if path is not None and (got := self.texts([n for n in self.containers if n.path == path])):
-            return "\n".join(got)
+    def extract(self, key: bytes | None) -> tuple[str, str | None]:
+        """The text and the path of the container used; key: that of the host's path."""
+        if key is not None and (nodes := [n for n in self.containers if n.key == key and n.parent is not None]) and (got := self.texts(nodes)):
+            return "\n".join(got), nodes[0].path()
         top = self.best()
-        if top and (got := self.texts([top[0][0]])):
-            return "\n".join(got)
-        return "\n".join(t for t, noise in self.blocks if not noise)  # no paragraph of any length
+        if top and top[0][0].parent is not None and (got := self.texts([top[0][0]])):
+            return "\n".join(got), top[0][0].path()
+        return "\n".join(b[0] for b, noise in zip(self.blocks, self.noise, strict=True) if not noise), None  # no paragraph of any length
 
 
 def _host(url):
@@ -277,36 +348,35 @@ def _host(url):
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path, votes: added up in each task first, so that a large host sends little."""
+    """host, path (its digest), votes: added up in each task first, so that a large host sends little."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: Counter = Counter()
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for n, share in Page(html).best() if html else ():
-                    held[host, n.path] += round(share * 1e6)  # whole numbers add up alike in any order
+                    held[host, n.key] += round(share * 1e6)  # whole numbers add up alike in any order
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in held]), pa.array([p for _, p in held]), pa.array(list(held.values()), pa.int64())], names=["host", "path", "votes"])
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in held]), pa.array([p for _, p in held], pa.binary()), pa.array(list(held.values()), pa.int64())], names=["host", "path", "votes"])
 
-    found = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, votes bigint")
+    found = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path binary, votes bigint")
     return found.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the path of most votes; of equals the first by code point."""
+    """host, path: the path of most votes; of equals the first by digest."""
     top = votes(pages).groupBy("host").agg(F.min(F.struct(-F.col("votes"), "path")).alias("t"))
     return top.select("host", F.col("t.path").alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars and the path used for each row of pages."""
-    winners = materialise(host_paths(pages), "html-paths").withColumnRenamed("host", "winner")
+    """page_id, url, text, n_chars and the path used for each row of pages; other columns are left out."""
+    winners = materialise(host_paths(pages), "html-paths").toDF("winner", "key")
     # Its files' size tells Spark whether the paths of all hosts can be broadcast.
     both = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(winners, F.col("host") == F.col("winner"), "left")
-    from .common import map_columns
 
-    def run(htmls: list[str | None], paths: list[str | None]) -> list[pa.Array]:
-        texts = [Page(h).extract(p) if h else "" for h, p in zip(htmls, paths, strict=True)]
-        return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+    def run(htmls: list[str | None], keys: list[bytes | None]) -> list[pa.Array]:
+        got = [Page(h).extract(k) if h else ("", None) for h, k in zip(htmls, keys, strict=True)]
+        return [pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([p for _, p in got], pa.string())]
 
-    return map_columns(both, ["html", "path"], "text string, n_chars bigint", run, ["page_id", "url", "path"])
+    return map_columns(both, ["html", "key"], "text string, n_chars bigint, path string", run, ["page_id", "url"])
