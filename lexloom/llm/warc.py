@@ -1,7 +1,8 @@
 """WARC archives and their index, merged externally.
 
 Writing: each page is a record of its own gzip member; archives are files of
-such members in a folder of the shared file system, written by Spark. Of
+such members in a folder of the shared file system, written by Spark, each of
+ARCHIVE_BYTES and a record at most. Of
 records with equal payloads the one of the smallest id holds the payload
 (response), the others point to it (revisit), so a payload is stored once.
 
@@ -34,13 +35,13 @@ from .common import materialise, shared_dir
 
 #: Payloads of at least so many bytes are stored once.
 REVISIT_FROM = 0
-#: Bytes of payload that an archive takes; archives stay well below what a task can hold.
+#: An archive ends with the record that takes it to so many bytes.
 ARCHIVE_BYTES = 32 << 20
 #: Captures in a range of the merge.
 RANGE_ROWS = 100_000
 LEVEL = 4
 _EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
-#: Between two members stands an empty one, for Spark's text writer wants a separator.
+#: An archive ends with an empty member, for Spark's text writer wants a separator.
 _EMPTY = gzip.compress(b"", mtime=0)
 CAPTURE = "urlkey string, timestamp string, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, archive string, offset bigint, length bigint"
 ORDER = ("urlkey", "timestamp", "page_id")
@@ -119,7 +120,7 @@ def _members(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]
         base += used
 
 
-def write(pages: DataFrame, path: str) -> None:
+def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes the archives of pages (page_id, url, html) to a new folder."""
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("bytes", F.octet_length("html"))
@@ -130,17 +131,22 @@ def write(pages: DataFrame, path: str) -> None:
     both = rows.join(again, F.col("sha") == F.col("again"), "left")
     both = both.withColumn("revisit", F.col("again").isNotNull() & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole archives, a row each."""
+        held = bytearray()
         for b in batches:
-            out = []
-            for page_id, url, html, sha, first, revisit in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                out.append(record(page_id, url, html.encode("utf-8", "surrogatepass"), base64.b32encode(sha).decode(), first, revisit))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+            for i in range(b.num_rows):
+                page_id, url, html, sha, first, revisit = (c[i].as_py() for c in b.columns)
+                held += record(page_id, url, html.encode("utf-8", "surrogatepass"), base64.b32encode(sha).decode(), first, revisit)
+                if len(held) >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([bytes(held)], pa.binary())], names=["archive"])
+                    held.clear()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(held)], pa.binary())], names=["archive"])
 
-    members = both.select("page_id", "url", "html", "sha", "first_id", "revisit").mapInArrow(records, "member binary")
-    per_file = max(1, ARCHIVE_BYTES // (64 << 10))
-    # The text writer puts a value's bytes as they are.
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", per_file * 16).text(path)
+    whole = both.select("page_id", "url", "html", "sha", "first_id", "revisit").mapInArrow(archives, "archive binary")
+    # The text writer puts a value's bytes as they are; a row is a file.
+    whole.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
@@ -220,11 +226,12 @@ class LoserTree:
 def merged(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Merges runs (see captures) by ORDER; `part` is the range, in which rows come in order with `seq` from 0."""
     runs = materialise(runs, "warc-runs")
-    n = max(1, -(-runs.count() // range_rows))
+    count = runs.count()
+    n = max(1, -(-count // range_rows))
     cuts = []
     if n > 1:  # splitters: n - 1 of a sample whose size is set by n alone
-        rate = min(1.0, 40 * n / runs.count())
-        sample = sorted(tuple(r) for r in runs.filter(F.pmod(F.xxhash64("archive", "place"), F.lit(1 << 20)) < rate * (1 << 20)).select("urlkey", "timestamp", F.coalesce("page_id", F.lit(0)).alias("p")).collect())
+        rate = min(1.0, 40 * n / count)
+        sample = sorted(key(r) for r in runs.filter(F.pmod(F.xxhash64("archive", "place"), F.lit(1 << 20)) < rate * (1 << 20)).select(*ORDER).collect())
         cuts = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
 
     import bisect
@@ -234,7 +241,7 @@ def merged(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u, t, p = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ORDER)
-            at = [bisect.bisect_right(shared.value, (x, y, z or 0)) for x, y, z in zip(u, t, p, strict=True)]
+            at = [bisect.bisect_right(shared.value, key(x)) for x in zip(u, t, p, strict=True)]
             yield b.append_column("part", pa.array(at, pa.int32()))
 
     ranged = runs.mapInArrow(cut, CAPTURE + ", place bigint, part int")
