@@ -59,17 +59,22 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT *, length(bin(size)) * 512 + (size >> greatest(0, length(bin(size)) - 9)::INT) AS class FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
 w AS (SELECT *, CASE (i - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2 * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
   / (sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
 m AS (SELECT max(level) AS level FROM l),
-t AS (SELECT w.source, w.source_size, coalesce(least(cap::DOUBLE, m.level * weight), cap::DOUBLE) AS target FROM w, m),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-  ('0x' || substr(md5('mix-1:' || coalesce(d.source, '') || ':' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r"""
+t AS (SELECT *, floor(rate) AS whole, rate - floor(rate) AS more FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM (SELECT w.source, w.source_size, coalesce(least(cap::DOUBLE, m.level * weight), cap::DOUBLE) AS target FROM w, m))),
+c AS (SELECT source, class, count(*) AS n, sum(size)::BIGINT AS words, ('0x' || substr(md5('mix-1:' || coalesce(source, '') || ':' || class), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM d GROUP BY source, class),
+x AS (SELECT t.source, source_size, target, whole, more, list({'class': class, 'n': n, 'words': words, 'u': u, 'want': 0.0::DOUBLE, 'got': 0.0::DOUBLE, 'out': NULL::DOUBLE[]} ORDER BY class DESC) AS xs FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source GROUP BY ALL),
+f AS (SELECT source, source_size, target, whole, xs, list_reduce(xs, lambda a, x: list_transform([a.want + more * x.words], lambda want: list_transform([CASE WHEN x.words > 0 THEN least(x.n, greatest(0, floor((want - a.got) / (x.words / x.n) + x.u))) ELSE 0 END], lambda k:
+  {'class': x.class, 'n': x.n, 'words': x.words, 'u': x.u, 'want': want, 'got': a.got + k * CASE WHEN x.words > 0 THEN x.words / x.n ELSE 0.0 END, 'out': list_append(a.out, k / x.n)})[1])[1],
+  {'class': xs[1].class, 'n': xs[1].n, 'words': xs[1].words, 'u': xs[1].u, 'want': 0.0::DOUBLE, 'got': 0.0::DOUBLE, 'out': []::DOUBLE[]}).out AS parts FROM x),
+p AS (SELECT source, source_size, target, whole, unnest(list_transform(xs, lambda y: y.class)) AS class, unnest(parts) AS part FROM f),
+r AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.part, ('0x' || substr(md5('mix-1:' || coalesce(d.source, '') || ':' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.class = p.class)
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN u < part THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r"""
 
 OP10_SQL = """
 WITH v AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0),
