@@ -1,29 +1,34 @@
-"""Licence notices found by the Dice coefficient over word bigrams.
+"""Licences found by the Dice coefficient over word bigrams.
 
 Texts are normalised to lower-case words; a unit is a line or a whole text. A
 unit is like a template if twice the bigrams they share, over the bigrams of
 both (each counted once), is THRESHOLD or more. Such a unit has no fewer than
 t / (2 - t) and no more than (2 - t) / t times the template's bigrams, so the
 others never get to a comparison: most lines are ruled out by their word count.
-
-Where the whole text is no hit, it is also searched for notices that are wrapped
-over lines or stand among other words: for windows of consecutive words that
-start and end with a bigram of a template, with no more bigrams than the bound
-above. A window of fewer bigrams than its template is valued as if it were
-filled up with others. Of windows and lines that overlap the one with most
-bigrams shared over those not shared counts; a line always counts over the
-windows inside it.
+Templates are notices and whole licence texts.
+
+Where the whole text is no hit, it is also searched for licences that are
+wrapped over lines or stand among other words, by windows of its words with no
+more bigrams than the bound above. For a notice they start and end with a bigram
+of it, all such windows. For a template of over LONG bigrams the text is cut
+into blocks of a sixteenth of it, and a window is a run of blocks that are half
+of the template's bigrams (a single other block may be inside); it is looked at
+only if the whole text has as many of the template's bigrams as a hit needs. A
+window of fewer bigrams than its template is valued as if it were filled up with
+others. Of windows and lines that overlap the one with most bigrams shared over
+those not shared counts; a line always counts over the windows inside it.
 
 DataFrame functions alone are used, without any exchange. Templates are a
 parameter of a few entries. A null or empty text has no units. Of templates
-with equal values the first by name counts.
+with equal values the first by name counts. Repeated rows get the same result.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from functools import reduce
+from functools import lru_cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +36,10 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 THRESHOLD = 0.8
-#: Notices by SPDX name, in the words that their licences ask for or that are usual.
-TEMPLATES = {
+#: Templates of more bigrams are looked for by blocks.
+LONG = 90
+#: Notices by SPDX name, in the words that their licences ask for or that are usual.
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "BSD-3-Clause": "Released under the BSD 3-Clause License.",
@@ -46,9 +53,17 @@ TEMPLATES = {
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Whole texts of licences, as published.
+TEXTS = Path(__file__).parent / "license_texts"
 _TOKEN = r"[a-z0-9]+"
 
 
+@lru_cache(maxsize=1)
+def templates_of() -> dict[str, str]:
+    """The notices and the whole texts, by name."""
+    return NOTICES | {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted(TEXTS.glob("*.txt"))}
+
+
 def words_of(text: str) -> list[str]:
     return re.findall(_TOKEN, text.lower())
 
@@ -74,6 +89,20 @@ def _needed(bigrams: list[str], t: float) -> list[str]:
     return sorted(bigrams, key=lambda b: (-max(map(len, b.split(" "))), b))[:k]
 
 
+def _telling(templates: list[list[str]], t: float) -> list[str]:
+    """Words of which a unit like one of the (long) templates has one at least: without them it has too few of its bigrams."""
+    left = {i: (set(b), math.ceil(len(b) * t / (2 - t) - 1e-9)) for i, b in enumerate(templates)}
+    words: list[str] = []
+    while left := {i: (b, n) for i, (b, n) in left.items() if len(b) >= n}:
+        weight: dict[str, float] = {}
+        for b, n in left.values():
+            for w in (w for x in b for w in set(x.split(" ")) if len(w) >= 6):
+                weight[w] = weight.get(w, 0) + 1 / n
+        words.append(max(sorted(weight), key=weight.get))
+        left = {i: ({x for x in b if words[-1] not in x.split(" ")}, n) for i, (b, n) in left.items()}
+    return words
+
+
 def _let(value: Column, use) -> Column:
     """use(value), with the value made once: it is bound to a lambda's variable."""
     return F.transform(F.array(value), use)[0]
@@ -81,8 +110,11 @@ def _let(value: Column, use) -> Column:
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds license (the best template or null), dice (its value or null) and n_hits (units and windows like some template)."""
-    known = {k: b for k, v in sorted((templates or TEMPLATES).items()) if (b := bigrams_of(v))}
-    needed = sorted({b for bs in known.values() for b in _needed(bs, threshold)})
+    known = {k: b for k, v in sorted((templates or templates_of()).items()) if (b := bigrams_of(v))}
+    long = {i: b for i, b in enumerate(known.values()) if len(b) > LONG}
+    notices = {i: b for i, b in enumerate(known.values()) if i not in long}
+    needed = sorted({b for bs in notices.values() for b in _needed(bs, threshold)})
+    fixed = {i: F.split(F.lit("|".join(b)), "[|]") for i, b in enumerate(known.values())}  # folded to an array once
     least = min(_bounds(len(b), threshold)[0] for b in known.values())
 
     def pairs(w: Column) -> Column:
@@ -96,7 +128,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         size, each = F.size(own), []
         for i, b in enumerate(known.values()):
             low, high = _bounds(len(b), threshold)
-            value = 2.0 * F.size(F.array_intersect(own, F.array(*map(F.lit, b)))) / (size + len(b))
+            value = 2.0 * F.size(F.array_intersect(own, fixed[i])) / (size + len(b))
             each.append(F.struct(F.when(size.between(low, high), value).alias("d"), F.lit(-i).alias("i"), F.lit(len(b)).alias("n"), size.alias("k")))
         return F.array_max(F.filter(F.array(*each), lambda x: x["d"] >= threshold))
 
@@ -108,7 +140,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             start, end = near[0]["p"], F.element_at(near, k)["p"]
 
             def rated(w: Column) -> Column:
-                both = F.size(F.array_intersect(w, F.array(*map(F.lit, b))))
+                both = F.size(F.array_intersect(w, fixed[i]))
                 size = F.greatest(F.size(w), F.lit(len(b)))
                 return F.struct((2 * both - size).alias("r"), (2.0 * both / (size + len(b))).alias("d"), F.lit(-i).alias("i"), start.alias("s"), end.alias("e"))
 
@@ -128,13 +160,36 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
         return _let(F.filter(known_at, lambda x: x["b"].isin(b)), all_starts)
 
+    def blocks_of(own: Column, i: int, b: list[str]) -> Column:
+        """The runs of blocks that are hits of a long template."""
+        (low, high), size = _bounds(len(b), threshold), len(b) // 16
+        half = lambda x: F.size(F.array_intersect(x, fixed[i])) * 2 >= F.size(x)
+        block = lambda k: _let(F.array_distinct(F.slice(own, k * size + 1, size)), half)
+        at = F.filter(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / size).cast("int")), block)
+        none = F.array().cast("array<struct<a:int,z:int>>")
+
+        def join(runs: Column, k: Column) -> Column:
+            last = F.element_at(runs, -1)
+            follows = (F.size(runs) > 0) & (k - last["z"] <= 2)
+            return F.when(follows, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["a"].alias("a"), k.alias("z"))))).otherwise(F.concat(runs, F.array(F.struct(k.alias("a"), k.alias("z")))))
+
+        def rated(w: Column, run: Column) -> Column:
+            both = F.size(F.array_intersect(w, fixed[i]))
+            value = F.greatest(F.size(w), F.lit(len(b)))
+            end = F.least((run["z"] + 1) * size, F.size(own)) - 1
+            return F.struct((2 * both - value).alias("r"), F.when(F.size(w).between(low, high), 2.0 * both / (value + len(b))).alias("d"), F.lit(-i).alias("i"), (run["a"] * size).alias("s"), end.cast("int").alias("e"))
+
+        each = F.transform(F.aggregate(at, none, join), lambda run: _let(F.array_distinct(F.slice(own, run["a"] * size + 1, (run["z"] - run["a"] + 1) * size)), lambda w: rated(w, run)))
+        enough = _let(F.array_distinct(own), lambda d: F.size(F.array_intersect(d, fixed[i])) >= low)
+        return F.when(F.size(own) >= low, F.when(enough, F.filter(each, lambda x: x["d"] >= threshold)))
+
     kind = "array<struct<s:int,t:int,e:int,r:int,d:double,i:int>>"
     span = lambda s, t, e, r, d, i: F.struct(s.alias("s"), F.lit(t).alias("t"), e.alias("e"), r.cast("int").alias("r"), d.alias("d"), i.alias("i"))
 
     def windows(own: Column) -> Column:
-        every = sorted({x for bs in known.values() for x in bs})
+        every = sorted({x for bs in notices.values() for x in bs})
         places = F.filter(F.transform(own, lambda x, p: F.when(x.isin(every), F.struct(p.alias("p"), x.alias("b")))), lambda x: x.isNotNull())
-        search = lambda at: F.flatten(F.filter(F.array(*[windows_of(own, at, i, b) for i, b in enumerate(known.values())]), lambda x: x.isNotNull()))
+        search = lambda at: F.flatten(F.filter(F.array(*[windows_of(own, at, i, b) for i, b in notices.items()], *[blocks_of(own, i, b) for i, b in long.items()]), lambda x: x.isNotNull()))
         return F.transform(_let(places, search), lambda x: span(x["s"], 1, x["e"], x["r"], x["d"], x["i"]))
 
     def line_spans(lines: Column, each: Column) -> Column:
@@ -185,10 +240,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     # Texts without the longer word of any needed pair, or a pair of short words, can't hit; nothing more is done to them.
     rare = sorted({w for b in needed if len(w := max(b.split(" "), key=len)) >= 5})
     short = [b.replace(" ", "[^a-z0-9]+") for b in needed if max(map(len, b.split(" "))) < 5]
-    maybe = lambda low: some(low, rare) | low.rlike("|".join(short)) if short else some(low, rare)
+    telling = _telling(list(long.values()), threshold)
+    fewest = min((_bounds(len(b), threshold)[0] for b in long.values()), default=0)
+    wordy = lambda low: (F.length(low) > 2 * fewest) & some(low, telling) if telling else F.lit(False)
+    maybe = lambda low: some(low, rare) | low.rlike("|".join(short)) | wordy(low) if short else some(low, rare) | wordy(low)
     clean = lambda low: F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\n]+", " "), r" ?\n[ \n]*", "\n")
     flat = lambda c: F.replace(c, F.lit("\n"), F.lit(" "))
-    full = lambda low: _let(clean(low), lambda c: _let(flat(c), lambda f: F.when(some(f, needed), hits(c))))
+    full = lambda low: _let(clean(low), lambda c: _let(flat(c), lambda f: F.when(some(f, needed) | wordy(low), hits(c))))
     found = _let(F.lower(F.col(text)), lambda low: F.when(maybe(low), full(low)))
     names = F.array(*map(F.lit, known))
     keep = docs.columns if keep is None else keep
@@ -206,14 +264,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
 def oracle(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
     """DuckDB SQL for scan() of documents."""
-    rows = ", ".join(f"({i}, '{k}', {bigrams_of(v)!r})" for i, (k, v) in enumerate(sorted((templates or TEMPLATES).items())))
+    t = threshold
+    rows = ", ".join(f"({i}, '{k}', {bigrams_of(v)!r}, {_bounds(len(bigrams_of(v)), t)[0]}, {_bounds(len(bigrams_of(v)), t)[1]})" for i, (k, v) in enumerate(sorted((templates or templates_of()).items())))
     return f"""
-WITH t(i, name, bs) AS (VALUES {rows}),
+WITH t(i, name, bs, low, high) AS (VALUES {rows}),
 d AS (SELECT doc_id, row_number() OVER () AS r, string_split(regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS ls FROM documents),
 u AS (SELECT r, unnest(CASE WHEN len(ls) > 1 THEN list_append(ls, array_to_string(ls, ' ')) ELSE ls END) AS s FROM d),
 w AS (SELECT r, regexp_extract_all(s, '[a-z0-9]+') AS w FROM u),
 b AS (SELECT r, list_distinct([w[k] || ' ' || w[k + 1] for k in range(1, len(w))]) AS own FROM w WHERE len(w) > 1),
-s AS (SELECT b.r, t.i, t.name, 2.0::DOUBLE * len(list_intersect(own, bs)) / (len(own) + len(bs)) AS dice, row_number() OVER () AS unit_t, own FROM b, t),
+s AS (SELECT b.r, t.i, t.name, 2.0::DOUBLE * len(list_intersect(own, bs)) / (len(own) + len(bs)) AS dice, row_number() OVER () AS unit_t, own FROM b JOIN t ON len(own) BETWEEN low AND high),
 h AS (SELECT r, own, max_by(name, (dice, -i)) AS name, min(i) AS i, max(dice) AS dice, count(*) AS k FROM s WHERE dice >= {threshold} GROUP BY r, own),
 x AS (SELECT r, max_by(name, (dice, -i)) AS license, max(dice) AS dice FROM h GROUP BY r),
 n AS (SELECT b.r, count(*) AS n_hits FROM b WHERE EXISTS (SELECT 1 FROM h WHERE h.r = b.r AND h.own = b.own) GROUP BY b.r)
