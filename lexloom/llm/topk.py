@@ -1,17 +1,26 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A code has a bit for each component of a vector: 1 if it is above zero. Codes
-are cut into segments with a hash table each. A query looks up its segments'
-values at radius 0, then 1, and so on, a segment at a time. When segment j is
-done at radius r, every code within m * r + j of the query has been seen (m
-segments); the search ends once the k-th verified distance is no larger. Equal
-codes are one class; only their k smallest ids can appear in a result.
-
-Queries in blocks meet index blocks, each task holding one of either; the k
-best of each task are merged. Neighbours rank by distance, then id; the query's
-own row counts as one of all rows. Rows with a null or empty vector, a null
-component or a null id are in no result and ask nothing. Vectors of other
-lengths are never compared. Repeated rows count as often as they are there.
+are cut into m segments; the index has an entry for each segment of each
+distinct code, keyed by the segment's value. In round r each query that is still
+open looks up, in each segment, the values at r differing bits; what it finds is
+verified by the whole distance. After round r every code within
+m * r + m - 1 of the query has been seen: a query is closed once its k-th
+verified distance is no larger. Rounds go on until all are closed.
+
+Entries lie in cells: a segment and the leading bits of its value, so many that
+a cell of evenly spread codes has CELL entries at most; a cell with more is dealt
+out in parts. A task builds one cell's table at a time and takes the queries
+that are routed to it, which are those whose leading bits are near enough. Equal
+codes are one class, known by its smallest id and its number of rows. A query
+keeps k classes, those of the smallest distance and id, as no other class can be
+in its result; so a task returns k for each query at most, ties or not.
+
+Neighbours rank by distance, then id; the query's own row counts as one of all
+rows. Rows with a null or empty vector, a null component or a null id are in no
+result and ask nothing. Vectors of other lengths are never compared. Repeated
+rows count as often as they are there. Other columns are left out; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,15 +29,17 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 K = 10
-BLOCK = 32_768
-QUERY_BLOCK = 1024
+CELL = 32_768
+#: Look-ups that a task works on at a time.
+PROBES = 1 << 20
+_SEGMENT_BITS = 24
 
 
 def code_of(vector: Column) -> Column:
@@ -49,98 +60,173 @@ def pack(texts: list[str]) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1)).view(np.uint64)
 
 
-class MultiIndex:
-    def __init__(self, texts: list[str]):
-        self.words, self.n, self.bits = pack(texts), len(texts), len(texts[0])
-        self.m = max(1, min(self.bits, round(self.bits / max(np.log2(self.n + 1), 4))))
-        self.m = max(self.m, -(-self.bits // 24))  # tables of 2 ** 24 starts at most
-        self.edges = np.linspace(0, self.bits, self.m + 1).astype(int)
-        self.tables = []
-        values = self.segments(texts)
-        for j in range(self.m):
-            order = np.argsort(values[j], kind="stable")
-            width = self.edges[j + 1] - self.edges[j]
-            start = np.searchsorted(values[j][order], np.arange((1 << width) + 1))
-            self.tables.append((order, start))
-
-    def segments(self, texts: list[str]) -> list[np.ndarray]:
+class Layout:
+    """How codes of one length are cut: segments, and the leading bits of each that tell its cell."""
+
+    def __init__(self, bits: int, n: int, cell: int):
+        m = max(1, min(bits, round(bits / max(np.log2(n + 1), 4))))
+        self.bits, self.m = bits, max(m, -(-bits // _SEGMENT_BITS))
+        self.edges = np.linspace(0, bits, self.m + 1).astype(int)
+        self.widths = np.diff(self.edges)
+        lead = int(np.ceil(np.log2(max(1, n / cell))))
+        self.leads = np.minimum(lead, self.widths)
+
+    def values(self, texts: list[str]) -> list[np.ndarray]:
+        """By segment: the values of the codes' segments."""
         bits = (np.frombuffer("".join(texts).encode(), np.uint8).reshape(len(texts), -1) - 48).astype(np.int64)
         return [bits[:, a:b] @ (1 << np.arange(b - a)[::-1]) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
 
-    def search(self, texts: list[str], k: int, count: np.ndarray) -> list[np.ndarray]:
-        """For each query, the classes whose distance is no larger than the k-th row's. count: rows in each class."""
-        words, values = pack(texts), self.segments(texts)
-        out: list[np.ndarray] = []
-        masks: dict[tuple[int, int], np.ndarray] = {}
-        for q in range(len(texts)):
-            found = np.zeros(self.n, bool)
-            dist = np.full(self.n, self.bits + 1, np.int64)
-            limit, r, done = self.bits, 0, False
-            while not done:
-                alive = False
-                for j, (order, start) in enumerate(self.tables):
-                    width = int(self.edges[j + 1] - self.edges[j])
-                    if r <= width:
-                        alive = True
-                        if (width, r) not in masks:
-                            masks[width, r] = np.array([sum(1 << i for i in c) for c in combinations(range(width), r)], np.int64)
-                        at = values[j][q] ^ masks[width, r]
-                        got = _ranges(order, start[at], start[at + 1])
-                        new = got[~found[got]]
-                        if len(new):
-                            found[new] = True
-                            dist[new] = np.bitwise_count(self.words[new] ^ words[q]).sum(axis=1)
-                            rows = np.bincount(dist[found], weights=count[found], minlength=self.bits + 2).cumsum()
-                            if rows[self.bits] >= k:
-                                limit = int(np.searchsorted(rows, k))
-                    if limit <= self.m * r + j and found.any() and count[found].sum() >= k or found.all():
-                        done = True
-                        break
-                r += 1
-                done = done or not alive
-            out.append(np.flatnonzero(dist <= limit))
-        return out
-
-
-def _ranges(order: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    n = b - a
-    some = n > 0
-    a, n = a[some], n[some]
-    if not len(a):
-        return order[:0]
-    return order[np.repeat(a - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())]
-
-
-def search(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    def cell(self, j: int, lead: np.ndarray) -> np.ndarray:
+        return (np.int64(self.bits) << 40) | (np.int64(j) << 32) | lead.astype(np.int64)
+
+
+def masks(width: int, r: int) -> np.ndarray:
+    return np.array([sum(1 << i for i in c) for c in combinations(range(width), r)], np.int64)
+
+
+class Cell:
+    """The entries of a part of a cell, sorted by the value of their segment's other bits."""
+
+    def __init__(self, layout: Layout, cell: int, texts: list[str], first: np.ndarray, rows: np.ndarray):
+        self.layout, self.j = layout, cell >> 32 & 0xFF
+        self.rest = int(layout.widths[self.j] - layout.leads[self.j])
+        value = layout.values(texts)[self.j] & ((1 << self.rest) - 1)
+        order = np.argsort(value, kind="stable")
+        self.value, self.words, self.first, self.rows = value[order], pack(texts)[order], first[order], rows[order]
+        self.texts = [texts[i] for i in order]
+        self.start = np.searchsorted(self.value, np.arange((1 << self.rest) + 1)) if self.rest <= 16 else None
+
+    def look_up(self, asked: list[str], far: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, entry, distance of the k best entries for each query, at `far` differing bits and within `limit`."""
+        value = self.layout.values(asked)[self.j] & ((1 << self.rest) - 1)
+        words, out = pack(asked), []
+        for r in np.unique(far):
+            if r > self.rest:
+                continue
+            mask, at = masks(self.rest, int(r)), np.flatnonzero(far == r)
+            step = max(1, PROBES // len(mask))
+            for i in range(0, len(at), step):
+                q = at[i : i + step]
+                probe = (value[q, None] ^ mask).ravel()
+                a, b = (self.start[probe], self.start[probe + 1]) if self.start is not None else (np.searchsorted(self.value, probe), np.searchsorted(self.value, probe, "right"))
+                n = b - a
+                some = np.flatnonzero(n)
+                who, n, a = np.repeat(q, len(mask))[some], n[some], a[some]
+                entry = np.repeat(a - n.cumsum() + n, n) + np.arange(n.sum())
+                who = np.repeat(who, n)
+                d = np.bitwise_count(self.words[entry] ^ words[who]).sum(axis=1).astype(np.int64)
+                near = d <= limit[who]
+                out.append(best_of(who[near], entry[near], d[near], self.first, k))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(3))
+
+
+def best_of(who: np.ndarray, entry: np.ndarray, d: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k of the smallest distance, then id, of each query."""
+    order = np.lexsort((first[entry], d, who))
+    who, entry, d = who[order], entry[order], d[order]
+    begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, int)
+    rank = np.arange(len(who)) - np.repeat(begin, np.diff(np.append(begin, len(who))))
+    return who[rank < k], entry[rank < k], d[rank < k]
+
+
+def _entries(classes: DataFrame, layouts: dict[int, Layout]) -> DataFrame:
+    """cell, code, first_id, rows: an entry for each segment of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for bits in set(map(len, texts)):
+                at = [i for i, t in enumerate(texts) if len(t) == bits]
+                lay, part = layouts[bits], b.take(pa.array(at))
+                for j, v in enumerate(lay.values([texts[i] for i in at])):
+                    cell = lay.cell(j, v >> int(lay.widths[j] - lay.leads[j]))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), *part.columns], names=["cell", "code", "first_id", "rows"])
+
+    return classes.select("code", "first_id", "rows").mapInArrow(run, "cell bigint, code string, first_id bigint, rows bigint")
+
+
+def _routes(open_queries: DataFrame, layouts: dict[int, Layout], r: int) -> DataFrame:
+    """cell, query, far, limit: each query at the cells whose leading bits differ in some of r bits; far: how many of the other bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for bits in set(map(len, texts)):
+                at = [i for i, t in enumerate(texts) if len(t) == bits]
+                lay, asked, limit = layouts[bits], pa.array([texts[i] for i in at]), b.column(1).take(pa.array(at))
+                for j, v in enumerate(lay.values(asked.to_pylist())):
+                    lead, rest = int(lay.leads[j]), int(lay.widths[j] - lay.leads[j])
+                    for near in range(max(0, r - rest), min(r, lead) + 1):
+                        for mask in masks(lead, near):
+                            cell = lay.cell(j, (v >> rest) ^ mask)
+                            yield pa.RecordBatch.from_arrays([pa.array(cell), asked, pa.array(np.full(len(at), r - near, np.int32)), limit], names=["cell", "query", "far", "limit"])
+
+    return open_queries.select("query", "limit").mapInArrow(run, "cell bigint, query string, far int, limit int")
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = K, cell: int = CELL) -> DataFrame:
     """index, queries: id, code. Returns query_id, rank, neighbor_id, distance (k rows a query, or all there are)."""
     least = Window.partitionBy("code").orderBy("id")
     # Spark prunes to k rows a code before the exchange.
-    members = materialise(index.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= k), "topk-members")
-    classes = members.groupBy("code").agg(F.count(F.lit(1)).alias("rows"))
-    asked = materialise(queries.select("code").distinct(), "topk-queries")
-    blocks = max(1, -(-classes.count() // block))
-    query_blocks = max(1, -(-asked.count() // query_block))
-    side = lambda df, n, other, is_query: df.select(
-        "code", F.length("code").alias("bits"), F.lit(is_query).alias("asks"), ("rows" if "rows" in df.columns else F.lit(0).cast("long").alias("rows")),
-        F.pmod(F.xxhash64("code"), F.lit(n)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"))
-    left = side(classes, blocks, query_blocks, False).withColumnsRenamed({"own": "b", "other": "a"})
-    right = side(asked, query_blocks, blocks, True).withColumnsRenamed({"own": "a", "other": "b"})
-
-    def run(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        base, ask = rows[~rows["asks"]].sort_values("code"), rows[rows["asks"]]
-        if not len(base) or not len(ask):
-            return pd.DataFrame({"query": pd.Series(dtype=str), "code": pd.Series(dtype=str), "distance": pd.Series(dtype="int32")})
-        texts, wanted = base["code"].tolist(), ask["code"].tolist()
-        got = MultiIndex(texts).search(wanted, k, base["rows"].to_numpy())
-        words, asks = pack(texts), pack(wanted)
-        return pd.DataFrame({
-            "query": [w for w, g in zip(wanted, got, strict=True) for _ in g],
-            "code": [texts[i] for g in got for i in g],
-            "distance": np.concatenate([np.bitwise_count(words[g] ^ asks[i]).sum(axis=1) for i, g in enumerate(got)]).astype(np.int32),
-        })
-
-    pairs = left.unionByName(right).groupBy("a", "b", "bits").applyInPandas(run, "query string, code string, distance int")
-    best = Window.partitionBy("query").orderBy("distance", "id")
-    near = pairs.join(members.drop("n"), "code").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    members = materialise(index.select("id", "code").withColumn("n", F.row_number().over(least)).filter(F.col("n") <= k), "topk-members")
+    classes = members.groupBy("code").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
+    sizes = classes.groupBy(F.length("code").alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a length
+    layouts = {r["bits"]: Layout(r["bits"], r["n"], cell) for r in sizes}
+    entries = materialise(_entries(classes, layouts), "topk-entries")
+    parts = materialise(entries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("parts")), "topk-cells")
+    salt = F.pmod(F.xxhash64("code"), F.col("parts")).cast("int")
+    dealt = materialise(entries.join(parts, "cell").select("cell", salt.alias("part"), "code", "first_id", "rows"), "topk-dealt")
+    lengths = sorted(layouts)
+    far_off = F.lit(1 << 30).cast("int")
+    asked = queries.select(F.col("code").alias("query")).distinct().filter(F.length("query").isin(lengths)) if lengths else queries.select(F.col("code").alias("query")).limit(0)
+    open_queries = materialise(asked.withColumn("limit", far_off), "topk-open")
+    best = open_queries.select("query", F.lit("").alias("code"), F.lit(0).alias("distance"), F.lit(0).cast("bigint").alias("first_id"), F.lit(0).cast("bigint").alias("rows")).limit(0)
+    widest = max((int(x.widths.max()) for x in layouts.values()), default=-1)
+    covered = lambda r: F.create_map(*[F.lit(x) for b, lay in layouts.items() for x in (b, lay.m * r + lay.m - 1)])[F.length("query")]
+    closest = Window.partitionBy("query").orderBy("distance", "first_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries of a part of a cell, then the queries that come to it."""
+        now, held, table = None, [], None
+        for b in batches:
+            cells, part, asks = (b.column(i).to_numpy() for i in (0, 1, 2))
+            cut = np.flatnonzero(np.concatenate([[True], (cells[1:] != cells[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1]), [True]]))
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                key, rows = (int(cells[lo]), int(part[lo])), b.slice(lo, hi - lo)
+                if key != now:
+                    now, held, table = key, [], None
+                if not asks[lo]:
+                    held.append(rows)
+                    continue
+                if table is None:
+                    if not held:
+                        continue
+                    whole = pa.Table.from_batches(held)
+                    held = []
+                    table = Cell(layouts[key[0] >> 40], key[0], whole["code"].to_pylist(), whole["first_id"].to_numpy(), whole["rows"].to_numpy())
+                texts = rows.column(3).to_pylist()
+                who, entry, d = table.look_up(texts, rows.column(6).to_numpy(), rows.column(7).to_numpy(), k)
+                if len(who):
+                    yield pa.RecordBatch.from_arrays([pa.array([texts[i] for i in who]), pa.array([table.texts[i] for i in entry]), pa.array(d, pa.int32()), pa.array(table.first[entry]), pa.array(table.rows[entry])], names=["query", "code", "distance", "first_id", "rows"])
+
+    for r in range(widest + 1):
+        # Some queries go to many parts of few cells: each part is a group of its own.
+        routed = _routes(open_queries, layouts, r).join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        none = F.lit(None)
+        sides = dealt.select("cell", "part", F.lit(0).alias("asks"), "code", "first_id", "rows", none.cast("int").alias("far"), none.cast("int").alias("limit")).unionAll(
+            routed.select("cell", "part", F.lit(1).alias("asks"), "query", none.cast("bigint"), none.cast("bigint"), "far", "limit"))
+        found = sides.repartition("cell", "part").sortWithinPartitions("cell", "part", "asks").mapInArrow(run, "query string, code string, distance int, first_id bigint, rows bigint")
+        both = best.unionByName(found).dropDuplicates(["query", "code"])
+        best = materialise(both.withColumn("place", F.row_number().over(closest)).filter(F.col("place") <= k).drop("place"), "topk-best")
+        # The k-th row's distance: where the rows of the classes so far come to k.
+        upto = best.withColumn("upto", F.sum("rows").over(closest.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") >= k)
+        kth = upto.groupBy("query").agg(F.min("distance").alias("kth"))
+        left = open_queries.drop("limit").join(kth, "query", "left").filter(F.coalesce(F.col("kth"), far_off) > covered(r))
+        open_queries = materialise(left.select("query", F.coalesce(F.col("kth"), far_off).alias("limit")), "topk-open")
+        if open_queries.isEmpty():
+            break
+    nearest = Window.partitionBy("query").orderBy("distance", "id")
+    near = best.select("query", "code", "distance").join(members.drop("n"), "code").withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     near = near.select("query", "rank", F.col("id").alias("neighbor_id"), "distance")
     return queries.join(near, F.col("code") == F.col("query")).select(F.col("id").alias("query_id"), "rank", "neighbor_id", "distance")
+

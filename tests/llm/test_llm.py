@@ -319,7 +319,7 @@ def test_topk(spark):
     data = [(i, v[i].tolist(), i) for i in range(300)] + [(5, v[5].tolist(), 1), (400, None, 0), (420, [], 0), (None, v[1].tolist(), 0), (440, [1.0, None], 0), (460, [1.0, -1.0], 0)]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, rank int")
     codes = topk.codes(df)
-    got = topk.search(codes, codes.filter("id % 20 = 0"), 7, block=64, query_block=8)
+    got = topk.search(codes, codes.filter("id % 20 = 0"), 7, cell=64)
     ids, bits = np.array([*range(300), 5]), np.vstack([v > 0, v[5:6] > 0])
     want = []
     for q in range(0, 300, 20):
