@@ -1,18 +1,23 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
 Fingerprints at 3 or fewer differing bits are linked. Equal fingerprints are
-one class first, so copies cost nothing further. Two linked fingerprints agree
-in one of four 16-bit segments at least; each fingerprint is dealt out once a
-segment, keyed by its value. Within a key the fingerprints are sorted by Gray
-rank and a hierarchical index is built over them: a node holds the bits on
-which all below it agree, an upper node those shared by its children. A search
-goes down from the root with the differences in the shared bits added up, each
-bit at the highest node that shares it; where they exceed 3 the whole group is
-pruned. A group already tied to the searching fingerprint is pruned too, as
-only components are wanted: a cell returns spanning links, never all pairs.
-
-A key with over BLOCK fingerprints is dealt out as pairs of blocks, so that no
-task holds an unbounded group; no link is lost.
+one class first, so copies cost nothing further. Fingerprints are cut into m
+segments; two linked ones agree in m - 3 of them at least, so each fingerprint
+is dealt out once for each choice of m - 3 segments, keyed by their values. m
+rises with the number of classes (4 to 6: keys of 16, 25 and 31 bits), so that
+keys of evenly spread fingerprints stay small. Within a key the fingerprints are
+sorted by Gray rank and a hierarchical index is built over them: a node holds
+the bits on which all below it agree, an upper node those shared by its
+children. A search goes down from the root with the differences in the shared
+bits added up, each bit at the highest node that shares it; where they exceed 3
+the whole group is pruned. A group already tied to the searching fingerprint is
+pruned too, as only components are wanted: a cell returns spanning links, never
+all pairs.
+
+A key with over BLOCK fingerprints is dealt out again by the bits outside it:
+of four parts of those two linked fingerprints agree in one. What is still over
+BLOCK is dealt out as pairs of blocks, so that no task holds an unbounded group;
+no link is lost.
 
 A null text, or one without words, has fingerprint zero and is linked like any
 other. Rows with equal ids and null ids stay rows of their own; a null id is
@@ -22,10 +27,11 @@ never a component's id unless all ids of the component are null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
@@ -33,8 +39,10 @@ from .common import fresh, map_columns, materialise
 
 SHINGLE = 3
 DISTANCE = 3
-SEGMENTS = 4  # of 16 bits; DISTANCE + 1
 BLOCK = 4096
+#: Segments, and how many classes they are for: 256 in each key of evenly spread ones.
+SEGMENTS = {4: 1 << 24, 5: 1 << 33}
+MOST_SEGMENTS = 6
 #: Children of a node.
 FAN = 8
 
@@ -201,22 +209,59 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(*rest)
 
 
-def link_classes(classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """classes: distinct fp. Spanning links u, v among them (each segment gives its own)."""
-    width = 64 // SEGMENTS
-    value = lambda k: F.shiftrightunsigned(F.col("fp"), k * width).bitwiseAND(F.lit((1 << width) - 1))
-    dealt = classes.select("fp", F.explode(F.array(*[(value(k) + (k << width)) for k in range(SEGMENTS)])).alias("key"))
-    hot = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-    hot = hot.select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    hot = materialise(hot, "simhash-hot")  # at most SEGMENTS * rows / block keys
-    both = dealt.join(hot, F.col("key") == F.col("hot_key"), "left")
-    plain = both.filter("blocks is null").select(F.col("key").alias("cell"), "fp")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    split = both.filter("blocks is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-    split = split.select(F.xxhash64("key", pair).alias("cell"), "fp")  # a clash of cells would only add true links
-    cells = plain.unionAll(split).repartition("cell").sortWithinPartitions("cell")
-    return cells.mapInArrow(_cells, "u bigint, v bigint")
+def _joined(parts: list[tuple[Column, int]]) -> Column:
+    """Values and their numbers of bits as one number."""
+    out = F.lit(0).cast("bigint")
+    for v, width in parts:
+        out = F.shiftleft(out, width).bitwiseOR(v)
+    return out
+
+
+def _bits(v: Column, at: int, width: int) -> Column:
+    return F.shiftrightunsigned(v, at).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+
+
+def _keys(segments: int) -> list[tuple[Column, Column, int]]:
+    """For each choice of segments: the cell, the other bits, and how many those are."""
+    edges = [64 * i // segments for i in range(segments + 1)]
+    one = [(_bits(F.col("fp"), a, b - a), b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    out = []
+    for i, same in enumerate(combinations(range(segments), segments - DISTANCE)):
+        others = [one[k] for k in range(segments) if k not in same]
+        out.append((_joined([one[k] for k in same]) + F.lit(i << 40).cast("bigint"), _joined(others), sum(w for _, w in others)))
+    return out
+
+
+def _hot(dealt: DataFrame, block: int) -> DataFrame:
+    """cell and blocks of each cell with over `block` fingerprints: no more than rows / block."""
+    hot = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    return materialise(hot.select(F.col("cell").alias("hot_cell"), F.ceil(F.col("n") / block).cast("int").alias("blocks")), "simhash-hot")
+
+
+def link_classes(classes: DataFrame, block: int = BLOCK, segments: int | None = None) -> DataFrame:
+    """classes: distinct fp. Spanning links u, v among them (each cell gives its own)."""
+    if segments is None:
+        n = classes.count()
+        segments = next((m for m, most in SEGMENTS.items() if n <= most), MOST_SEGMENTS)
+    keys = _keys(segments)
+    width = max(w for _, _, w in keys)
+    dealt = classes.select("fp", F.explode(F.array(*[F.struct(cell.alias("cell"), rest.alias("rest")) for cell, rest, _ in keys])).alias("x")).select("fp", "x.cell", "x.rest")
+    cells = dealt.select("cell", "fp")
+    hot = _hot(dealt, block)
+    if not hot.isEmpty():
+        parts = [width * i // (DISTANCE + 1) for i in range(DISTANCE + 2)]
+        both = dealt.join(hot, F.col("cell") == F.col("hot_cell"), "left")
+        plain = both.filter("blocks is null").select("cell", "fp")
+        # A clash of cells would only add true links.
+        again = F.array(*[F.xxhash64("cell", F.lit(i), _bits(F.col("rest"), a, b - a)) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True))])
+        dealt = materialise(both.filter("blocks is not null").select("fp", F.explode(again).alias("cell")), "simhash-again")
+        hot = _hot(dealt, block)
+        both = dealt.join(hot, F.col("cell") == F.col("hot_cell"), "left")
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        split = both.filter("blocks is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+        cells = plain.unionAll(both.filter("blocks is null").select("cell", "fp")).unionAll(split.select(F.xxhash64("cell", pair).alias("cell"), "fp"))
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, "u bigint, v bigint")
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -177,8 +177,8 @@ def test_links_of_a_cell(n):
     assert roots_of(len(fps), got) == roots_of(len(fps), near)
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_links_of_classes(spark, block):
+@pytest.mark.parametrize(("block", "segments"), [(4096, None), (16, 4), (16, 5), (100, 6)])
+def test_links_of_classes(spark, block, segments):
     rng = np.random.default_rng(5)
     fps = rng.integers(0, 2**64, 8, dtype=np.uint64)[rng.integers(0, 8, 400)]
     for _ in range(5):
@@ -186,7 +186,7 @@ def test_links_of_classes(spark, block):
     fps = np.unique(fps)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint")
     place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
-    got = [(place[r["u"]], place[r["v"]]) for r in simhash.link_classes(df, block).collect()]
+    got = [(place[r["u"]], place[r["v"]]) for r in simhash.link_classes(df, block, segments).collect()]
     near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 3, 1))
     assert roots_of(len(fps), got) == roots_of(len(fps), near)
 
