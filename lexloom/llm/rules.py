@@ -6,14 +6,20 @@ that it covers are taken out before the next one is grown. The list becomes one
 Spark CASE expression over the statistics. Rules tell bad documents; what no
 rule covers is kept. Without labels of both kinds there are no rules.
 
-Base statistics follow the contract in textstats; a null text counts as empty.
-The learner sees a sample of labelled rows, about SAMPLE_ROWS of them by a hash
-of the id; everything else is over all rows.
+Base statistics follow the contract in textstats, over whole texts of any length;
+a null text counts as empty. The learner sees a sample of labelled rows, about
+SAMPLE_ROWS of them by a hash of the id; everything else is over all rows. Rows
+with a null id are judged, but not learned from; an id with several labels or
+rows counts once for each pair of them; equal rows get equal verdicts. Of
+conditions of equal gain the first by name and value counts. Other columns are
+left out by judge and kept by accept, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,8 +41,8 @@ class Condition:
     above: bool  # value >= at, or else value <= at
     at: float
 
-    def column(self) -> Column:
-        return F.col(self.name) >= self.at if self.above else F.col(self.name) <= self.at
+    def column(self, of: Callable[[str], Column] = F.col) -> Column:
+        return of(self.name) >= self.at if self.above else of(self.name) <= self.at
 
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.name] >= self.at if self.above else x[self.name] <= self.at
@@ -119,17 +125,22 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray) -> list[R
     return rules
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """labelled: the INPUTS, label (0 is bad) and doc_id."""
-    n = labelled.count()
-    rate = min(1.0, sample_rows / max(n, 1))
+def sampled(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, label, h of about sample_rows labels outside the held-out part, drawn by a hash of the id."""
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(3 << 20))
-    rows = labelled.select(*INPUTS, "label", h.alias("h")).filter(F.col("h") < rate * (3 << 20)).orderBy("h", *INPUTS).limit(2 * sample_rows).collect()
-    if not rows:
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("label"), h.alias("h"))
+    rate = min(1.0, sample_rows / max(known.count(), 1))
+    return materialise(known.filter(F.col("h") < rate * (3 << 20)), "rules-labels")
+
+
+def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """rows: the INPUTS, label (0 is bad) and h of sampled labels; base checks' failures are left out."""
+    got = rows.filter(~base_failed()).select(*INPUTS, "label", "h").orderBy("h", *INPUTS).limit(2 * sample_rows).collect()
+    if not got:
         return []
-    x = {c: np.array([r[c] for r in rows], float) for c in INPUTS}
-    bad = np.array([r["label"] == 0 for r in rows])
-    part = np.array([r["h"] % 3 != 0 for r in rows])
+    x = {c: np.array([r[c] for r in got], float) for c in INPUTS}
+    bad = np.array([r["label"] == 0 for r in got])
+    part = np.array([r["h"] % 3 != 0 for r in got])
     return [] if bad.all() or not bad.any() else learn(x, bad, part)
 
 
@@ -148,19 +159,14 @@ def describe(rules: list[Rule]) -> list[str]:
     return [" and ".join(map(str, r)) for r in rules]
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-
-
-def labelled_rows(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label"))
-    return stats.filter(~held_out() & ~base_failed()).join(known, "doc_id")
+def base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    return (of("n_words") < 10) | (100 * of("n_repeat_words") > 20 * of("n_words"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row of statistics and verdicts for each document (without text)."""
     stats = materialise(map_columns(docs, ["text"], textstats.DDL, textstats.columns, ["doc_id"]), "rules-stats")
-    rules = fit(labelled_rows(stats, labels))
+    rules = fit(stats.join(sampled(labels), "doc_id"))
     out = stats.withColumn("base_failed", base_failed()).withColumn("rule", F.when(F.col("base_failed"), F.lit(0)).otherwise(expression(rules)).cast("int"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
@@ -168,28 +174,22 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The kept documents, with their columns as they were.
 
-    The rules are learned from these documents; a second pass over the texts
-    applies them, so that texts are never shuffled or stored.
+    The rules are learned from the sampled ones among these documents; one pass
+    over all texts applies them, so that texts are never shuffled or stored.
     """
+    known = F.broadcast(sampled(labels).withColumnRenamed("doc_id", "known_id"))  # about SAMPLE_ROWS rows
+    some = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("known_id"))
+    rules = fit(materialise(map_columns(some, ["text"], textstats.DDL, textstats.columns, ["label", "h"]), "rules-sample"))
     held = fresh(docs, "doc_stats")
     ddl = f"{held} struct<{textstats.DDL.replace(' ', ':')}>".replace(",:", ",")
-    stats = materialise(map_columns(docs, ["text"], textstats.DDL, textstats.columns, ["doc_id"]), "rules-stats")
-    rules = fit(labelled_rows(stats, labels))
 
     def packed(texts: list) -> list:
         import pyarrow as pa
 
-        cols = textstats.columns(texts)
-        return [pa.StructArray.from_arrays(cols, names=list(textstats.NAMES))]
-
-    def inside(c: Condition) -> Column:
-        v = F.col(held)[c.name]
-        return v >= c.at if c.above else v <= c.at
+        return [pa.StructArray.from_arrays(textstats.columns(texts), names=list(textstats.NAMES))]
 
-    bad = (F.col(held)["n_words"] < 10) | (100 * F.col(held)["n_repeat_words"] > 20 * F.col(held)["n_words"])
+    inside = lambda name: F.col(f"{held}.{name}")
+    bad = base_failed(inside)
     for rule in rules:
-        hit = F.lit(True)
-        for c in rule:
-            hit = hit & inside(c)
-        bad = bad | hit
-    return map_columns(docs, ["text"], ddl, packed).filter(~bad).select(*docs.columns)
+        bad = bad | reduce(lambda a, b: a & b, [c.column(inside) for c in rule])
+    return map_columns(docs, ["text"], ddl, packed).filter(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
