@@ -10,7 +10,13 @@ Text is composed (NFKC) and lower-cased; each run of other characters than
 letters is one space.
 A null text, or one without a letter, is `und` with score 0 and rejected. Ties
 go to the language first by code point. If nothing can be learned, every text
-is `und`. Rows with a null lang are never learned from.
+is `und`. Rows with a null lang are never learned from. Very long texts are
+scored whole, a chunk of texts at a time; equal texts get equal scores. Other
+columns stay; an output whose name exists gets underscores in front.
+
+The model is dense by language: its size is the distinct strings of the sample
+times the languages, which is small for tens of languages; over MAX_CELLS is an
+error that says so.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from .common import crc_mod, fresh, map_columns
 ORDER = 4
 #: Documents of a language that a model is fitted on, and as many that calibrate rejection (expected numbers).
 SAMPLE_DOCS = 400
+#: Cells (strings by languages) of a model that is sent to executors: 4 bytes each.
+MAX_CELLS = 1 << 27
 #: Labels are a vocabulary of languages; more distinct values than this are an error.
 MAX_LANGS = 1000
 #: Rejected: cross-entropy over so many deviations above a language's mean.
@@ -37,6 +45,8 @@ DEVIATIONS = 8.0
 OUT = "lang_pred string, score double, rejected boolean, cross_entropy double, n_letters bigint"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _CHUNK = 1 << 19
+#: Before the first text stands what stands between texts, so that a text's score is the same wherever it comes.
+_LEAD = np.zeros(ORDER - 1, np.uint32)
 _letters: np.ndarray | None = None
 
 
@@ -140,8 +150,7 @@ class Model:
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropies (texts by languages) and the number of scored places of each text."""
         cp, starts = normal(texts)
-        lead = np.full(ORDER - 1, 32, np.uint32)
-        cp = np.concatenate([lead, cp])
+        cp = np.concatenate([_LEAD, cp])
         p = self.log_probs(cp)  # place i is cp[i + ORDER - 1], that is place i of the texts
         p[np.flatnonzero(cp[ORDER - 1 :] == 0)] = 0
         lengths = np.diff(np.concatenate([starts, [len(cp) - ORDER + 2]])) - 1
@@ -236,6 +245,8 @@ def compile_model(counts: dict[str, dict[str, int]]) -> Model:
         grams = np.array([[ord(c) for c in g] for g in d], np.uint32).reshape(len(d), n).T
         return HashTable(_hash_columns(grams), np.array(list(d.values()), np.float32).reshape(len(d), len(langs)))
 
+    if (cells := len(langs) * sum(map(len, [*probs.values(), *back.values()]))) > MAX_CELLS:
+        raise ValueError(f"{cells} cells of {len(langs)} languages are over {MAX_CELLS}: fit with fewer sample_docs")
     tables = {n: table(probs[n], n) for n in probs}
     return Model(langs, tables.pop(ORDER), {n: table(back[n], n) for n in back}, tables, unknown, np.tile([np.inf, 0, 0], (max(len(langs), 1), 1)))
 
@@ -270,7 +281,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
                 found.setdefault((x, k), []).append(t)
             for (x, k), texts in found.items():
                 cp, _ = normal(texts)
-                cp = np.concatenate([np.full(ORDER - 1, 32, np.uint32), cp])
+                cp = np.concatenate([_LEAD, cp])
                 windows = np.lib.stride_tricks.sliding_window_view(cp, ORDER)
                 windows = windows[(windows != 0).all(axis=1)]
                 u, n = np.unique(np.ascontiguousarray(windows).view(f"V{4 * ORDER}").ravel(), return_counts=True)
