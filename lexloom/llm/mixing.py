@@ -13,7 +13,9 @@ from the largest sizes to the smallest. A class gets as many further copies as
 bring the words expected so far to what the fraction wants of the words so far,
 rounded up or down by a hash of source and class; a document of the class gets
 one if a hash of its source and id, seen as a number from 0 to 1, is below the
-class's share of them.
+class's share of them. Over like documents the chance of a further copy is the
+fraction; a document that is much of its source by itself shifts the chances of
+the smaller ones, for which the words come out as wanted.
 
 A null text has size 0; a null source is a source of its own, the last one.
 Equal rows are taken alike. A source without words has rate 0. Very long texts
