@@ -54,6 +54,15 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | ~c.rlike(r"[^\t-\r \x{85}\x{A0}\p{Z}]")
 
 
+def char_kinds(c: Column) -> Column:
+    """What a single character is: letter, digit, white space, punctuation, a break of URLs, part of a scheme's name, dot, slash."""
+    space, punct = c.rlike(rf"^{SPACE}\z"), c.rlike(r"^\p{P}\z")
+    return F.struct(
+        c.rlike(rf"^{LETTER}\z").alias("letter"), c.rlike(r"^\p{Nd}\z").alias("digit"), space.alias("space"), punct.alias("punct"),
+        (space | (c == "\0") | (punct & (F.ascii(c) > 127))).alias("url_break"), c.rlike(r"^[A-Za-z-]\z").alias("scheme"), c.isin(".", "\uffff").alias("dot"), c.isin("/", "\\").alias("slash"),
+    )
+
+
 def has_digits(c: Column) -> Column:
     return c.rlike("[0-9]")
 

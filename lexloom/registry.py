@@ -12,10 +12,13 @@ from .functions import urls as U
 from .operators import model as M
 from .operators import segment as S
 from .plans import requests as R
+from .plans.build import build_from_folder
 from .sources import model_files as MF
+from .sources.shared import shared_dir
 
 CUT = 1.0
-SHARD = 1000
+#: Bytes of a shard in shard_files.
+SHARD_BYTES = 200_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -125,6 +128,17 @@ def scheme_urls(spark, sf_dir):
     return found.select("page_id", F.posexplode("urls").alias("n", "u")).select("page_id", "n", "u.start", "u.len", "u.value")
 
 
+@query(rf"""SELECT c, regexp_matches(c, '^\p{{L}}$') AS letter, regexp_matches(c, '^\p{{Nd}}$') AS digit, regexp_matches(c, '^[\t-\r \x{{85}}\x{{A0}}\p{{Z}}]$') AS space, regexp_matches(c, '^\p{{P}}$') AS punct,
+regexp_matches(c, '^[\t-\r \x{{85}}\x{{A0}}\p{{Z}}]$') OR c = chr(0) OR (regexp_matches(c, '^\p{{P}}$') AND ord(c) > 127) AS url_break, regexp_matches(c, '^[A-Za-z-]$') AS scheme, c IN ('.', chr(65535)) AS dot, c IN ('/', '\') AS slash
+FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM (SELECT text FROM {_WITH_SAMPLES} UNION ALL SELECT html FROM pages)) WHERE c <> ''""")
+def char_classes(spark, sf_dir):
+    """What each character of the documents, the pages and SAMPLES is."""
+    texts = _with_samples(spark, sf_dir).select("text").unionByName(_table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
+    # Characters of one text first, so that few rows are shuffled.
+    chars = texts.select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).filter("c <> ''").distinct()
+    return chars.select("c", T.char_kinds(F.col("c")).alias("k")).select("c", "k.*")
+
+
 @query(r"""SELECT conv_id, turn, lower(text) AS low, replace(text, ' ', '') AS joined, regexp_replace(text, '[\x00-\x1E]', ' ', 'g') AS visible, NOT regexp_matches(text, '[^\t-\r \x{85}\x{A0}\p{Z}]') AS blank,
 CASE WHEN strlen(text) > 1024 THEN format('{:,.2f}', strlen(text) / 1024.0::DOUBLE) || ' KB' ELSE strlen(text) || ' bytes' END AS size FROM conversations""")
 def string_functions(spark, sf_dir):
@@ -203,6 +217,31 @@ def shard_union(spark, sf_dir):
     return M.first_wins(_shards(_model(spark, sf_dir))).select("lang", "term", "prob")
 
 
+@query(f"WITH {_MODEL} SELECT lang, term, prob FROM model WHERE lang = 'en'")
+def shard_files(spark, sf_dir):
+    """A model written as binary shards of a bounded size and read again."""
+    folder = shared_dir(spark, "shards")
+    MF.write_shards(_model(spark, sf_dir).filter("lang = 'en'"), folder, "model", SHARD_BYTES)
+    return M.first_wins(MF.read_shards(spark, folder, "en")).select("lang", "term", "prob")
+
+
+@query(f"WITH {_MODEL} SELECT lang, term, prob::FLOAT::DOUBLE AS prob FROM model WHERE lang = 'de'")
+def text_files(spark, sf_dir):
+    """K1, S3: a model written as a text file, in order, and read again."""
+    path = shared_dir(spark, "model-text")
+    MF.write_text(_model(spark, sf_dir).filter("lang = 'de'"), path, "'de' (ngram_1-cut_1%)")
+    return MF.read_text(spark, path, "de")
+
+
+@query(f"WITH {_MODEL} SELECT lang, term, freq, prob FROM model WHERE lang = 'fr'")
+def folder_model(spark, sf_dir):
+    """The documents of a language as text files, and the model of their folder, by the simple tokenizer."""
+    folder = shared_dir(spark, "corpus")
+    _docs(spark, sf_dir).filter("lang = 'fr'").select("text").repartition(3).write.text(folder)
+    simple = lambda lines: lines.withColumn("words", T.simple_tokens(T.fold_upper(F.col("text"))))
+    return build_from_folder(spark, folder, "fr", cut_percent=CUT, tokenize=simple).select("lang", "term", "freq", "prob")
+
+
 @query(f"WITH {_MODEL} SELECT lang, term, prob::FLOAT::DOUBLE AS prob FROM model")
 def model_lines(spark, sf_dir):
     """Records written as lines and parsed again, in single precision; no term twice."""
@@ -367,6 +406,13 @@ def result_strings(spark, sf_dir):
     return _segmented(spark, sf_dir).select("text", R.result_view(S.best(), probs=False).alias("result"))
 
 
+@query(_viterbi(_TURNS) + "SELECT text, (generate_subscripts(tps, 1) - 1)::INT AS place, unnest(tps).start::INT AS start, unnest(tps).len::INT AS len, unnest(tps).prob AS prob FROM scores WHERE lang = 'es'")
+def segment_join(spark, sf_dir):
+    """V2-V4, J1 by the plan for models of any size: words of each line of the conversations in one language."""
+    done = S.segment_by_join(_turns(spark, sf_dir), _model(spark, sf_dir).filter("lang = 'es'"), id_col="text")
+    return done.select("text", F.posexplode("tps").alias("place", "x")).select("text", "place", "x.start", "x.len", "x.prob")
+
+
 @query()
 def request_responses(spark, sf_dir):
     """A JSON response for each row of conversations, any language.
