@@ -89,18 +89,23 @@ def _needed(bigrams: list[str], t: float) -> list[str]:
     return sorted(bigrams, key=lambda b: (-max(map(len, b.split(" "))), b))[:k]
 
 
+#: Characters of a telling piece of a word.
+PIECE = 6
+
+
 def _telling(templates: list[list[str]], t: float) -> list[str]:
-    """Words of which a unit like one of the (long) templates has one at least: without them it has too few of its bigrams."""
-    left = {i: (set(b), math.ceil(len(b) * t / (2 - t) - 1e-9)) for i, b in enumerate(templates)}
-    words: list[str] = []
+    """Pieces of words of which a unit like one of the (long) templates has one at least: without them it has too few of its bigrams."""
+    pieces = lambda x: {w[i : i + PIECE] for w in x.split(" ") for i in range(len(w) - PIECE + 1)}
+    left = {i: ({x: pieces(x) for x in b}, math.ceil(len(b) * t / (2 - t) - 1e-9)) for i, b in enumerate(templates)}
+    out: list[str] = []
     while left := {i: (b, n) for i, (b, n) in left.items() if len(b) >= n}:
         weight: dict[str, float] = {}
         for b, n in left.values():
-            for w in (w for x in b for w in set(x.split(" ")) if len(w) >= 6):
-                weight[w] = weight.get(w, 0) + 1 / n
-        words.append(max(sorted(weight), key=weight.get))
-        left = {i: ({x for x in b if words[-1] not in x.split(" ")}, n) for i, (b, n) in left.items()}
-    return words
+            for p in (p for ps in b.values() for p in ps):
+                weight[p] = weight.get(p, 0) + 1 / n
+        out.append(max(sorted(weight), key=weight.get))
+        left = {i: ({x: ps for x, ps in b.items() if out[-1] not in ps}, n) for i, (b, n) in left.items()}
+    return out
 
 
 def _let(value: Column, use) -> Column:
@@ -238,7 +243,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         return reduce(lambda a, b: a | b, [F.contains(value, F.lit(x)) for x in parts])
 
     # Texts without the longer word of any needed pair, or a pair of short words, can't hit; nothing more is done to them.
-    rare = sorted({w for b in needed if len(w := max(b.split(" "), key=len)) >= 5})
+    rare = {w for b in needed if len(w := max(b.split(" "), key=len)) >= 5}
+    rare = sorted(w for w in rare if not any(v in w for v in rare - {w}))  # what has a longer one has the shorter one in it
     short = [b.replace(" ", "[^a-z0-9]+") for b in needed if max(map(len, b.split(" "))) < 5]
     telling = _telling(list(long.values()), threshold)
     fewest = min((_bounds(len(b), threshold)[0] for b in long.values()), default=0)
