@@ -1,4 +1,12 @@
-"""A training corpus from `documents`: five stages, each on what the one before kept."""
+"""A training corpus from `documents`: five stages, each on what the one before kept.
+
+Null and empty texts are of no language and go in the first stage; documents
+with a null id, lang or source stay like any other. Very long texts count whole.
+Repeated rows are near-duplicates of each other, so one of them stays, the one
+that near_dedup's docstring names; the mix then takes each document up to twice,
+all copies alike. Columns besides those of documents are carried through to the
+mix. An empty table gives an empty corpus.
+"""
 
 from __future__ import annotations
 

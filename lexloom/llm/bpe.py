@@ -3,8 +3,11 @@
 Texts are cut into stretches at safe places before the library sees them, so
 that its regular expression works on bounded strings. A place is safe where
 every match of the pattern ends whatever stands around it; the ids are then
-those of the whole text. Texts under another pattern are not cut. Null and empty texts have no ids. Decoding joins the
-ids' raw bytes, which is exact for any text.
+those of the whole text. Texts under another pattern are not cut. Null and empty
+texts have no ids. Decoding joins the ids' raw bytes, which is exact for any
+text. Rows stay as they are, repeated ones included; an output whose name exists
+gets underscores in front. Where the library has a choice of merges it takes the
+lowest rank, of equal ones the first.
 """
 
 from __future__ import annotations

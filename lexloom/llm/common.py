@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialise, release, shared_dir
 
-__all__ = ["SLICE", "WORD", "crc_mod", "fresh", "held_out", "map_columns", "materialise", "release", "shared_dir", "table"]
+__all__ = ["SLICE", "WORD", "cols", "crc_mod", "fresh", "held_out", "map_columns", "materialise", "release", "shared_dir", "table"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def cols(names: list[str]) -> list[Column]:
+    """Columns by name, whatever characters those have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in names]
+
+
 def crc_mod(col: str = "doc_id", n: int = 4) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
@@ -72,4 +77,4 @@ def map_columns(
             yield pa.RecordBatch.from_arrays([*old, *new], names=names)
 
     need = list(dict.fromkeys([*keep, *inputs]))
-    return df.select(*need).mapInArrow(run, schema)
+    return df.select(*cols(need)).mapInArrow(run, schema)

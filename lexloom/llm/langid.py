@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fresh, map_columns
+from .common import cols, crc_mod, fresh, map_columns
 
 ORDER = 4
 #: Documents of a language that a model is fitted on, and as many that calibrate rejection (expected numbers).
@@ -324,4 +324,4 @@ def accept(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows that are not rejected, with their columns as they were."""
     flag, names = fresh(df, "rejected"), df.columns
     outputs = ", ".join(f"{fresh(df, c.split()[0])} {c.split()[1]}" for c in OUT.split(", "))
-    return _annotate(df, model, text, None, outputs).filter(~F.col(flag)).select(*names)
+    return _annotate(df, model, text, None, outputs).filter(~F.col(flag)).select(*cols(names))

@@ -33,7 +33,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import cols, fresh
 
 THRESHOLD = 0.8
 #: Templates of more bigrams are looked for by blocks.
@@ -257,11 +257,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     names = F.array(*map(F.lit, known))
     keep = docs.columns if keep is None else keep
     h, t = fresh(docs, "hits"), fresh(docs, "top")
-    kept = docs.select(*keep)
+    kept = docs.select(*cols(keep))
     names_out = [fresh(kept, x) for x in ("license", "dice", "n_hits")]
-    out = docs.select(*keep, found.alias(h)).withColumn(t, F.array_max(h))
+    out = docs.select(*cols(keep), found.alias(h)).withColumn(t, F.array_max(h))
     return out.select(
-        *keep,
+        *cols(keep),
         F.when(F.col(t).isNotNull(), F.element_at(names, 1 - F.col(t)["i"])).alias(names_out[0]),
         F.col(t)["d"].alias(names_out[1]),
         F.when(F.col(h).isNull(), 0).otherwise(F.size(h)).cast("long").alias(names_out[2]),

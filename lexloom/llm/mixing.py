@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, materialise
+from .common import WORD, cols, fresh, materialise
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -118,4 +118,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     goal = goal.toDF(*names)
     both = docs.join(goal, F.col("source").eqNullSafe(F.col(names[0])) & (class_of(size_of(F.col("text"))) == F.col(names[1])))
     times = copies(F.col("doc_id"), F.col("source"), F.col(names[4]), F.col(names[5]))
-    return both.withColumn(n, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+    return both.withColumn(n, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*cols(docs.columns))

@@ -10,8 +10,10 @@ pass over data, and calibrates out-of-fold scores by isotonic regression.
 
 Null and empty texts have the statistics of an empty text and are scored like
 any other. Without labelled rows, or with labels of one kind, the score is that
-label's share (0.5 if there is none). Rows with a null label are not learned
-from; a doc_id with several labels counts once a label.
+label's share (0.5 if there is none). Rows with a null label or a null id are
+not learned from; a doc_id with several labels counts once a label. Very long
+texts count whole; equal texts get equal scores. Other columns are left out by
+classify. Of penalties and widths of equal error the first tried is taken.
 """
 
 from __future__ import annotations

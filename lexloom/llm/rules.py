@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats
-from .common import fresh, held_out, map_columns, materialise
+from .common import cols, fresh, held_out, map_columns, materialise
 
 SAMPLE_ROWS = 20_000
 MAX_RULES, MAX_CONDITIONS = 12, 4
@@ -192,4 +192,4 @@ def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bad = base_failed(inside)
     for rule in rules:
         bad = bad | reduce(lambda a, b: a & b, [c.column(inside) for c in rule])
-    return map_columns(docs, ["text"], ddl, packed).filter(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return map_columns(docs, ["text"], ddl, packed).filter(~bad).select(*cols(docs.columns))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import fresh, map_columns, materialise
+from .common import cols, fresh, map_columns, materialise
 
 SHINGLE = 3
 DISTANCE = 3
@@ -306,4 +306,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "a", "b")).alias("k"))
     best = first.select(F.col("k.a").alias(f"best_{a}"), F.col("k.b").alias(f"best_{b}"))
     same = (F.col(a) == F.col(f"best_{a}")) & (F.col(b) == F.col(f"best_{b}"))
-    return marked.dropDuplicates([a, b]).join(best, same, "left_semi").select(*docs.columns)
+    return marked.dropDuplicates([a, b]).join(best, same, "left_semi").select(*cols(docs.columns))

@@ -450,12 +450,12 @@ def test_pipeline(spark):
     assert c.run(spark, sf).count() == seen[-1]
 
 
-CLASHES = "doc_id bigint, text string, source string, lang string, score int, Ids int, license int, dice int, n_hits int, fp int, n_words int, kept int, predicted int, goal_size int, lang_pred int, n_tokens int, component_id int"
+CLASHES = "doc_id bigint, text string, source string, lang string, score int, Ids int, license int, dice int, n_hits int, fp int, n_words int, kept int, predicted int, goal_size int, lang_pred int, n_tokens int, component_id int, `a.b` int"
 
 
 def test_columns_of_the_same_names(spark):
     """Outputs whose names exist get underscores; what was there stays as it was."""
-    df = spark.createDataFrame([(i, f"{A} {i}", "s", "en", *range(13)) for i in range(1, 9)], CLASHES)
+    df = spark.createDataFrame([(i, f"{A} {i}", "s", "en", *range(14)) for i in range(1, 9)], CLASHES)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 9)], LABELS)
     was = df.orderBy("doc_id").collect()
     done = [
@@ -464,7 +464,7 @@ def test_columns_of_the_same_names(spark):
     ]
     for out in done:
         assert len({c.lower() for c in out.columns}) == len(out.columns) and set(df.columns) <= set(out.columns)
-        assert out.select(df.columns).orderBy("doc_id").collect() == was
+        assert out.select([f"`{c}`" for c in df.columns]).orderBy("doc_id").collect() == was
     assert {"_license", "_dice", "_n_hits"} <= set(done[1].columns) and "_fp" in done[2].columns and "_ids" in {c.lower() for c in done[0].columns}
     for same in (rules.accept(df, labels), simhash.keep_one(df), mixing.mix(df), langid.accept(df, langid.fit(df))):
         assert same.columns == df.columns and set(same.collect()) <= set(was)
