@@ -70,11 +70,14 @@ def map_columns(
     schema = StructType(fields)
     names = [f.name for f in schema.fields]
 
+    need = list(dict.fromkeys([*keep, *inputs]))
+    at = {c: i for i, c in enumerate(need)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
-            new = fn(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs])
-            old = [b.column(b.schema.get_field_index(c)) for c in keep]
+            new = fn(*[b.column(at[c]).to_pylist() for c in inputs])
+            old = [b.column(at[c]) for c in keep]
             yield pa.RecordBatch.from_arrays([*old, *new], names=names)
 
-    need = list(dict.fromkeys([*keep, *inputs]))
-    return df.select(*cols(need)).mapInArrow(run, schema)
+    # mapInArrow takes plain names alone.
+    return df.select(*[c.alias(f"c{i}") for i, c in enumerate(cols(need))]).mapInArrow(run, schema)
