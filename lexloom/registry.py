@@ -428,6 +428,34 @@ def request_responses(spark, sf_dir):
     return R.respond(asked, model, S.languages(model))
 
 
+_ASKED = rf"""lines AS MATERIALIZED (SELECT DISTINCT text FROM (SELECT unnest(regexp_split_to_array(text, '[\r\n ]')) AS text FROM conversations) WHERE regexp_matches(text, '{_BLANK}')),
+asked AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS row_no, text FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[\r\n ]')) AS text, generate_subscripts(regexp_split_to_array(text, '[\r\n ]'), 1) AS i FROM conversations) WHERE regexp_matches(text, '{_BLANK}'))"""
+
+
+@query(_viterbi(_ASKED) + """, top AS (SELECT scores.text, scores.lang, tps FROM scores JOIN bests USING (text, lang))
+SELECT conv_id, turn, row_no::INT AS row_no, text, lang, array_to_string(list_transform(tps, lambda x: substr(text, x.start + 1, x.len)), ' ') AS words, tps[-1].prob AS prob, NULL::VARCHAR AS err FROM asked JOIN top USING (text)
+UNION ALL SELECT conv_id, turn, NULL, NULL, NULL, NULL, NULL, 'text is blank' FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM asked a WHERE a.conv_id = c.conv_id AND a.turn = c.turn)""")
+def response_rows(spark, sf_dir):
+    """The fields of the JSON responses to each turn of the conversations, a row for each of its pieces or an error."""
+    asked = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "text", F.lit("any").alias("lang"))
+    model = S.prepared(_model(spark, sf_dir))
+    kind = "ip struct<text:string,lang:string>, ttps array<struct<text:string,lang:string,tps:array<struct<term:string,prob:double>>>>, err string"
+    rows = R.respond(asked, model, S.languages(model)).select("request_id", F.from_json("response", kind).alias("r")).select("request_id", "r.err", F.posexplode_outer("r.ttps").alias("row_no", "x"))
+    id_part = lambda k: F.split("request_id", "-")[k].cast("bigint")
+    words = F.array_join(F.transform("x.tps", lambda t: t["term"]), " ")
+    return rows.select(id_part(0).alias("conv_id"), id_part(1).alias("turn"), "row_no", "x.text", "x.lang", words.alias("words"), F.try_element_at("x.tps", F.lit(-1))["prob"].alias("prob"), "err")
+
+
+@query(r"""WITH l AS (SELECT doc_id, (generate_subscripts(ls, 1) - 1)::INT AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+w AS (SELECT doc_id, line_no, i, t, regexp_replace(t, '\.+$', '') AS w FROM (SELECT doc_id, line_no, unnest(ws) AS t, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, line_no, regexp_extract_all(FOLD, '[^ ,]+') AS ws FROM l WHERE line <> '' AND NOT regexp_matches(line, '[^\p{L} ,.]|\.[^ ]'))))
+SELECT doc_id, line_no, (row_number() OVER (PARTITION BY doc_id, line_no ORDER BY i) - 1)::INT AS pos, w AS word FROM w WHERE w <> '' AND (w = t OR length(w) > 1)""".replace("FOLD", T.fold_upper_sql("line")))
+def exact_tokenizer_plain(spark, sf_dir):
+    """TK1, TK3, TK4 on a restricted pattern: lines of letters, spaces and commas, with full stops before a space or the end."""
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    plain = lines.filter((F.col("line") != "") & ~F.col("line").rlike(r"[^\p{L} ,.]|\.[^ ]"))
+    return U.with_words(plain, "line").select("doc_id", "line_no", F.posexplode("words").alias("pos", "word"))
+
+
 @query()
 def url_spans(spark, sf_dir):
     """UR1-UR8: URLs in the source of each page."""

@@ -316,3 +316,19 @@ def test_request_text(spark):
     df = spark.createDataFrame([("\ufeff \t" + "é" * 101 + "\xa0\n",)], "text string")
     a, b, c = df.select(T.trim_text(F.col("text")), T.wrap_text(F.lit("x" * 100)), T.limit_text(F.col("text"), 7)).first()
     assert (a, b, c) == ("é" * 101, ("x" * 50 + "<wbr/>") * 2, "é" * 7)
+
+
+def test_shared_tables(spark, monkeypatch, tmp_path):
+    from types import SimpleNamespace as Of
+
+    from lexloom.sources import shared
+
+    monkeypatch.setattr(shared, "session_dir", lambda _: str(tmp_path / "own"))
+    kept = shared.materialise(spark.range(5), "five")
+    assert kept.count() == 5 and len(list((tmp_path / "own").iterdir())) == 1
+    shared.release(spark)
+    assert not (tmp_path / "own").exists()
+    unset = Of(isDefined=lambda: False)
+    cluster = Of(conf=Of(get=lambda *_: None), sparkContext=Of(master="spark://x", _jsc=Of(sc=lambda: Of(getCheckpointDir=lambda: unset))))
+    with pytest.raises(RuntimeError, match="is not set"):
+        shared._base(cluster)
