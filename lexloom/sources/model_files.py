@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_upper, is_blank, trim_text
+from . import corpus
 
 #: A number without a sign.
 NUMBER = r"^(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -35,17 +36,16 @@ def paths_of(setting: str, folder: str = "") -> list[str]:
 
 
 def _records(spark: SparkSession, path: str, trim: bool = False) -> DataFrame:
-    """line: those of each file (a file is one value) from the first on that isn't a comment; comments after it are data.
+    """line: those of each file from the first on that isn't a comment; comments after it are data. Large files are split among tasks.
 
     `trim` takes white space off the lines' ends and drops those without anything else.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\r", "\n").alias("value"))
-    lines = F.split(F.regexp_replace("value", r"\n\z", ""), "\n")  # a line feed at the end of the file starts no line
+    lines = corpus.lines(spark, path, "*").select("file", "line_no", F.col("text").alias("line"))
     if trim:
-        lines = F.filter(F.transform(lines, trim_text), lambda x: x != "")
-    lines = F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(lines)
-    first = F.array_position(F.transform("lines", lambda x: ~F.startswith(x, F.lit("#"))), True).cast("int")  # 0: there is none
-    return whole.select(lines.alias("lines")).withColumn("first", first).filter("first > 0").select(F.explode(F.slice("lines", F.col("first"), F.size("lines"))).alias("line"))
+        lines = lines.withColumn("line", trim_text(F.col("line"))).filter("line <> ''")
+    data = lines.filter(~F.startswith("line", F.lit("#")))
+    first = data.groupBy(F.col("file").alias("first_file")).agg(F.min("line_no").alias("first"))  # a row a file
+    return lines.join(F.broadcast(first), (F.col("file") == F.col("first_file")) & (F.col("line_no") >= F.col("first"))).select("line")
 
 
 def read_text(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
