@@ -712,3 +712,55 @@ def test_mixing_comes_near_its_targets(spark):
     many = spark.createDataFrame([(i, "w " * (1 + i % 40), f"s{i % 3}") for i in range(3000)], "doc_id int, text string, source string")
     rates = mixing.plan(many).groupBy(F.floor(F.col("size") / 10).alias("part"), "target").agg(F.avg("copies").alias("got"), F.avg(F.col("target") / F.col("source_size")).alias("want")).collect()
     assert len(rates) == 15 and all(abs(r["got"] - r["want"]) < 0.12 for r in rates)
+
+
+def test_pipeline_against_brute_force(spark):
+    """The whole pipeline in plain Python over the same models: row by row, all pairs, the library's ids."""
+    import corpus_pipeline as c
+    import public_tokenizers
+
+    sf = "/root/testdata/sf0.001"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = [r.asDict() for r in table.collect()]
+    model = langid.fit(table)
+    docs = [d for d in docs if not model.predict([d["text"]])[2][0].as_py()]
+
+    drawn = {r["doc_id"]: (r["label"], r["h"]) for r in rules.sampled(labels).collect()}
+    x = {d["doc_id"]: dict(zip(textstats.NAMES, textstats.stats(d["text"]), strict=True)) for d in docs}
+    failed = {i for i, s in x.items() if s["n_words"] < 10 or 100 * s["n_repeat_words"] > 20 * s["n_words"]}
+    known = sorted((drawn[i][1], *(x[i][k] for k in rules.INPUTS), drawn[i][0]) for i in drawn if i in x and i not in failed)
+    columns = {k: np.array([r[1 + j] for r in known]) for j, k in enumerate(rules.INPUTS)}
+    learned = rules.learn(columns, np.array([r[-1] == 0 for r in known]), np.array([r[0] % 3 != 0 for r in known]))
+    bad = {i for i, s in x.items() if any(all(s[k.name] >= k.at if k.above else s[k.name] <= k.at for k in rule) for rule in learned)}
+    docs = [d for d in docs if d["doc_id"] not in failed | bad]
+
+    fps = np.array([simhash.fingerprint(d["text"]) for d in docs], np.uint64)
+    root = roots_of(len(docs), np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 3, 1)))
+    least = {}
+    for d, r in zip(docs, root, strict=True):
+        least[r] = min(least.get(r, d["doc_id"]), d["doc_id"])
+    docs = [d for d in docs if d["doc_id"] in least.values()]
+
+    size = {d["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", d["text"] or "")) for d in docs}
+    total = {}
+    for d in docs:
+        total[d["source"]] = total.get(d["source"], 0) + size[d["doc_id"]]
+    goal = fill(total, {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(total))}, 1.5 * sum(total.values()), 2)
+    part = lambda *a: int(hashlib.md5(":".join(["mix-1", *map(str, a)]).encode()).hexdigest()[:8], 16) / 2**32
+    mixed = []
+    for s, n in total.items():
+        rate, want, got = goal[s] / n, 0.0, 0.0
+        kind = lambda z: max(z.bit_length(), 1) * 512 + (z >> max(0, z.bit_length() - 9))
+        own = [d for d in docs if d["source"] == s]
+        for k in sorted({kind(size[d["doc_id"]]) for d in own}, reverse=True):
+            those = [d for d in own if kind(size[d["doc_id"]]) == k]
+            words = sum(size[d["doc_id"]] for d in those)
+            want += (rate - int(rate + 1e-9)) * words if abs(rate - round(rate)) > 1e-9 else 0
+            more = min(len(those), max(0, int(np.floor((want - got) / (words / len(those)) + part(s, k)))))
+            got += more * words / len(those)
+            for d in those:
+                mixed += [d] * (int(rate + 1e-9) + (part(s, d["doc_id"]) < more / len(those)))
+
+    enc = bpe.encoder(bpe.rank_path(), public_tokenizers.PATTERN)
+    want = sorted((d["doc_id"], d["source"], tuple(enc.encode_ordinary(d["text"]))) for d in mixed)
+    assert sorted((r["doc_id"], r["source"], tuple(r["ids"])) for r in c.run(spark, sf).collect()) == want
