@@ -21,7 +21,7 @@ def lines(spark: SparkSession, folder: str, pattern: str = "*.txt", charset: str
         size = rows.groupBy("file", "split").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))  # a row a split
         before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         at = size.select("file", "split", "least", before.alias("before"))
-        return rows.join(F.broadcast(at), ["file", "split"]).select("file", "split", (F.col("id") - F.col("least") + F.col("before")).alias("line_no"), F.regexp_replace("text", "^\ufeff", "").alias("text"))
+        return rows.join(at, ["file", "split"]).select("file", "split", (F.col("id") - F.col("least") + F.col("before")).alias("line_no"), F.regexp_replace("text", "^\ufeff", "").alias("text"))
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     text = F.regexp_replace(F.decode("content", charset), r"(\r\n|\r|\n)\z", "")
     rows = raw.select(F.col("path").alias("file"), F.posexplode(F.split(text, "\r\n|\r|\n")).alias("line_no", "text"))

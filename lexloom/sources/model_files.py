@@ -45,7 +45,7 @@ def _records(spark: SparkSession, path: str, trim: bool = False) -> DataFrame:
         lines = lines.withColumn("line", trim_text(F.col("line"))).filter("line <> ''")
     data = lines.filter(~F.startswith("line", F.lit("#")))
     first = data.groupBy(F.col("file").alias("first_file")).agg(F.min("line_no").alias("first"))  # a row a file
-    return lines.join(F.broadcast(first), (F.col("file") == F.col("first_file")) & (F.col("line_no") >= F.col("first"))).select("line")
+    return lines.join(first, (F.col("file") == F.col("first_file")) & (F.col("line_no") >= F.col("first"))).select("line")
 
 
 def read_text(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
