@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -103,17 +104,23 @@ class Cell:
         for r in np.unique(far):
             if r > self.rest:
                 continue
-            mask, at = masks(self.rest, int(r)), np.flatnonzero(far == r)
-            step = max(1, PROBES // len(mask))
+            at = np.flatnonzero(far == r)
+            few = comb(self.rest, int(r)) <= len(self.value)
+            mask = masks(self.rest, int(r)) if few else None
+            step = max(1, PROBES // (len(mask) if few else len(self.value)))
             for i in range(0, len(at), step):
                 q = at[i : i + step]
-                probe = (value[q, None] ^ mask).ravel()
-                a, b = (self.start[probe], self.start[probe + 1]) if self.start is not None else (np.searchsorted(self.value, probe), np.searchsorted(self.value, probe, "right"))
-                n = b - a
-                some = np.flatnonzero(n)
-                who, n, a = np.repeat(q, len(mask))[some], n[some], a[some]
-                entry = np.repeat(a - n.cumsum() + n, n) + np.arange(n.sum())
-                who = np.repeat(who, n)
+                if few:
+                    probe = (value[q, None] ^ mask).ravel()
+                    a, b = (self.start[probe], self.start[probe + 1]) if self.start is not None else (np.searchsorted(self.value, probe), np.searchsorted(self.value, probe, "right"))
+                    n = b - a
+                    some = np.flatnonzero(n)
+                    who, n, a = np.repeat(q, len(mask))[some], n[some], a[some]
+                    entry = np.repeat(a - n.cumsum() + n, n) + np.arange(n.sum())
+                    who = np.repeat(who, n)
+                else:  # there are more values at that radius than entries: those are gone through
+                    who, entry = np.nonzero(np.bitwise_count(value[q, None] ^ self.value) == r)
+                    who = q[who]
                 d = np.bitwise_count(self.words[entry] ^ words[who]).sum(axis=1).astype(np.int64)
                 near = d <= limit[who]
                 out.append(best_of(who[near], entry[near], d[near], self.first, k))

@@ -334,6 +334,18 @@ def test_topk(spark):
     assert topk.search(codes.limit(0), codes.limit(0)).count() == 0
 
 
+def test_topk_where_neighbours_are_far(spark):
+    """Wide codes of few rows: more values at a radius than entries."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((60, 150))
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(60)], "vec_id bigint, embedding array<double>")
+    codes = topk.codes(df)
+    got = sorted(map(tuple, topk.search(codes, codes.filter("id % 20 = 0"), 3, cell=16).collect()))
+    bits = v > 0
+    d = lambda q, i: int((bits[q] != bits[i]).sum())
+    assert got == [(q, k, i, d(q, i)) for q in (0, 20, 40) for k, i in enumerate(sorted(range(60), key=lambda i: (d(q, i), i))[:3], 1)]
+
+
 PAGES = "page_id bigint, url string, html string, text string"
 
 
