@@ -74,6 +74,7 @@ def test_model_round_trips(spark, tmp_path):
     assert M.differences(model.filter("prob > 0"), MF.read_text(spark, str(tmp_path / "t"), "en")).count() == 0
     MF.write_parquet(model, str(tmp_path / "p"), 20)
     assert M.differences(model, MF.read_parquet(spark, str(tmp_path / "p"))).count() == 0
+    assert MF.read_parquet(spark, str(tmp_path / "p"), str(tmp_path / "P")).count() == 4  # paths that differ in case alone
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "m-1.bin").write_bytes(MF.encode_record("A", 0.5) + MF.encode_record("ÄB", 0.25))
     (tmp_path / "b" / "m-2.bin").write_bytes(MF.encode_record("A", 0.125))
