@@ -114,8 +114,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents, each as often as the mix takes it, with their columns as they were."""
     goal = rates(docs.select("source", size_of(F.col("text")).alias("size")), **options)
     names = [fresh(docs, f"goal_{c}") for c in ("source", "class", "size", "target", "whole", "part")]
-    n = fresh(docs, "goal_copies")
+    n, size = fresh(docs, "goal_copies"), fresh(docs, "doc_size")
     goal = goal.toDF(*names)
-    both = docs.join(goal, F.col("source").eqNullSafe(F.col(names[0])) & (class_of(size_of(F.col("text"))) == F.col(names[1])))
+    sized = docs.withColumn(size, size_of(F.col("text")))  # counted once, as the class looks at it several times
+    both = sized.join(goal, F.col("source").eqNullSafe(F.col(names[0])) & (class_of(F.col(size)) == F.col(names[1])))
     times = copies(F.col("doc_id"), F.col("source"), F.col(names[4]), F.col(names[5]))
     return both.withColumn(n, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*cols(docs.columns))
