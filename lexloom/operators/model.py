@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Words of a window that n-grams are made of at a time.
+_WINDOW = 1 << 17
+
 
 def clean_words(words: DataFrame, max_length: int = 100, clear_cyrillics: bool = False, clear_digits: bool = False, word: str = "word") -> DataFrame:
     """Drops long words and, if asked, those with Cyrillic letters or ASCII digits."""
@@ -25,17 +33,43 @@ def counts(words: DataFrame, by: tuple[str, ...] = ("lang",), term: str = "term"
     return words.groupBy(*by, term).agg(F.count(F.lit(1)).alias("freq"))
 
 
-def grams(words: Column, n: int, own: Column | None = None) -> Column:
-    """The n-grams of 1 to n words of an array, joined by a space; none goes over a null. `own`: so many words at the end count as last words."""
+def gram_counts(tokens: DataFrame, n: int, by: tuple[str, ...] = ("lang",), words: str = "words", own: str | None = None) -> DataFrame:
+    """by..., term, freq: the n-grams of 1 to n words of arrays, joined by a space; none goes over a null.
 
-    def sized(w: Column, k: int) -> Column:
-        first = F.lit(1) if own is None else F.greatest(F.lit(1), F.size(w) - own - k + 2)
-        last = F.size(w) - k + 1
-        at = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        whole = lambda g: ~F.exists(g, lambda x: x.isNull())
-        return F.transform(F.filter(F.transform(at, lambda i: F.slice(w, i, k)), whole), lambda g: F.array_join(g, " "))
-
-    return T.let(words, lambda w: F.concat(*[sized(w, k) for k in range(1, n + 1)]))
+    `own` names a column with how many words at an array's end count as last
+    words. Windows of words are joined and counted as Arrow arrays, so that a
+    task hands on counts, and long arrays need no more memory than a window.
+    """
+    keys = [f"k{i}" for i in range(len(by))]
+    last = F.size(words) if own is None else F.col(own)
+    plain = tokens.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(words).alias("words"), last.cast("int").alias("own"))
+    schema = ", ".join([*(f"{k} {plain.schema[k].dataType.simpleString()}" for k in keys), "term string, n bigint"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(keys))
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().cast(pa.large_string())
+            row = np.repeat(np.arange(b.num_rows), size)
+            first = np.repeat(np.cumsum(size) - pc.fill_null(b.column(len(keys) + 1), 0).to_numpy(zero_copy_only=False), size)
+            for lo in range(0, len(flat), _WINDOW):
+                part = flat.slice(lo, _WINDOW + n - 1)
+                joined, found, where = part, [], []
+                for k in range(1, min(n, len(part)) + 1):
+                    if k > 1:
+                        joined = pc.binary_join_element_wise(joined.slice(0, len(part) - k + 1), part.slice(k - 1), pa.scalar(" ", pa.large_string()))
+                    at = np.arange(lo, min(lo + _WINDOW, lo + len(joined)))
+                    end = at + k - 1
+                    ok = (row[at] == row[end]) & (end >= first[end])
+                    found.append(joined.slice(0, len(at)).filter(pa.array(ok)))
+                    where.append(row[at[ok]])
+                rows = pa.array(np.concatenate(where))
+                table = pa.table([*(b.column(i).take(rows) for i in range(len(keys))), pa.chunked_array(found).combine_chunks()], names=[*keys, "term"])
+                counted = table.filter(pc.is_valid(table["term"])).group_by([*keys, "term"], use_threads=False).aggregate([([], "count_all")])
+                yield from counted.select([*keys, "term", "count_all"]).rename_columns([*keys, "term", "n"]).cast(pa.schema([*(b.schema.field(i).with_name(k) for i, k in enumerate(keys)), ("term", pa.string()), ("n", pa.int64())])).to_batches()
+
+    counted = plain.mapInArrow(run, schema)
+    return counted.groupBy(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], "term").agg(F.sum("n").alias("freq"))
 
 
 def with_carry(lines: DataFrame, n: int, file: str = "file", split: str = "split", line_no: str = "line_no", words: str = "words", out: str = "carry") -> DataFrame:
@@ -104,9 +138,9 @@ def build_ngrams(tokens: DataFrame, n: int, cut_percent: float | None = None, by
     """
     only = lambda c: F.transform(c, lambda w: F.when(kept(w, **filters), w))
     every = only(F.col(words)) if carry is None else only(F.concat(carry, words))
-    found = tokens.select(*by, F.explode(grams(every, n, None if carry is None else F.size(words))).alias("term"))
+    ready = tokens.select(*by, every.alias("_words"), F.size(words).alias("_own"))
     size = F.size(F.filter(F.col(words), lambda w: kept(w, **filters)))
-    return probabilities(counts(found, by), cut_percent, by, tokens.groupBy(*by).agg(F.sum(size).alias("freq")))
+    return probabilities(gram_counts(ready, n, by, "_words", "_own"), cut_percent, by, tokens.groupBy(*by).agg(F.sum(size).alias("freq")))
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:

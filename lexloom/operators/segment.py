@@ -146,6 +146,9 @@ class Words:
     length: np.ndarray
     prob: np.ndarray
 
+    def only(self, some: np.ndarray) -> Words:
+        return Words(self.text[some], self.start[some], self.length[some], self.prob[some])
+
     def scores(self, n: int) -> np.ndarray:
         """Of n texts: the sum of logarithms; the smallest number there is if a probability is 0."""
         zero = self.prob == 0
@@ -299,14 +302,16 @@ def _cut(texts: list[str], kinds: int, length: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(length), pa.py_buffer(ends), pa.py_buffer(whole.encode("utf-8", "surrogatepass")))
 
 
-def segment(df: DataFrame, model: DataFrame | Lexicon, text: str = "text", langs: list[str] | None = None, out: str = "results", own: str | None = None, terms: bool = False) -> DataFrame:
+def segment(df: DataFrame, model: DataFrame | Lexicon, text: str = "text", langs: list[str] | None = None, out: str = "results", own: str | None = None, terms: bool = False, give: str = "all") -> DataFrame:
     """Adds an array with a struct (lang_idx, lang, score, tps) for each language, in the order of `langs`.
 
     tps has start and len in characters of the text, and the prefix probability.
     A null or blank text has empty tps, whose score is 0. `own` names a column
     with a row's language: it is the only one then, and one that isn't in
     `langs` (or null) is an error. `terms` adds the words (upper-cased) to tps.
-    Works on streams too, if the model has up to MAX_TERMS terms.
+    `give` is all, best (the struct of the highest score alone, of equals the last
+    language's) or scores (no tps), so that no more leaves a task than is asked
+    for. Works on streams too, if the model has up to MAX_TERMS terms.
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -318,17 +323,24 @@ def segment(df: DataFrame, model: DataFrame | Lexicon, text: str = "text", langs
     if missing := [x for x in langs if x not in known]:
         raise ValueError(f"language not found: {missing}")
     if not isinstance(lex, Lexicon):
-        return _segment_by_join(df, lex, text, langs, out, own, terms)
+        done = _segment_by_join(df, lex, text, langs, out, own, terms)
+        slim = F.transform(out, lambda r: F.struct(r["lang_idx"].alias("lang_idx"), r["lang"].alias("lang"), r["score"].alias("score")))
+        return done if give == "all" else done.withColumn(out, best(out) if give == "best" else slim)
     shared = df.sparkSession.sparkContext.broadcast(lex)  # bounded by MAX_TERMS
-    schema = StructType([*df.schema.fields, *_parse_datatype_string(f"{out} array<struct<lang_idx:int,lang:string,score:double,tps:{TERM_TPS if terms else TPS}>>").fields])
+    kind = "struct<lang_idx:int,lang:string,score:double" + ("" if give == "scores" else f",tps:{TERM_TPS if terms else TPS}") + ">"
+    schema = StructType([*df.schema.fields, *_parse_datatype_string(f"{out} {kind if give == 'best' else f'array<{kind}>'}").fields])
 
     def lists(texts: list[str], owns: list[str | None] | None) -> pa.Array:
         n = len(texts)
         if owns is None:
             each = viterbi(texts, shared.value, langs)
             kinds, lang = len(langs), np.tile(np.arange(len(langs)), n)
-            scores = np.stack([w.scores(n) for w in each], axis=1).ravel()
-            place = [w.text * kinds + k for k, w in enumerate(each)]
+            scores = np.stack([w.scores(n) for w in each], axis=1)
+            if give == "best":
+                kinds, lang = 1, len(langs) - 1 - scores[:, ::-1].argmax(axis=1)
+                scores = scores[np.arange(n), lang]
+                each = [w.only(lang[w.text] == k) for k, w in enumerate(each)]
+            scores, place = scores.ravel(), [w.text * kinds + (k if kinds > 1 else 0) for k, w in enumerate(each)]
         else:
             if wrong := set(owns) - set(langs):
                 raise ValueError(f"language not found: {sorted(map(str, wrong))}")
@@ -339,16 +351,18 @@ def segment(df: DataFrame, model: DataFrame | Lexicon, text: str = "text", langs
                 each.append(w)
                 place.append(at[w.text])
                 scores[at] = w.scores(len(at))
-        place = np.concatenate(place)
-        order = np.argsort(place, kind="stable")
-        start, length, prob = (np.concatenate([getattr(w, c) for w in each])[order] for c in ("start", "length", "prob"))
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=n * kinds))])
-        fields = {"start": pa.array(start, pa.int32()), "len": pa.array(length, pa.int32()), "prob": pa.array(prob)}
-        if terms:
-            fields = {"term": _cut(texts, kinds, length)} | fields
-        tps = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([*fields.values()], [*fields]))
-        one = pa.StructArray.from_arrays([pa.array(lang, pa.int32()), pa.array([langs[k] for k in lang]), pa.array(scores), tps], ["lang_idx", "lang", "score", "tps"])
-        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * kinds, pa.int32()), one)
+        flat = {"lang_idx": pa.array(lang, pa.int32()), "lang": pa.array([langs[k] for k in lang]), "score": pa.array(scores)}
+        if give != "scores":
+            place = np.concatenate(place)
+            order = np.argsort(place, kind="stable")
+            start, length, prob = (np.concatenate([getattr(w, c) for w in each])[order] for c in ("start", "length", "prob"))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=n * kinds))])
+            fields = {"start": pa.array(start, pa.int32()), "len": pa.array(length, pa.int32()), "prob": pa.array(prob)}
+            if terms:
+                fields = {"term": _cut(texts, kinds, length)} | fields
+            flat["tps"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([*fields.values()], [*fields]))
+        one = pa.StructArray.from_arrays([*flat.values()], [*flat])
+        return one if give == "best" else pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * kinds, pa.int32()), one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -369,7 +383,7 @@ def best(results: str = "results") -> Column:
     return F.array_max(F.transform(F.col(results), key))["c"]
 
 
-def shares(results: str = "results") -> Column:
+def shares(results: str = "results", tps: bool = True) -> Column:
     """The results with `share`: exp(score / |least score|), over the sum of those of all languages.
 
     Blank texts have scores of 0 and no share (NaN).
@@ -377,7 +391,7 @@ def shares(results: str = "results") -> Column:
     low = F.abs(F.array_min(F.transform(F.col(results), lambda r: r["score"])))
     e = lambda r: F.when(low == 0, F.lit(float("nan"))).otherwise(F.exp(r["score"] / low))
     total = F.aggregate(F.transform(F.col(results), e), F.lit(0.0), lambda a, x: a + x)
-    return F.transform(F.col(results), lambda r: F.struct(r["lang_idx"].alias("lang_idx"), r["lang"].alias("lang"), r["score"].alias("score"), (e(r) / total).alias("share"), r["tps"].alias("tps")))
+    return F.transform(F.col(results), lambda r: F.struct(r["lang_idx"].alias("lang_idx"), r["lang"].alias("lang"), r["score"].alias("score"), (e(r) / total).alias("share"), *([r["tps"].alias("tps")] if tps else [])))
 
 
 def routed(results: str, lang: Column) -> Column:

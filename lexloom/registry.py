@@ -14,7 +14,7 @@ from .operators import segment as S
 from .plans import requests as R
 from .plans.build import build_from_folder
 from .sources import model_files as MF
-from .sources.shared import shared_dir
+from .sources.shared import shared_dir, spread
 
 CUT = 1.0
 #: Bytes of a shard in shard_files.
@@ -38,7 +38,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents")
+    return spread(_table(spark, sf_dir, "documents"))
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +289,9 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct line of the conversations without its spaces."""
     lines = _table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select(T.no_spaces(F.col("line")).alias("text")).filter(~T.is_blank(F.col("text"))).distinct()
+    # Texts are costly: a number of parts of its own keeps them from being put together for their few bytes.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return lines.select(T.no_spaces(F.col("line")).alias("text")).filter(~T.is_blank(F.col("text"))).repartition(parts, "text").distinct()
 
 
 _LINES = rf"""lines AS MATERIALIZED (SELECT doc_id, lang AS own, line_no::INT AS line_no, replace(line, ' ', '') AS text FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE lang IS NOT NULL) WHERE regexp_matches(replace(line, ' ', ''), '{_BLANK}'))"""
@@ -334,14 +336,15 @@ def segment_text(spark, sf_dir):
 @query(_viterbi(_LINES) + "SELECT doc_id, line_no, lang, words FROM lines JOIN bests USING (text)")
 def segment_best(spark, sf_dir):
     """The best language of each document's lines without their spaces, and the words."""
-    done = S.segment(_lines(spark, sf_dir).drop("lang"), _model(spark, sf_dir), terms=True).withColumn("best", S.best())
+    done = S.segment(_lines(spark, sf_dir).drop("lang"), _model(spark, sf_dir), out="best", terms=True, give="best")
     return done.select("doc_id", "line_no", "best.lang", _joined_words(F.col("best.tps")).alias("words"))
 
 
 @query(_viterbi(_LINES) + "SELECT doc_id, line_no, lang, lang_idx::INT AS lang_idx, CASE WHEN score > -1e300 THEN round(score, 3) ELSE score END AS score, round(share, 6) AS share FROM lines JOIN shares USING (text)")
 def segment_all(spark, sf_dir):
     """The score and share of each language for each document's lines without their spaces."""
-    rows = S.segment(_lines(spark, sf_dir).drop("lang"), _model(spark, sf_dir)).select("doc_id", "line_no", F.explode(S.shares()).alias("r"))
+    done = S.segment(_lines(spark, sf_dir).drop("lang"), _model(spark, sf_dir), give="scores")
+    rows = done.select("doc_id", "line_no", F.explode(S.shares(tps=False)).alias("r"))
     score = F.when(F.col("r.score") > -1e300, F.round("r.score", 3)).otherwise(F.col("r.score"))
     return rows.select("doc_id", "line_no", "r.lang", "r.lang_idx", score.alias("score"), F.round("r.share", 6).alias("share"))
 
@@ -349,7 +352,7 @@ def segment_all(spark, sf_dir):
 @query(_viterbi(_LINES, True) + "SELECT doc_id, line_no, lang, len(tps)::INT AS n_terms, tps[-1].prob AS prob FROM scores JOIN lines USING (own, text)")
 def line_segments(spark, sf_dir):
     """How many words each document's lines without their spaces have in its own language, and their probability."""
-    done = S.segment(_lines(spark, sf_dir), _model(spark, sf_dir)).withColumn("one", S.routed("results", F.col("lang")))
+    done = S.segment(_lines(spark, sf_dir), _model(spark, sf_dir), own="lang").withColumn("one", S.routed("results", F.col("lang")))
     return done.select("doc_id", "line_no", "one.lang", F.size("one.tps").alias("n_terms"), F.try_element_at("one.tps", F.lit(-1))["prob"].alias("prob"))
 
 
@@ -368,7 +371,7 @@ def viterbi_terms(spark, sf_dir):
 @query(_viterbi(_TURNS) + "SELECT text, lang, words FROM bests")
 def best_language(spark, sf_dir):
     """The best language of each line of the conversations and its words."""
-    top = _segmented(spark, sf_dir).withColumn("best", S.best())
+    top = S.segment(_turns(spark, sf_dir), _model(spark, sf_dir), out="best", terms=True, give="best")
     return top.select("text", "best.lang", _joined_words(F.col("best.tps")).alias("words"))
 
 

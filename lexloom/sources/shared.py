@@ -49,6 +49,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than twice the cores in as many parts as there are cores, so that costly work on its rows isn't one task's.
+
+    Scans of more splits, as all large ones are, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def release(spark: SparkSession) -> None:
     """Removes all tables that this application has written by materialise; results that read them are void then."""
     path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))

@@ -11,7 +11,7 @@ from ..operators import segment as S
 
 def segment_stream(stream: DataFrame, model, text: str = "text", langs: list[str] | None = None) -> DataFrame:
     """The best result of each row; rows are on their own, so there is no state."""
-    return S.segment(stream, model, text, langs).withColumn("best", S.best()).drop("results")
+    return S.segment(stream, model, text, langs, out="best", give="best")
 
 
 def term_counts(stream: DataFrame, time: str, window: str = "1 hour", late: str = "1 hour", text: str = "text", by: tuple[str, ...] = ("lang",)) -> DataFrame:

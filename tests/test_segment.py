@@ -156,6 +156,11 @@ def test_large_models_take_the_join(spark, monkeypatch):
     own = df.withColumn("own", F.when(F.col("n") % 2 == 0, "a").otherwise("c"))
     joined = [sorted(map(str, S.segment(own, m, own="own", terms=True).collect())) for m in (model, S.lexicon(model, 99))]
     assert joined[0] == joined[1]
+    for give in ("best", "scores"):
+        rounded = lambda m: sorted((r["n"], r["text"] or "", [(x["lang_idx"], x["lang"], round(x["score"], 9), x.asDict().get("tps")) for x in ([r["results"]] if give == "best" else r["results"])]) for r in S.segment(df, m, give=give).collect())  # noqa: B023, E731
+        assert rounded(model) == rounded(S.lexicon(model, 99))
+    both = S.segment(df, S.lexicon(model, 99)).withColumn("best", S.best()).select("n", "best").collect()
+    assert sorted(map(str, both)) == sorted(map(str, S.segment(df, S.lexicon(model, 99), out="best", give="best").select("n", "best").collect()))
     assert [plain(None), plain(["c", "a"])] == want and S.segment(df, model).schema["results"].dataType.simpleString() == schema
     with pytest.raises(ValueError, match="language not found"):
         S.segment(df, model, langs=["x"])
