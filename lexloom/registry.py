@@ -281,8 +281,8 @@ def model_lookup(spark, sf_dir):
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, line_no, text: each line of all documents without its spaces; blank lines and documents without a language have none."""
-    lines = _docs(spark, sf_dir).filter("lang IS NOT NULL").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """doc_id, lang, line_no, text: each line of all documents without its spaces, if it isn't blank."""
+    lines = _docs(spark, sf_dir).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select("doc_id", "lang", "line_no", T.no_spaces(F.col("line")).alias("text")).filter(~T.is_blank(F.col("text")))
 
 
@@ -294,7 +294,9 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(T.no_spaces(F.col("line")).alias("text")).filter(~T.is_blank(F.col("text"))).repartition(parts, "text").distinct()
 
 
-_LINES = rf"""lines AS MATERIALIZED (SELECT doc_id, lang AS own, line_no::INT AS line_no, replace(line, ' ', '') AS text FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE lang IS NOT NULL) WHERE regexp_matches(replace(line, ' ', ''), '{_BLANK}'))"""
+_LINES = rf"""lines AS MATERIALIZED (SELECT doc_id, lang AS own, line_no::INT AS line_no, replace(line, ' ', '') AS text FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) WHERE regexp_matches(replace(line, ' ', ''), '{_BLANK}'))"""
+#: Documents without a language have no language of their own.
+_OWN_LINES = _LINES.replace("FROM documents)", "FROM documents WHERE lang IS NOT NULL)")
 _TURNS = rf"""lines AS MATERIALIZED (SELECT DISTINCT replace(line, ' ', '') AS text FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE regexp_matches(replace(line, ' ', ''), '{_BLANK}'))"""
 
 
@@ -325,10 +327,10 @@ def _joined_words(tps: Column) -> Column:
     return F.array_join(F.transform(tps, lambda w: w["term"]), " ")
 
 
-@query(_viterbi(_LINES, True) + "SELECT doc_id, line_no, (generate_subscripts(tps, 1) - 1)::INT AS place, unnest(tps).start::INT AS start, unnest(tps).len::INT AS len, unnest(tps).term AS term, unnest(tps).prob AS prob FROM scores JOIN lines USING (own, text)")
+@query(_viterbi(_OWN_LINES, True) + "SELECT doc_id, line_no, (generate_subscripts(tps, 1) - 1)::INT AS place, unnest(tps).start::INT AS start, unnest(tps).len::INT AS len, unnest(tps).term AS term, unnest(tps).prob AS prob FROM scores JOIN lines USING (own, text)")
 def segment_text(spark, sf_dir):
-    """The words of each document's lines without their spaces, in its own language; start and len are in the joined line."""
-    done = S.segment(_lines(spark, sf_dir), _model(spark, sf_dir), own="lang", terms=True)
+    """The words of each document's lines without their spaces, in its own language (of documents that have one); start and len are in the joined line."""
+    done = S.segment(_lines(spark, sf_dir).filter("lang IS NOT NULL"), _model(spark, sf_dir), own="lang", terms=True)
     rows = done.select("doc_id", "line_no", F.posexplode(F.col("results")[0]["tps"]).alias("place", "w"))
     return rows.select("doc_id", "line_no", "place", "w.start", "w.len", "w.term", "w.prob")
 
@@ -349,10 +351,10 @@ def segment_all(spark, sf_dir):
     return rows.select("doc_id", "line_no", "r.lang", "r.lang_idx", score.alias("score"), F.round("r.share", 6).alias("share"))
 
 
-@query(_viterbi(_LINES, True) + "SELECT doc_id, line_no, lang, len(tps)::INT AS n_terms, tps[-1].prob AS prob FROM scores JOIN lines USING (own, text)")
+@query(_viterbi(_OWN_LINES, True) + "SELECT doc_id, line_no, lang, len(tps)::INT AS n_terms, tps[-1].prob AS prob FROM scores JOIN lines USING (own, text)")
 def line_segments(spark, sf_dir):
     """How many words each document's lines without their spaces have in its own language, and their probability."""
-    done = S.segment(_lines(spark, sf_dir), _model(spark, sf_dir), own="lang").withColumn("one", S.routed("results", F.col("lang")))
+    done = S.segment(_lines(spark, sf_dir).filter("lang IS NOT NULL"), _model(spark, sf_dir), own="lang").withColumn("one", S.routed("results", F.col("lang")))
     return done.select("doc_id", "line_no", "one.lang", F.size("one.tps").alias("n_terms"), F.try_element_at("one.tps", F.lit(-1))["prob"].alias("prob"))
 
 
