@@ -12,7 +12,7 @@ text, falls back on its own best container, and without any on all its text;
 
 Left out: menus, headers and footers of the page, sidebars, notices, adverts,
 forms, scripts, styles and reader comments, told by tag, role and hidden state,
-and by name: a class or id all of whose parts say so or say nothing. Names of
+and by name: a class, id or label all of whose parts say so or say nothing. Names of
 headings and the ids of sections, which are slugs of their titles, count only if
 they are plain. A block told by name alone is kept if it has a main element or a
 first heading in it; one whose name also has other uses, if it has half of the
@@ -46,7 +46,7 @@ _TAG = re.compile(
     r"|<[!?/][^>]*>",
     re.I | re.S,
 )
-_ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|style|aria-hidden|aria-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that start and end a block; all others are part of a line.
 _BLOCK = frozenset(
@@ -58,7 +58,7 @@ _NOISE_TAG = frozenset("nav footer aside form button dialog menu head fieldset i
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar alert".split())
 #: Parts of names: what is plainly not of the article; what is mostly not; and what says nothing about it.
 _PLAIN = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsors sponsored promo promos nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars "
+    "ad ads adsbygoogle adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsors sponsored promo promos nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars "
     "footer masthead topbar toolbar cookie cookies consent gdpr popup modal newsletter newsletters subscribe signup comment comments commentlist disqus respond pagination pager searchbox searchform outbrain taboola".split()
 )
 _MOSTLY = frozenset(
@@ -78,8 +78,6 @@ _SELF_CLOSE = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd"
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks whose ids are slugs of titles.
 _TITLED = _HEADING | {"section"}
-#: Blocks that can be of no article for names that also have other uses.
-_NAMED = frozenset("div section ul ol dl table td aside figure details header blockquote center".split())
 #: Parts of a name: camel case and punctuation end one.
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -245,9 +243,9 @@ class Page:
             if role in _NOISE_ROLE or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
                 n.noise = True
             if name not in _BODY and not own and not n.noise:
-                ids = a["id"].split() if "id" in a else []
+                ids = [*a.get("id", "").split(), *([a["aria-label"]] if "aria-label" in a else [])]
                 says = _says(classes if name in _HEADING else classes + ids)
-                if says == "mostly" and (name not in _NAMED or name in _TITLED and _says(classes) != "mostly"):
+                if says == "mostly" and (name in _HEADING or name in _TITLED and _says(classes) != "mostly"):
                     says = ""
                 if says and not block:
                     n.noise = n.noise or says == "plain"

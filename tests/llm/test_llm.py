@@ -491,7 +491,7 @@ def test_html_names_inside_the_article():
     body = (
         f'<article><h1>T</h1><p>{para(1)}<h2 id="related-work">Related work</h2><section id="discussion"><p>{para(2)}</section><p class="share-price">The share price rose.</p><div class="notice-period"><p>{para(3)}</div>'
         f"<p>a<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> and <object>an object</object>.<span class=ad>BUY</span><span hidden>SECRET</span> <b class='promo-box'>NOW</b>end"
-        f'<div class="related-posts"><p>{para(4)}</div><div class="share-buttons">share it</div><x-note>own tag</x-note> stays</article><section id="comments"><p>{para(5)}</section>'
+        f'<div class="related-posts"><p>{para(4)}</div><div class="share-buttons">share it</div><x-note>own tag</x-note> stays<p class="notice">We use your data.</p><div aria-label="Advertisement">buy</div><ins class="adsbygoogle">buy</ins></article><section id="comments"><p>{para(5)}</section>'
     )
     text, path = html.Page(body).extract(None)
     assert text.split("\n") == ["T", para(1), "Related work", para(2), "The share price rose.", para(3), "ax=2 and an object. end", "own tag stays"] and path == "article"
