@@ -119,7 +119,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     long = {i: b for i, b in enumerate(known.values()) if len(b) > LONG}
     notices = {i: b for i, b in enumerate(known.values()) if i not in long}
     needed = sorted({b for bs in notices.values() for b in _needed(bs, threshold)})
-    fixed = {i: F.split(F.lit("|".join(b)), "[|]") for i, b in enumerate(known.values())}  # folded to an array once
+    joined = lambda b: F.split(F.lit("|".join(b)), "[|]")
+    rows = {i: F.struct(F.lit(i).alias("i"), F.lit(len(b)).alias("n"), *(F.lit(x).alias(c) for c, x in zip(("low", "high"), _bounds(len(b), threshold), strict=True)), joined(b).alias("b"), joined(_needed(b, threshold)).alias("need")) for i, b in enumerate(known.values())}
+    # Templates are data, folded once: one expression goes over all of them.
+    table = lambda some: F.array(*[rows[i] for i in some]) if some else F.filter(F.array(rows[0]), lambda _: F.lit(False))
+    every_row, notice_rows, long_rows = table(rows), table(notices), table(long)
     least = min(_bounds(len(b), threshold)[0] for b in known.values())
 
     def pairs(w: Column) -> Column:
@@ -130,63 +134,58 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     def best(own: Column) -> Column:
         """The largest value with its template's place (negative), or null."""
-        size, each = F.size(own), []
-        for i, b in enumerate(known.values()):
-            low, high = _bounds(len(b), threshold)
-            value = 2.0 * F.size(F.array_intersect(own, fixed[i])) / (size + len(b))
-            each.append(F.struct(F.when(size.between(low, high), value).alias("d"), F.lit(-i).alias("i"), F.lit(len(b)).alias("n"), size.alias("k")))
-        return F.array_max(F.filter(F.array(*each), lambda x: x["d"] >= threshold))
+        size = F.size(own)
+        value = lambda t: F.when(size.between(t["low"], t["high"]), 2.0 * F.size(F.array_intersect(own, t["b"])) / (size + t["n"]))
+        each = F.transform(every_row, lambda t: F.struct(value(t).alias("d"), (-t["i"]).alias("i"), t["n"].alias("n"), size.alias("k")))
+        return F.array_max(F.filter(each, lambda x: x["d"] >= threshold))
 
-    def windows_of(own: Column, known_at: Column, i: int, b: list[str]) -> Column:
-        """The best window for each of its starts, if it is a hit of template i; known_at has the places of known bigrams."""
-        (low, high), need = _bounds(len(b), threshold), _needed(b, threshold)
+    def rated(w: Column, t: Column, start: Column, end: Column) -> Column:
+        """A window's value: r is bigrams shared less those not shared; too large a window has none."""
+        both, size = F.size(F.array_intersect(w, t["b"])), F.greatest(F.size(w), t["n"])
+        value = F.when(F.size(w) <= t["high"], 2.0 * both / (size + t["n"]))
+        return F.struct((2 * both - size).alias("r"), value.alias("d"), (-t["i"]).alias("i"), start.cast("int").alias("s"), end.cast("int").alias("e"))
+
+    def windows_of(own: Column, known_at: Column, t: Column) -> Column:
+        """The best window for each of its starts, if it is a hit of a notice; known_at has the places of known bigrams."""
 
         def window(near: Column, k: Column) -> Column:
             start, end = near[0]["p"], F.element_at(near, k)["p"]
-
-            def rated(w: Column) -> Column:
-                both = F.size(F.array_intersect(w, fixed[i]))
-                size = F.greatest(F.size(w), F.lit(len(b)))
-                return F.struct((2 * both - size).alias("r"), (2.0 * both / (size + len(b))).alias("d"), F.lit(-i).alias("i"), start.alias("s"), end.alias("e"))
-
-            return _let(F.array_distinct(F.slice(own, start + 1, end - start + 1)), rated)
+            return _let(F.array_distinct(F.slice(own, start + 1, end - start + 1)), lambda w: rated(w, t, start, end))
 
         def from_start(near: Column) -> Column:
-            each = F.filter(F.transform(F.sequence(F.lit(low), F.size(near)), lambda k: window(near, k)), lambda x: x["d"] >= threshold)
-            enough = F.size(F.array_distinct(F.transform(near, lambda x: x["b"]))) >= low
+            each = F.filter(F.transform(F.sequence(t["low"], F.size(near)), lambda k: window(near, k)), lambda x: x["d"] >= threshold)
+            enough = F.size(F.array_distinct(F.transform(near, lambda x: x["b"]))) >= t["low"]
             return F.when(enough, F.array_max(each))
 
         def all_starts(at: Column) -> Column:
             # Only places from which enough bigrams of the template are in reach.
-            starts = F.filter(F.sequence(F.lit(1), F.size(at) - low + 1), lambda a: F.element_at(at, a + low - 1)["p"] - F.element_at(at, a)["p"] < high)
-            reach = lambda a: _let(F.element_at(at, a)["p"] + high, lambda stop: F.filter(F.slice(at, a, high), lambda x: x["p"] < stop))
+            starts = F.filter(F.sequence(F.lit(1), F.size(at) - t["low"] + 1), lambda a: F.element_at(at, a + t["low"] - 1)["p"] - F.element_at(at, a)["p"] < t["high"])
+            reach = lambda a: _let(F.element_at(at, a)["p"] + t["high"], lambda stop: F.filter(F.slice(at, a, t["high"]), lambda x: x["p"] < stop))
             found = F.filter(F.transform(starts, lambda a: _let(reach(a), from_start)), lambda x: x.isNotNull())
-            return F.when((F.size(at) >= low) & F.exists(at, lambda x: x["b"].isin(need)), found)
+            return F.when((F.size(at) >= t["low"]) & F.exists(at, lambda x: F.array_contains(t["need"], x["b"])), found)
 
-        return _let(F.filter(known_at, lambda x: x["b"].isin(b)), all_starts)
+        return _let(F.filter(known_at, lambda x: F.array_contains(t["b"], x["b"])), all_starts)
 
-    def blocks_of(own: Column, i: int, b: list[str]) -> Column:
+    def blocks_of(own: Column, t: Column) -> Column:
         """The runs of blocks that are hits of a long template."""
-        (low, high), size = _bounds(len(b), threshold), len(b) // 16
-        half = lambda x: F.size(F.array_intersect(x, fixed[i])) * 2 >= F.size(x)
-        block = lambda k: _let(F.array_distinct(F.slice(own, k * size + 1, size)), half)
-        at = F.filter(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / size).cast("int")), block)
-        none = F.array().cast("array<struct<a:int,z:int>>")
-
-        def join(runs: Column, k: Column) -> Column:
-            last = F.element_at(runs, -1)
-            follows = (F.size(runs) > 0) & (k - last["z"] <= 2)
-            return F.when(follows, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["a"].alias("a"), k.alias("z"))))).otherwise(F.concat(runs, F.array(F.struct(k.alias("a"), k.alias("z")))))
-
-        def rated(w: Column, run: Column) -> Column:
-            both = F.size(F.array_intersect(w, fixed[i]))
-            value = F.greatest(F.size(w), F.lit(len(b)))
-            end = F.least((run["z"] + 1) * size, F.size(own)) - 1
-            return F.struct((2 * both - value).alias("r"), F.when(F.size(w).between(low, high), 2.0 * both / (value + len(b))).alias("d"), F.lit(-i).alias("i"), (run["a"] * size).alias("s"), end.cast("int").alias("e"))
-
-        each = F.transform(F.aggregate(at, none, join), lambda run: _let(F.array_distinct(F.slice(own, run["a"] * size + 1, (run["z"] - run["a"] + 1) * size)), lambda w: rated(w, run)))
-        enough = _let(F.array_distinct(own), lambda d: F.size(F.array_intersect(d, fixed[i])) >= low)
-        return F.when(F.size(own) >= low, F.when(enough, F.filter(each, lambda x: x["d"] >= threshold)))
+
+        def of(size: Column) -> Column:
+            half = lambda x: F.size(F.array_intersect(x, t["b"])) * 2 >= F.size(x)
+            block = lambda k: _let(F.array_distinct(F.slice(own, k * size + 1, size)), half)
+            at = F.filter(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / size).cast("int")), block)
+            none = F.array().cast("array<struct<a:int,z:int>>")
+            pair = lambda a, z: F.array(F.struct(a.alias("a"), z.alias("z")))
+
+            def join(runs: Column, k: Column) -> Column:
+                last = F.element_at(runs, -1)
+                follows = (F.size(runs) > 0) & (k - last["z"] <= 2)
+                return F.when(follows, F.concat(F.slice(runs, 1, F.size(runs) - 1), pair(last["a"], k))).otherwise(F.concat(runs, pair(k, k)))
+
+            value = lambda run: _let(F.array_distinct(F.slice(own, run["a"] * size + 1, (run["z"] - run["a"] + 1) * size)), lambda w: rated(w, t, run["a"] * size, F.least((run["z"] + 1) * size, F.size(own)) - 1))
+            return F.filter(F.transform(F.aggregate(at, none, join), value), lambda x: x["d"] >= threshold)
+
+        enough = _let(F.array_distinct(own), lambda d: F.size(F.array_intersect(d, t["b"])) >= t["low"])
+        return F.when(F.size(own) >= t["low"], F.when(enough, _let(F.floor(t["n"] / 16).cast("int"), of)))
 
     kind = "array<struct<s:int,t:int,e:int,r:int,d:double,i:int>>"
     span = lambda s, t, e, r, d, i: F.struct(s.alias("s"), F.lit(t).alias("t"), e.alias("e"), r.cast("int").alias("r"), d.alias("d"), i.alias("i"))
@@ -194,7 +193,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     def windows(own: Column) -> Column:
         every = sorted({x for bs in notices.values() for x in bs})
         places = F.filter(F.transform(own, lambda x, p: F.when(x.isin(every), F.struct(p.alias("p"), x.alias("b")))), lambda x: x.isNotNull())
-        search = lambda at: F.flatten(F.filter(F.array(*[windows_of(own, at, i, b) for i, b in notices.items()], *[blocks_of(own, i, b) for i, b in long.items()]), lambda x: x.isNotNull()))
+        found = lambda at: F.concat(F.transform(notice_rows, lambda t: windows_of(own, at, t)), F.transform(long_rows, lambda t: blocks_of(own, t)))
+        search = lambda at: F.flatten(F.filter(found(at), lambda x: x.isNotNull()))
         return F.transform(_let(places, search), lambda x: span(x["s"], 1, x["e"], x["r"], x["d"], x["i"]))
 
     def line_spans(lines: Column, each: Column) -> Column:
