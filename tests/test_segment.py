@@ -226,3 +226,24 @@ def test_counts_of_a_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = {(r["window"]["start"].hour, r["term"]): r["freq"] for r in spark.sql("select * from counts").collect()}
     assert got == {(0, "ONE"): 2, (0, "TWO"): 1, (1, "ONE"): 1}
+
+
+def test_the_join_has_no_row_for_a_place(spark):
+    """Substrings were rows of whole length from each place, on a side that Spark took for small and broadcast."""
+    model = spark.createDataFrame([*TOY.items(), ("A" * 90, 0.1)], "term string, prob double")
+    df = spark.createDataFrame([(1, "itistoread" * 30), (2, "itistoread" * 30), (3, None)], "text_id int, text string")
+    done = S.segment_by_join(df, model)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "BroadcastHashJoin" not in plan
+    got = {r["text_id"]: [tuple(x) for x in r["tps"]] for r in done.collect()}
+    assert got == {1: brute("itistoread" * 30, TOY), 2: brute("itistoread" * 30, TOY), 3: []}
+
+
+def test_tables_of_the_join_may_be_full(spark, monkeypatch):
+    monkeypatch.setattr(S, "_BITS", 10)
+    monkeypatch.setattr(S, "_PART", 50)
+    terms = {f"{a}{b}{c}": 0.001 for a in "ABCDEFGH" for b in "ABCDEFGH" for c in "ABCDEFGH"}
+    df = spark.createDataFrame([(i, "HEADBEADGA"[i % 7 :] * (1 + i % 5)) for i in range(20)], "text_id int, text string")
+    model = spark.createDataFrame(list(terms.items()), "term string, prob double")
+    got = {r["text_id"]: [tuple(x) for x in r["tps"]] for r in S.segment_by_join(df, model).collect()}
+    assert got == {r["text_id"]: brute(r["text"], terms) for r in df.collect()}
