@@ -135,12 +135,13 @@ def split_rows(c: Column) -> Column:
     return F.filter(F.split(c, "[\r\n ]"), lambda x: ~is_blank(x))
 
 
-def simple_tokens(c: Column) -> Column:
-    """Words, cut at white space and trimmed to letters; one that was trimmed to a single letter is dropped. Fold the text first for upper case."""
+#: What ends a word: white space and control characters up to U+001E.
+_ENDS = r"\x00-\x1E \x{85}\x{A0}\p{Z}"
+
 
-    def norm(t: Column) -> Column:
-        cut = F.regexp_replace(t, rf"^[^{LETTER}]+|[^{LETTER}]+$", "")
-        return F.when((cut == t) | (F.length(cut) > 1), cut)
+def simple_tokens(c: Column) -> Column:
+    """Words, cut at white space and trimmed to letters; one that was trimmed to a single letter is dropped. Fold the text first for upper case.
 
-    pieces = F.filter(F.split(replace_invisible(c), rf"{SPACE}+"), lambda x: x != "")
-    return F.filter(F.transform(pieces, norm), lambda x: x.isNotNull() & (x != ""))
+    One expression goes over the text: from a word's first letter to its last, or a letter that is a word of its own.
+    """
+    return F.regexp_extract_all(c, F.lit(rf"{LETTER}[^{_ENDS}]*{LETTER}|(?<![^{_ENDS}]){LETTER}(?![^{_ENDS}])"), F.lit(0))
