@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import numpy as np
@@ -336,3 +337,42 @@ def test_shared_tables(spark, monkeypatch, tmp_path):
     cluster = Of(conf=Of(get=lambda *_: None), sparkContext=Of(master="spark://x", _jsc=Of(sc=lambda: Of(getCheckpointDir=lambda: unset))))
     with pytest.raises(RuntimeError, match="is not set"):
         shared._base(cluster)
+
+
+def test_the_cut_and_the_order_need_no_task_of_a_whole_language(spark):
+    """All terms of one count, or of a language, went to one task."""
+    rng = random.Random(3)
+    rows = {(lang, "".join(rng.choices("ABÉ", k=rng.randint(1, 9)))): rng.choice([1, 1, 1, 1, 2, 3, 40]) for lang in ("x", "y", "z") for _ in range(400)}
+    df = spark.createDataFrame([(a, t, n) for (a, t), n in rows.items()], "lang string, term string, freq bigint")
+    for cut in (0.0, 1.0, 12.0, 30.0, 77.0, 100.0):
+        want = set()
+        for lang in ("x", "y", "z"):
+            total, run = sum(n for (a, _), n in rows.items() if a == lang), 0
+            for n, t in sorted((-n, t.encode()) for (a, t), n in rows.items() if a == lang):
+                run -= n
+                if run <= float(np.float32(total) * np.float32(100 - cut)) / 100:
+                    want.add((lang, t.decode(), -n, -n / total))
+        assert {tuple(r) for r in M.probabilities(df, cut).collect()} == want
+    model = M.probabilities(df).select("lang", "term", "prob")
+    got = {(r["lang"], r["place"]): r["term"] for r in M.places(model).collect()}
+    assert len(got) == len(rows) and all([got[lang, i + 1] for i in range(len(s))] == s for lang in ("x", "y", "z") for s in [[t for _, t in sorted((-n, t) for (a, t), n in rows.items() if a == lang)]])
+    plan = M.probabilities(df, 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (" not in plan or plan.count("strategy=broadcast") >= plan.count("Join Inner")
+
+
+def test_words_are_found_by_one_expression(spark):
+    """Each word was cut out and trimmed by expressions of its own."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("aé ß-1\t\x1e\x1fЯ　\x85.", k=rng.randint(0, 14))) for _ in range(500)]
+
+    def plain(t):
+        out = []
+        for w in re.split("[\x00-\x1e\x20\x85\xa0　]+", t):
+            k = [i for i, c in enumerate(w) if c.isalpha()]
+            if k and (k[-1] > k[0] or len(w) == 1):
+                out.append(w[k[0] : k[-1] + 1])
+        return out
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.simple_tokens(F.col("t")).alias("w"))
+    assert all(r["w"] == plain(r["t"]) for r in df.collect())
+    assert "regexp_replace" not in df._jdf.queryExecution().toString()
