@@ -334,7 +334,7 @@ def segment(df: DataFrame, model: DataFrame | Lexicon, text: str = "text", langs
         for b in batches:
             if not b.num_rows:
                 continue
-            texts = [T.fold(t) if t and not t.isspace() else "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            texts = ["" if blank(t) else T.fold(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             owns = b.column(b.schema.get_field_index(own)).to_pylist() if own else None
             for lo, hi in _slices(b, texts):
                 part = b.slice(lo, hi - lo)
@@ -343,6 +343,11 @@ def segment(df: DataFrame, model: DataFrame | Lexicon, text: str = "text", langs
     return df.mapInArrow(run, schema)
 
 
+def blank(t: str | None) -> bool:
+    """As the column function: separators from U+001C to U+001F aren't white space."""
+    return not t or (t.isspace() and not any(c in t for c in "\x1c\x1d\x1e\x1f"))
+
+
 def _kind(give: str, terms: bool) -> str:
     """The type of segment()'s column."""
     kind = "struct<lang_idx:int,lang:string,score:double" + ("" if give == "scores" else f",tps:{TERM_TPS if terms else TPS}") + ">"

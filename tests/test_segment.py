@@ -247,3 +247,16 @@ def test_tables_of_the_join_may_be_full(spark, monkeypatch):
     model = spark.createDataFrame(list(terms.items()), "term string, prob double")
     got = {r["text_id"]: [tuple(x) for x in r["tps"]] for r in S.segment_by_join(df, model).collect()}
     assert got == {r["text_id"]: brute(r["text"], terms) for r in df.collect()}
+
+
+def test_pieces_of_requests_stay_in_their_row(spark, monkeypatch):
+    """Each piece was a row that had its request's whole text with it and came back in every language."""
+    model = spark.createDataFrame([("en", "IT", 0.01), ("en", "IS", 0.02), ("de", "ES", 0.1)], "lang string, term string, prob double")
+    rows = [(1, "Itis itis\nes éß", "EN"), (1, "es", "any"), (2, " ", "any"), (3, None, None), (4, "\x1c \x1c", "de"), (None, "es itis es", "De ")]
+    df = spark.createDataFrame(rows, "request_id int, text string, lang string").coalesce(1)
+    plain = R.respond(df, model, ["de", "en"])
+    assert "Generate" not in plain._jdf.queryExecution().toString()
+    want = {r[0]: r[1].partition('"ttps"')[2] for r in plain.collect()}
+    assert '"text":"éß","lang":"en","tps":[{"term":"é","prob":0.0},{"term":"ß","prob":0.0}]' in want[1] and '{"term":"\\u001C","prob":1.0}' in want[4] and not want[2]
+    monkeypatch.setattr(S, "MAX_TERMS", 1)
+    assert {r[0]: r[1].partition('"ttps"')[2] for r in R.respond(df, model, ["de", "en"]).collect()} == want
