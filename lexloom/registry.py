@@ -358,8 +358,8 @@ def line_segments(spark, sf_dir):
     return done.select("doc_id", "line_no", "one.lang", F.size("one.tps").alias("n_terms"), F.try_element_at("one.tps", F.lit(-1))["prob"].alias("prob"))
 
 
-def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.segment(_turns(spark, sf_dir), _model(spark, sf_dir), terms=True)
+def _segmented(spark: SparkSession, sf_dir: str, **asked) -> DataFrame:
+    return S.segment(_turns(spark, sf_dir), _model(spark, sf_dir), **({"terms": True} | asked))
 
 
 @query(_viterbi(_TURNS) + "SELECT text, lang, (generate_subscripts(tps, 1) - 1)::INT AS place, unnest(tps).start::INT AS start, unnest(tps).len::INT AS len, unnest(tps).term AS term, unnest(tps).prob AS prob FROM scores")
@@ -380,7 +380,7 @@ def best_language(spark, sf_dir):
 @query(_viterbi(_TURNS) + "SELECT text, lang, lang_idx::INT AS lang_idx, CASE WHEN score > -1e300 THEN round(score, 3) ELSE score END AS score, round(share, 6) AS share FROM shares")
 def all_languages(spark, sf_dir):
     """The score and share of each language for each line of the conversations."""
-    rows = _segmented(spark, sf_dir).select("text", F.explode(S.shares()).alias("r"))
+    rows = _segmented(spark, sf_dir, terms=False, give="scores").select("text", F.explode(S.shares(tps=False)).alias("r"))
     score = F.when(F.col("r.score") > -1e300, F.round("r.score", 3)).otherwise(F.col("r.score"))
     return rows.select("text", "r.lang", "r.lang_idx", score.alias("score"), F.round("r.share", 6).alias("share"))
 
@@ -389,13 +389,13 @@ def all_languages(spark, sf_dir):
 def routed_language(spark, sf_dir):
     """One language's words."""
     one = S.routed("results", F.lit("de"))
-    return _segmented(spark, sf_dir).select("text", one["lang"].alias("lang"), _joined_words(one["tps"]).alias("words"))
+    return _segmented(spark, sf_dir, langs=["de"]).select("text", one["lang"].alias("lang"), _joined_words(one["tps"]).alias("words"))
 
 
 @query(_viterbi(_TURNS) + "SELECT text, '''' || words || ''' (' || lang || ')' AS line FROM bests")
 def console_lines(spark, sf_dir):
     """K5: the best words and language as a line."""
-    return _segmented(spark, sf_dir).select("text", R.line_view(S.best()).alias("line"))
+    return _segmented(spark, sf_dir, give="best").select("text", R.line_view(F.col("results")).alias("line"))
 
 
 @query(_viterbi(_TURNS) + "SELECT text, string_agg('(' || lang || ')  ' || format('{:,.2f}', share * 100) || '%  ''' || words || '''', chr(10) ORDER BY share DESC, lang_idx) AS lines FROM (SELECT * REPLACE (round(share, 9) AS share) FROM shares) GROUP BY text")
@@ -408,7 +408,7 @@ def share_lines(spark, sf_dir):
 @query(_viterbi(_TURNS) + "SELECT text, '''' || lang || ''', (' || array_to_string(list_transform(tps, lambda x: '''' || x.term || ''''), ', ') || ')' AS result FROM scores JOIN bests USING (text, lang)")
 def result_strings(spark, sf_dir):
     """A result as a string, here without the probabilities, which engines write in their own ways."""
-    return _segmented(spark, sf_dir).select("text", R.result_view(S.best(), probs=False).alias("result"))
+    return _segmented(spark, sf_dir, give="best").select("text", R.result_view(F.col("results"), probs=False).alias("result"))
 
 
 @query(_viterbi(_TURNS) + "SELECT text, (generate_subscripts(tps, 1) - 1)::INT AS place, unnest(tps).start::INT AS start, unnest(tps).len::INT AS len, unnest(tps).prob AS prob FROM scores WHERE lang = 'es'")
