@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -28,7 +29,18 @@ def upper_pairs() -> tuple[str, str]:
 
 
 def fold(text: str) -> str:
-    return text.translate(_fold_table())
+    """As fold_upper. Texts without characters that upper case takes otherwise (ß aside, which is ẞ meanwhile) take a short way."""
+    if text.isascii():
+        return text.upper()
+    if _odd().search(text):
+        return text.translate(_fold_table())
+    return text.replace("ß", "ẞ").upper().replace("ẞ", "ß") if "ß" in text else text.upper()
+
+
+@lru_cache(maxsize=1)
+def _odd() -> re.Pattern[str]:
+    table = _fold_table()
+    return re.compile("[" + "".join(f"\\U{c:08x}" for c in range(0x80, 0x10000) if chr(c) != "ß" and (chr(c) == "ẞ" or chr(c).upper() != table.get(c, chr(c)))) + "\U00010000-\U0010FFFF]")
 
 
 @lru_cache(maxsize=1)

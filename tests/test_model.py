@@ -376,3 +376,9 @@ def test_words_are_found_by_one_expression(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.simple_tokens(F.col("t")).alias("w"))
     assert all(r["w"] == plain(r["t"]) for r in df.collect())
     assert "regexp_replace" not in df._jdf.queryExecution().toString()
+
+
+def test_fold_takes_short_ways_alike():
+    table = T._fold_table()
+    assert all(T.fold(f"aß{chr(c)}") == f"aß{chr(c)}".translate(table) for c in range(0x110000))
+    assert T._odd().search("ёж") and not T._odd().search("straße, été, мир")
