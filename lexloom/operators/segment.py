@@ -37,10 +37,12 @@ TPS = "array<struct<start:int,len:int,prob:double>>"
 TERM_TPS = TPS.replace("start", "term:string,start")
 MINIMUM = -1.7976931348623157e308
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Positions of texts side by side; positions and cells (position, length, language, text) of a block.
-_POSITIONS, _BLOCK, _CELLS = 1 << 16, 4096, 1 << 22
+#: Positions of texts side by side; positions of a block, and starts of terms in it.
+_POSITIONS, _BLOCK, _STARTS = 1 << 18, 4096, 1 << 16
+#: Most cells (term, language) of a model that are made into a table of probabilities.
+_DENSE = 1 << 25
 #: Characters, and rows, of texts that are worked on at a time.
-_CHARS, _ROWS = 1 << 20, 2048
+_CHARS, _ROWS = 1 << 20, 8192
 #: Characters of texts that share a model of their own in the plan by joins, and most bits of each of its tables.
 _PART, _BITS = 1 << 19, 28
 
@@ -54,18 +56,52 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+#: Symbols of a tree's edges: those of frequent characters, one that digits of a rare one follow, and one that is on no edge.
+_FREQUENT, _RARE, _NONE = 61, 61, 63
+_LOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 @dataclass
 class Lexicon:
-    """The terms of all languages as sorted hashes, with a second hash to tell others apart."""
+    """The terms of all languages as a tree of symbols, its nodes level by level: no substring is taken for a term by its hash.
+
+    A node's children stand together, in the order of their symbols, so that a mask of symbols and the first child's place tell each.
+    """
 
     langs: list[str]
-    first: np.ndarray
-    second: np.ndarray
+    symbol: np.ndarray  # by code point
+    rare: np.ndarray  # rising code points of characters that are written as digits
+    digits: int
+    mask: np.ndarray  # of a node: the symbols that go on from it
+    child: np.ndarray  # of a node: its first child
+    term: np.ndarray  # of a node: the term that ends there, or -1
     start: np.ndarray  # where each term's entries begin
     lang: np.ndarray  # an entry: the place of its language, and the term's probability there
     prob: np.ndarray
     longest: int
-    heads: np.ndarray  # bits by leading bits of a hash: whether some term begins so
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "_table"}
+
+    def weights(self, term: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """The probability (or 0) of each term in each wanted language, or in the one that stands in its row of `want`."""
+        kinds = len(self.langs)
+        if (len(self.start) - 1) * kinds > _DENSE:
+            first = self.start[term]
+            count = self.start[term + 1] - first
+            upto = np.cumsum(count)
+            entry = np.repeat(first - upto + count, count) + np.arange(count.sum())
+            row, out = np.repeat(np.arange(len(term)), count), np.zeros((len(term), want.shape[-1]))
+            for k in range(want.shape[-1]):
+                here = np.flatnonzero(self.lang[entry] == (want[k] if want.ndim == 1 else want[row, k]))
+                out[row[here], k] = self.prob[entry[here]]
+            return out
+        if not hasattr(self, "_table"):  # made where it is needed, and never sent
+            self._table = np.zeros((len(self.start) - 1, kinds))
+            self._table[np.repeat(np.arange(len(self.start) - 1), np.diff(self.start)), self.lang] = self.prob
+        if want.ndim == 1 and len(want) == kinds:
+            return self._table.take(term, axis=0)
+        return self._table.reshape(-1).take(term[:, None].astype(np.int64) * kinds + want)
 
     @staticmethod
     def of(rows: pa.Table, known: list[str] | None = None) -> Lexicon:
@@ -74,55 +110,99 @@ class Lexicon:
         names = rows["lang"].combine_chunks().dictionary_encode() if rows.num_rows else None
         langs = sorted({*(names.dictionary.to_pylist() if names is not None else ()), *(known or ())})
         n = rows.num_rows
-        a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        if not n:
-            return Lexicon(langs, a, b, np.zeros(1, np.int64), np.zeros(0, np.int16), np.zeros(0), 1, np.zeros(1, np.uint8))
         size = np.asarray(pa.compute.utf8_length(rows["term"])).astype(np.int64)
-        bits = int(max(3, min(32, (4 * int(size.sum())).bit_length())))
-        heads = np.zeros(1 << (bits - 3), np.uint8)
-        at = 0
-        for part in rows["term"].chunks:
-            for k in range(0, len(part), 1 << 18):
-                terms = part.slice(k, 1 << 18)
-                here = size[at : at + len(terms)]
-                code = _codes("".join(terms.to_pylist())).astype(np.uint64) + np.uint64(1)
-                begin = np.cumsum(here) - here
-                with np.errstate(over="ignore"):
-                    live = np.arange(len(terms))
-                    for i in range(int(here.max(initial=0))):
-                        live = live[here[live] > i]
-                        c = code[begin[live] + i]
-                        a[at + live] = a[at + live] * _A + c
-                        b[at + live] = b[at + live] * _B + c
-                        h = _spread(a[at + live]) >> np.uint64(64 - bits)
-                        np.bitwise_or.at(heads, h >> np.uint64(3), (1 << (h & np.uint64(7))).astype(np.uint8))
-                at += len(terms)
-        a, b = _spread(a), _spread(b)
-        place = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int16)
-        lang, prob = place[np.asarray(names.indices)], np.asarray(rows["prob"]).astype(float)
-        order = np.lexsort((lang, b, a))
-        a, b, lang, prob = a[order], b[order], lang[order], prob[order]
-        term = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        entry = term | np.concatenate([[True], lang[1:] != lang[:-1]])
-        start = np.cumsum(entry)[term] - 1
-        return Lexicon(langs, a[term], b[term], np.append(start, entry.sum()), lang[entry], prob[entry], int(size.max()), heads)
-
-    def begins(self, h: np.ndarray) -> np.ndarray:
-        """Whether some term may begin with what has this hash."""
-        at = h >> np.uint64(64 - (len(self.heads).bit_length() + 2))
-        return (self.heads[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The place of the term with these hashes, or -1."""
-        at = np.minimum(np.searchsorted(self.first, a), len(self.first) - 1)
-        # Terms that share the first hash are next to each other.
-        while len(clash := np.flatnonzero((self.first[at] == a) & (self.second[at] < b))) and (at[clash] + 1 < len(self.first)).any():
-            clash = clash[at[clash] + 1 < len(self.first)]
-            clash = clash[self.first[at[clash] + 1] == a[clash]]
-            if not len(clash):
-                break
-            at[clash] += 1
-        return np.where((self.first[at] == a) & (self.second[at] == b), at, -1)
+        parts = [part.slice(k, 1 << 18) for part in rows["term"].chunks for k in range(0, len(part), 1 << 18)]
+        often = np.zeros(0x110000, np.int64)
+        for part in parts:
+            often += np.bincount(_codes("".join(part.to_pylist())), minlength=len(often))
+        used = np.flatnonzero(often)
+        used = used[np.argsort(-often[used], kind="stable")]
+        symbol = np.full(0x110000, _NONE, np.uint8)
+        symbol[used[:_FREQUENT]] = np.arange(min(len(used), _FREQUENT))
+        symbol[used[_FREQUENT:]] = _RARE
+        rare = np.sort(used[_FREQUENT:])
+        digits = next(d for d in range(5) if 62**d >= len(rare))
+        lex = Lexicon(langs, symbol, rare, digits, *(np.zeros(0, t) for t in (np.uint64, np.int32, np.int32)), np.zeros(1, np.int64), np.zeros(0, np.int16), np.zeros(0), int(size.max(initial=1)))
+        flat, steps, at = [np.zeros(0, np.uint8)], size.copy(), 0
+        for part in parts:
+            here, code = size[at : at + len(part)], _codes("".join(part.to_pylist()))
+            s = symbol[code]
+            if len(odd := np.flatnonzero(s == _RARE)):
+                times = np.ones(len(s), np.int64)
+                times[odd] += digits
+                end = np.cumsum(times)
+                steps[at : at + len(part)] = np.add.reduceat(times, np.cumsum(here) - here)
+                s = np.repeat(s, times)
+                for d in range(digits):
+                    s[end[odd] - digits + d] = lex._digit(code[odd], d)
+            flat.append(s)
+            at += len(part)
+        found = lex._grow(np.concatenate(flat), steps)
+        if n:
+            place = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int16)
+            lang, prob = place[np.asarray(names.indices)], np.asarray(rows["prob"]).astype(float)
+            order = np.lexsort((lang, found))
+            found, lang, prob = found[order], lang[order], prob[order]
+            term = np.concatenate([[True], found[1:] != found[:-1]])
+            entry = term | np.concatenate([[True], lang[1:] != lang[:-1]])
+            lex.term[found[term]] = np.arange(term.sum())
+            lex.start, lex.lang, lex.prob = np.append((np.cumsum(entry) - 1)[term], entry.sum()), lang[entry], prob[entry]
+        return lex
+
+    def _digit(self, code: np.ndarray, d: int) -> np.ndarray:
+        return (np.searchsorted(self.rare, code) // 62 ** (self.digits - 1 - d) % 62).astype(np.uint8)
+
+    def _grow(self, flat: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """Makes the nodes from the terms' symbols; gives the node of each term."""
+        begin = np.cumsum(steps) - steps
+        node, live, total = np.zeros(len(steps), np.int64), np.arange(len(steps)), 1
+        masks, children, level = [], [], 1  # level: how many nodes the last one has
+        for i in range(int(steps.max(initial=0)) + 1):
+            live = live[steps[live] > i]
+            low = total - level
+            key, which = np.unique((node[live] - low) << 6 | flat[begin[live] + i], return_inverse=True)
+            parent = key >> 6
+            first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]])) if len(key) else np.zeros(0, np.int64)
+            mask, child = np.zeros(level, np.uint64), np.zeros(level, np.int32)
+            if len(key):
+                mask[parent[first]] = np.bitwise_or.reduceat(np.uint64(1) << (key & 63).astype(np.uint64), first)
+                child[parent[first]] = total + first
+            node[live] = total + which
+            masks.append(mask)
+            children.append(child)
+            level = len(key)
+            total += level
+        self.mask, self.child = np.concatenate(masks), np.concatenate(children)
+        self.term = np.full(total, -1, np.int32)
+        return node
+
+    def _step(self, node: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the nodes have a child by their symbol, and that child."""
+        mask = self.mask[node]
+        live = np.flatnonzero(mask >> symbol & np.uint8(1))
+        return live, self.child[node[live]] + np.bitwise_count(mask[live] & _LOW[symbol[live]])
+
+    def walk(self, symbols: np.ndarray, codes: np.ndarray, at: np.ndarray, stride: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """n, place, term of the terms of n characters that start in places `at` of texts whose next character is `stride` places on."""
+        node = np.zeros(len(at), np.int32)
+        for n in range(1, self.longest + 1):
+            live, node = self._step(node, symbols[at])
+            at = at[live]
+            if len(self.rare) and len(odd := np.flatnonzero(symbols[at] == _RARE)):
+                part, end = odd, node[odd]
+                for d in range(self.digits):
+                    some, end = self._step(end, self._digit(codes[at[part]], d))
+                    part = part[some]
+                node[odd] = -1
+                node[part] = end
+                live = np.flatnonzero(node >= 0)
+                at, node = at[live], node[live]
+            if not len(at):
+                return
+            term = self.term[node]
+            hit = np.flatnonzero(term >= 0)
+            yield n, at[hit] - (n - 1) * stride, term[hit]
+            at = at + stride
 
 
 def _free(ch: str) -> bool:
@@ -130,13 +210,14 @@ def _free(ch: str) -> bool:
     return unicodedata.category(ch)[0] != "L" and ch not in T.DASHES
 
 
-_free_table: np.ndarray | None = None
+_free_table = np.zeros(0, bool)
 
 
 def _free_codes(cp: np.ndarray) -> np.ndarray:
     global _free_table
-    if _free_table is None:
-        _free_table = np.fromiter((_free(chr(i)) for i in range(0x110000)), bool, 0x110000)
+    if (top := int(cp.max(initial=0)) | 0xFFF) >= len(_free_table):
+        more = range(len(_free_table), top + 1)
+        _free_table = np.concatenate([_free_table, np.fromiter((_free(chr(i)) for i in more), bool, len(more))])
     return _free_table[cp]
 
 
@@ -159,15 +240,22 @@ class Words:
         return np.where(np.bincount(self.text[zero], minlength=n) > 0, MINIMUM, total)
 
 
-def viterbi(texts: list[str], lexicon: Lexicon, langs: list[str]) -> list[Words]:
-    """The words of each (upper-cased) text in each language."""
-    want = [lexicon.langs.index(x) for x in langs]
-    parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in langs]
+def viterbi(texts: list[str], lexicon: Lexicon, langs: list[str], give: str = "all", own: np.ndarray | None = None) -> list[Words]:
+    """The words of each (upper-cased) text in each language, or in the one of `langs` whose place `own` has for it.
+
+    If scores alone are asked for, or the best language, a text of probability 0 that can't be the best is one word of probability 0.
+    """
+    want = np.unique([lexicon.langs.index(x) for x in langs])
+    if own is not None:
+        own = np.array([lexicon.langs.index(x) for x in langs])[own]
+    parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in (want if own is None else [0])]
+    last = lexicon.langs.index(langs[-1]) if give == "best" and own is None else None  # the best of texts that have probability 0 in all
+    spared = None if give == "all" or (own is not None and give == "best") else np.array([x != last for x in want[: len(parts)]])
     # Texts of like lengths go through the recurrence side by side.
     group: list[int] = []
     for i in [*sorted(range(len(texts)), key=lambda i: len(texts[i])), None]:
         if group and (i is None or (len(group) + 1) * len(texts[i]) > _POSITIONS):
-            for k, found in enumerate(_group([texts[j] for j in group], lexicon, want)):
+            for k, found in enumerate(_group([texts[j] for j in group], lexicon, want if own is None else own[group][:, None], spared)):
                 parts[k].append((np.array(group)[found[0]], *found[1:]))
             group = []
         if i is not None and texts[i]:
@@ -177,84 +265,103 @@ def viterbi(texts: list[str], lexicon: Lexicon, langs: list[str]) -> list[Words]
         text, start, length, prob = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, t) for t in (np.int64, np.int32, np.int32, float))
         order = np.argsort(text, kind="stable")
         out.append(Words(text[order], start[order], length[order], prob[order]))
-    return out
+    return out if own is not None else [out[np.searchsorted(want, lexicon.langs.index(x))] for x in langs]
 
 
-def _substrings(codes: np.ndarray, lengths: np.ndarray, lo: int, hi: int, lex: Lexicon) -> tuple[np.ndarray, ...]:
-    """row, end, length, term of each term that starts in lo..hi - 1 of a row."""
-    row, at = np.divmod(np.arange(codes.shape[0] * (hi - lo)), hi - lo)
-    at += lo
-    a, b = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
-    found = []
-    with np.errstate(over="ignore"):
-        for n in range(1, lex.longest + 1):
-            inside = at + n <= lengths[row]
-            if not inside.all():
-                row, at, a, b = row[inside], at[inside], a[inside], b[inside]
-            c = codes[row, at + n - 1].astype(np.uint64) + np.uint64(1)
-            a, b = a * _A + c, b * _B + c
-            h = _spread(a)
-            live = np.flatnonzero(lex.begins(h))
-            if not len(live):
-                break
-            row, at, a, b = row[live], at[live], a[live], b[live]
-            term = lex.find(h[live], _spread(b))
-            hit = np.flatnonzero(term >= 0)
-            found.append((row[hit], at[hit] + n, np.full(len(hit), n), term[hit]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(4))
+def _group(texts: list[str], lex: Lexicon, want: np.ndarray, spared: np.ndarray | None = None) -> list[tuple[np.ndarray, ...]]:
+    """For each wanted language (or for the one of each text, if it stands in a row of `want`): text, start, length, prob of all words.
 
-
-def _group(texts: list[str], lex: Lexicon, want: list[int]) -> list[tuple[np.ndarray, ...]]:
-    """For each wanted language: text, start, length, prob of all words."""
-    rows, size, kinds = len(texts), max(map(len, texts)), len(want)
-    lengths = np.array(list(map(len, texts)))
-    codes = _codes("".join(t.ljust(size, "\0") for t in texts)).reshape(rows, size)
-    slots = [np.flatnonzero(np.array(want) == x) for x in range(len(lex.langs))]
-    p = np.zeros((size + 1, kinds, rows))
+    A place is a position of a text; those of all texts at one position stand together, and so do the cells (languages) of a place.
+    Terms are handed on from their starts: in each step, from all cells of one position at once.
+    """
+    rows, size, kinds = len(texts), max(map(len, texts)), want.shape[-1]
+    lengths, wide = np.array(list(map(len, texts))), rows * kinds
+    codes = np.ascontiguousarray(_codes("".join(t.ljust(size, "\0") for t in texts)).reshape(rows, size).T)
+    symbols = np.full((size + 1, rows), _NONE, np.uint8)
+    symbols[:size] = lex.symbol[codes]
+    if size != lengths.min():
+        symbols[:size][np.arange(size)[:, None] >= lengths] = _NONE
+    p = np.zeros((size + 1, wide))
     p[0] = 1
-    step = np.ones((size + 1, kinds, rows), np.int16 if lex.longest < 1 << 15 else np.int32)
-    width = max(1, min(_BLOCK, _CELLS // (rows * kinds * min(lex.longest, 32))))
-    kept: tuple[np.ndarray, ...] = tuple(np.zeros(0, np.int64) for _ in range(4))
+    step = np.ones((size + 1, wide), np.int16 if lex.longest < 1 << 15 else np.int32)
+    cells, back = p.reshape(-1, kinds), step.reshape(-1, kinds)
+    # A place's cells are put down as one value.
+    whole, whole_back = (np.dtype((np.void, x.itemsize * kinds)) for x in (cells, back))
+    put, put_back = cells.view(whole)[:, 0], back.view(whole_back)[:, 0]
+    width, top = max(1, min(_BLOCK, _STARTS // rows)), size
+    asked = lambda at: want if want.ndim == 1 else want[at % rows]
     for lo in range(0, size, width):
-        if not p[max(0, lo - lex.longest + 1) : lo + 1].any():
-            break  # nothing in reach but zeros: the rest comes out singly with probability 0
+        alive = np.flatnonzero(p[lo : lo + lex.longest].any(axis=0).reshape(rows, kinds).any(axis=1))
+        if not len(alive):
+            top = lo
+            break  # nothing but zeros: the rest comes out singly with probability 0
         hi = min(lo + width, size)
-        found = tuple(map(np.concatenate, zip(kept, _substrings(codes, lengths, lo, hi, lex), strict=True)))
-        later = found[1] > hi
-        kept = tuple(x[later] for x in found)
-        row, end, n, term = (x[~later] for x in found)
-        longest = int(n.max(initial=1))
-        g = np.zeros((hi - lo, longest, kinds, rows))
-        count = lex.start[term + 1] - lex.start[term]
-        entry = np.repeat(lex.start[term] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        row, end, n = np.repeat(row, count), np.repeat(end, count), np.repeat(n, count)
-        for x, at in enumerate(slots):
-            here = np.flatnonzero(lex.lang[entry] == x) if len(at) else ()
-            for s in at:
-                g[end[here] - lo - 1, n[here] - 1, s, row[here]] = lex.prob[entry[here]]
-        free = (_free_codes(codes[:, lo:hi]) & (np.arange(lo, hi) < lengths[:, None])).T
-        g[:, 0] = np.where(free[:, None, :], 1.0, g[:, 0])
-        for i in range(lo + 1, hi + 1):
-            k = min(i, longest)
-            np.max(p[i - k : i][::-1] * g[i - lo - 1, :k], axis=0, out=p[i])
-        for k in range(longest, 0, -1):  # the nearest start last: it wins among equals
-            first = max(lo + 1, k)
-            same = p[first - k : hi + 1 - k] * g[first - lo - 1 :, k - 1] == p[first : hi + 1]
-            step[first : hi + 1][same] = k
+        weight = np.zeros((hi - lo, rows, kinds))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, step.dtype))]
+        for n, at, term in lex.walk(symbols.reshape(-1), codes.reshape(-1), (np.arange(lo, hi)[:, None] * rows + alive).ravel(), rows):
+            if n == 1:
+                weight.reshape(-1, kinds)[at - lo * rows] = lex.weights(term, asked(at))
+            else:
+                found.append((at, term, np.full(len(at), n, step.dtype)))
+        weight[_free_codes(codes[lo:hi]) & (np.arange(lo, hi)[:, None] < lengths)] = 1
+        weight = weight.reshape(hi - lo, wide)
+        at, term, length = (np.concatenate(x) for x in zip(*found, strict=True))
+        place = ((at - lo * rows) // rows).astype(np.uint16)
+        order = np.argsort(place, kind="stable")
+        at, length = at[order], length[order]
+        prob = lex.weights(term[order], asked(at))
+        target = at + length.astype(np.int64) * rows
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=hi - lo))]).tolist()
+        for i in range(lo, hi):
+            a, b = bounds[i - lo], bounds[i - lo + 1]
+            if a < b:
+                to = target[a:b]
+                value, old, steps = cells.take(at[a:b], axis=0), cells.take(to, axis=0), back.take(to, axis=0)
+                value *= prob[a:b]
+                np.copyto(steps, length[a:b, None], where=value >= old)  # the nearest start comes last: it wins among equals
+                put[to] = np.maximum(value, old, out=value).view(whole)[:, 0]
+                put_back[to] = steps.view(whole_back)[:, 0]
+            value = p[i] * weight[i - lo]
+            better = value >= p[i + 1]
+            np.copyto(p[i + 1], value, where=better)
+            np.copyto(step[i + 1], 1, where=better)
+    # What nothing but zeros leads to came singly.
+    for lo in range(0, size + 1, _BLOCK):
+        np.copyto(step[lo : lo + _BLOCK], 1, where=p[lo : lo + _BLOCK] == 0)
+    return _back(p.reshape(size + 1, rows, kinds), step.reshape(size + 1, rows, kinds), lengths, top, spared)
+
+
+def _back(p: np.ndarray, step: np.ndarray, lengths: np.ndarray, top: int, spared: np.ndarray | None) -> list[tuple[np.ndarray, ...]]:
+    """For each language: text, start, length, prob of the words that the steps lead back over; all are single from position `top` on.
+
+    `spared` says for each language whether texts of probability 0 are one word there, in others they are so unless they have it in all.
+    """
+    _, rows, kinds = p.shape
+    zero = p[lengths, np.arange(rows)] == 0
+    one = np.zeros((rows, kinds), bool) if spared is None else zero & (spared | ~zero.all(axis=1, keepdims=True))
+    if rows >= 4:
+        wide = rows * kinds
+        back, mark = step.reshape(-1), np.zeros(step.size, bool)
+        mark[np.flatnonzero(one) + np.repeat(lengths, kinds)[one.ravel()] * wide] = True
+        whole = np.flatnonzero(~one)
+        end = np.repeat(lengths, kinds)[whole]
+        for r, e in zip(whole[end > top], end[end > top], strict=True):
+            mark[r + (top + 1) * wide : r + e * wide + 1 : wide] = True
+        cell = whole + np.minimum(end, top) * wide
+        while len(cell):
+            mark[cell] = True
+            cell = cell - back[cell].astype(np.int64) * wide
+            cell = cell[cell >= wide]
+        marks = mark.reshape(p.shape).transpose(2, 1, 0)
     out = []
     for s in range(kinds):
         if rows < 4:
-            ends = [(np.full(len(e), r), e) for r in range(rows) for e in [_trace(step[:, s, r], int(lengths[r]))]]
+            ends = [(np.full(len(e), r), e) for r in range(rows) for e in [lengths[r : r + 1] if one[r, s] else _trace(step[:, r, s], int(lengths[r]))]]
             row, end = (np.concatenate(x) for x in zip(*ends, strict=True))
         else:
-            mark, at, live = np.zeros((rows, size + 1), bool), lengths.copy(), np.arange(rows)
-            while len(live):
-                mark[live, at[live]] = True
-                at[live] -= step[at[live], s, live]
-                live = live[at[live] > 0]
-            row, end = np.nonzero(mark)
-        n = step[end, s, row].astype(np.int32)
-        out.append((row, end.astype(np.int32) - n, n, p[end, s, row]))
+            row, end = np.nonzero(np.ascontiguousarray(marks[s]))
+        n = np.where(one[row, s], lengths[row], step[end, row, s]).astype(np.int32)
+        out.append((row, end.astype(np.int32) - n, n, p[end, row, s]))
     return out
 
 
@@ -358,7 +465,7 @@ def _results(texts: list[str], owns: list[str | None] | None, lex: Lexicon, lang
     """segment()'s column of folded texts."""
     n = len(texts)
     if owns is None:
-        each = viterbi(texts, lex, langs)
+        each = viterbi(texts, lex, langs, give)
         kinds, lang = len(langs), np.tile(np.arange(len(langs)), n)
         scores = np.stack([w.scores(n) for w in each], axis=1)
         if give == "best":
@@ -369,13 +476,9 @@ def _results(texts: list[str], owns: list[str | None] | None, lex: Lexicon, lang
     else:
         if wrong := set(owns) - set(langs):
             raise ValueError(f"language not found: {sorted(map(str, wrong))}")
-        each, place, kinds, lang, scores = [], [], 1, np.array([langs.index(x) for x in owns], int), np.zeros(n)
-        for k in sorted(set(lang.tolist())):
-            at = np.flatnonzero(lang == k)
-            (w,) = viterbi([texts[i] for i in at], lex, [langs[k]])
-            each.append(w)
-            place.append(at[w.text])
-            scores[at] = w.scores(len(at))
+        kinds, lang = 1, np.array([langs.index(x) for x in owns], int)
+        each = viterbi(texts, lex, langs, give, lang)
+        scores, place = each[0].scores(n), [each[0].text]
     flat = {"lang_idx": pa.array(lang, pa.int32()), "lang": pa.array([langs[k] for k in lang]), "score": pa.array(scores)}
     if give != "scores":
         place = np.concatenate(place)

@@ -260,3 +260,46 @@ def test_pieces_of_requests_stay_in_their_row(spark, monkeypatch):
     assert '"text":"éß","lang":"en","tps":[{"term":"é","prob":0.0},{"term":"ß","prob":0.0}]' in want[1] and '{"term":"\\u001C","prob":1.0}' in want[4] and not want[2]
     monkeypatch.setattr(S, "MAX_TERMS", 1)
     assert {r[0]: r[1].partition('"ttps"')[2] for r in R.respond(df, model, ["de", "en"]).collect()} == want
+
+
+@pytest.mark.parametrize("dense", [1 << 25, 0])
+def test_own_languages_go_side_by_side(monkeypatch, dense):
+    """Each language was a run of its own through the recurrence, dense in the lengths of words."""
+    monkeypatch.setattr(S, "_DENSE", dense)
+    rng = random.Random(2)
+    models = {x: {"".join(rng.choices("ABC", k=rng.randint(1, 4))): rng.random() for _ in range(30)} for x in "pqr"}
+    rows = [(x, t, p) for x, m in models.items() for t, p in m.items()]
+    both = S.Lexicon.of(pa.table(dict(zip(("lang", "term", "prob"), map(list, zip(*rows, strict=True)), strict=True))))
+    texts = ["".join(rng.choices("ABC1D", k=rng.randint(0, 30))) for _ in range(90)]
+    owns, runs, group = [rng.choice("pqr") for _ in texts], [], S._group
+    monkeypatch.setattr(S, "_group", lambda *a: runs.append(a) or group(*a))
+    got = S._results(texts, owns, both, both.langs, "all", False).to_pylist()
+    assert len(runs) == 1
+    assert [[(x["start"], x["len"], x["prob"]) for x in r[0]["tps"]] for r in got] == [brute(t, models[o]) for t, o in zip(texts, owns, strict=True)]
+    for give in ("best", "scores"):
+        want = S._results(texts, None, both, both.langs, "all", False).to_pylist()
+        some = S._results(texts, None, both, both.langs, give, False).to_pylist()
+        assert some == ([max(w, key=lambda r: (r["score"], r["lang_idx"])) for w in want] if give == "best" else [[{k: v for k, v in r.items() if k != "tps"} for r in w] for w in want])
+
+
+@pytest.mark.parametrize("letters", [40, 90, 5000])
+def test_models_of_many_characters(letters):
+    """Characters beyond the frequent ones are several symbols in the tree of terms."""
+    rng = random.Random(3)
+    some = [chr(0x4E00 + i) for i in range(letters)]
+    model = {x: rng.random() for x in some} | {"".join(rng.choices(some, k=rng.randint(1, 5))): rng.random() for _ in range(3 * letters)}
+    lexicon = lex(model)
+    assert lexicon.digits == {40: 0, 90: 1, 5000: 3}[letters]
+    terms = list(model)
+    texts = ["".join(rng.choices([*terms, "1", "Q", "鿿"], k=8)) for _ in range(30)]
+    assert run(texts, lexicon) == [brute(t, model) for t in texts]
+
+
+def test_no_term_is_looked_for_where_nothing_leads(monkeypatch):
+    """Texts of probability 0 from some place on were gone over to their ends, as long as others beside them were not."""
+    asked, walk = [], S.Lexicon.walk
+    monkeypatch.setattr(S.Lexicon, "walk", lambda self, a, b, at, stride: asked.append(len(at)) or walk(self, a, b, at, stride))
+    monkeypatch.setattr(S, "_BLOCK", 8)
+    texts = ["Q" * 800, "Q" * 800, "1" * 800, "A" * 800]
+    assert run(texts, lex({"A": 1.0, "AA": 0.5})) == [brute(t, {"A": 1.0, "AA": 0.5}) for t in texts]
+    assert sum(asked) == 2 * 800 + 2 * 8
