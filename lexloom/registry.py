@@ -14,7 +14,7 @@ from .operators import segment as S
 from .plans import requests as R
 from .plans.build import build_from_folder
 from .sources import model_files as MF
-from .sources.shared import shared_dir, spread
+from .sources.shared import materialise, shared_dir, spread
 
 CUT = 1.0
 #: Bytes of a shard in shard_files.
@@ -50,6 +50,13 @@ def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.build(_words(spark, sf_dir), CUT)
 
 
+def _counted_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_model() from counts that are written once, so that no text is tokenized again for the cut."""
+    words = _words(spark, sf_dir)
+    freqs = materialise(M.counts(M.clean_words(words).withColumnRenamed("word", "term")), "term-counts")
+    return M.probabilities(freqs, CUT)
+
+
 _FOLD = T.fold_upper_sql("text")
 #: The simple tokenizer in SQL; RE2 knows the same letters, and white space is spelt out.
 _TOKENS = r"""
@@ -330,7 +337,7 @@ def _joined_words(tps: Column) -> Column:
 @query(_viterbi(_OWN_LINES, True) + "SELECT doc_id, line_no, (generate_subscripts(tps, 1) - 1)::INT AS place, unnest(tps).start::INT AS start, unnest(tps).len::INT AS len, unnest(tps).term AS term, unnest(tps).prob AS prob FROM scores JOIN lines USING (own, text)")
 def segment_text(spark, sf_dir):
     """The words of each document's lines without their spaces, in its own language (of documents that have one); start and len are in the joined line."""
-    done = S.segment(_lines(spark, sf_dir).filter("lang IS NOT NULL"), _model(spark, sf_dir), own="lang", terms=True)
+    done = S.segment(_lines(spark, sf_dir).filter("lang IS NOT NULL"), _counted_model(spark, sf_dir), own="lang", terms=True)
     rows = done.select("doc_id", "line_no", F.posexplode(F.col("results")[0]["tps"]).alias("place", "w"))
     return rows.select("doc_id", "line_no", "place", "w.start", "w.len", "w.term", "w.prob")
 
@@ -338,14 +345,14 @@ def segment_text(spark, sf_dir):
 @query(_viterbi(_LINES) + "SELECT doc_id, line_no, lang, words FROM lines JOIN bests USING (text)")
 def segment_best(spark, sf_dir):
     """The best language of each document's lines without their spaces, and the words."""
-    done = S.segment(_lines(spark, sf_dir).drop("lang"), _model(spark, sf_dir), out="best", terms=True, give="best")
+    done = S.segment(_lines(spark, sf_dir).drop("lang"), _counted_model(spark, sf_dir), out="best", terms=True, give="best")
     return done.select("doc_id", "line_no", "best.lang", _joined_words(F.col("best.tps")).alias("words"))
 
 
 @query(_viterbi(_LINES) + "SELECT doc_id, line_no, lang, lang_idx::INT AS lang_idx, CASE WHEN score > -1e300 THEN round(score, 3) ELSE score END AS score, round(share, 6) AS share FROM lines JOIN shares USING (text)")
 def segment_all(spark, sf_dir):
     """The score and share of each language for each document's lines without their spaces."""
-    done = S.segment(_lines(spark, sf_dir).drop("lang"), _model(spark, sf_dir), give="scores")
+    done = S.segment(_lines(spark, sf_dir).drop("lang"), _counted_model(spark, sf_dir), give="scores")
     rows = done.select("doc_id", "line_no", F.explode(S.shares(tps=False)).alias("r"))
     score = F.when(F.col("r.score") > -1e300, F.round("r.score", 3)).otherwise(F.col("r.score"))
     return rows.select("doc_id", "line_no", "r.lang", "r.lang_idx", score.alias("score"), F.round("r.share", 6).alias("share"))
@@ -354,12 +361,12 @@ def segment_all(spark, sf_dir):
 @query(_viterbi(_OWN_LINES, True) + "SELECT doc_id, line_no, lang, len(tps)::INT AS n_terms, tps[-1].prob AS prob FROM scores JOIN lines USING (own, text)")
 def line_segments(spark, sf_dir):
     """How many words each document's lines without their spaces have in its own language, and their probability."""
-    done = S.segment(_lines(spark, sf_dir).filter("lang IS NOT NULL"), _model(spark, sf_dir), own="lang").withColumn("one", S.routed("results", F.col("lang")))
+    done = S.segment(_lines(spark, sf_dir).filter("lang IS NOT NULL"), _counted_model(spark, sf_dir), own="lang").withColumn("one", S.routed("results", F.col("lang")))
     return done.select("doc_id", "line_no", "one.lang", F.size("one.tps").alias("n_terms"), F.try_element_at("one.tps", F.lit(-1))["prob"].alias("prob"))
 
 
 def _segmented(spark: SparkSession, sf_dir: str, **asked) -> DataFrame:
-    return S.segment(_turns(spark, sf_dir), _model(spark, sf_dir), **({"terms": True} | asked))
+    return S.segment(_turns(spark, sf_dir), _counted_model(spark, sf_dir), **({"terms": True} | asked))
 
 
 @query(_viterbi(_TURNS) + "SELECT text, lang, (generate_subscripts(tps, 1) - 1)::INT AS place, unnest(tps).start::INT AS start, unnest(tps).len::INT AS len, unnest(tps).term AS term, unnest(tps).prob AS prob FROM scores")
@@ -373,7 +380,7 @@ def viterbi_terms(spark, sf_dir):
 @query(_viterbi(_TURNS) + "SELECT text, lang, words FROM bests")
 def best_language(spark, sf_dir):
     """The best language of each line of the conversations and its words."""
-    top = S.segment(_turns(spark, sf_dir), _model(spark, sf_dir), out="best", terms=True, give="best")
+    top = S.segment(_turns(spark, sf_dir), _counted_model(spark, sf_dir), out="best", terms=True, give="best")
     return top.select("text", "best.lang", _joined_words(F.col("best.tps")).alias("words"))
 
 

@@ -303,3 +303,11 @@ def test_no_term_is_looked_for_where_nothing_leads(monkeypatch):
     texts = ["Q" * 800, "Q" * 800, "1" * 800, "A" * 800]
     assert run(texts, lex({"A": 1.0, "AA": 0.5})) == [brute(t, {"A": 1.0, "AA": 0.5}) for t in texts]
     assert sum(asked) == 2 * 800 + 2 * 8
+
+
+def test_texts_are_tokenized_once_for_the_model(spark, tmp_path):
+    """The cut's passes over the counts each went back to the texts."""
+    spark.createDataFrame([(1, "it is to read it", "en"), (2, "es ist gut", "de")], "doc_id int, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = registry._counted_model(spark, str(tmp_path))
+    assert "documents.parquet" not in made._jdf.queryExecution().toString()
+    assert sorted(made.collect()) == sorted(registry._model(spark, str(tmp_path)).collect())
