@@ -38,11 +38,13 @@ TERM_TPS = TPS.replace("start", "term:string,start")
 MINIMUM = -1.7976931348623157e308
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Positions of texts side by side; positions of a block, and starts of terms in it.
-_POSITIONS, _BLOCK, _STARTS = 1 << 18, 4096, 1 << 16
+_POSITIONS, _BLOCK, _STARTS = 1 << 20, 4096, 1 << 18
 #: Most cells (term, language) of a model that are made into a table of probabilities.
 _DENSE = 1 << 25
 #: Characters, and rows, of texts that are worked on at a time.
-_CHARS, _ROWS = 1 << 20, 8192
+_CHARS, _ROWS = 1 << 22, 16384
+#: Words in a batch of rows.
+_WORDS = 1 << 17
 #: Characters of texts that share a model of their own in the plan by joins, and most bits of each of its tables.
 _PART, _BITS = 1 << 19, 28
 
@@ -58,6 +60,8 @@ def _codes(text: str) -> np.ndarray:
 
 #: Symbols of a tree's edges: those of frequent characters, one that digits of a rare one follow, and one that is on no edge.
 _FREQUENT, _RARE, _NONE = 61, 61, 63
+#: Of a node: the symbols that go on from it, its first child, and the term that ends there, or -1. They are read as one.
+_NODE = np.dtype([("mask", np.uint64), ("child", np.int32), ("term", np.int32)])
 _LOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
@@ -72,9 +76,7 @@ class Lexicon:
     symbol: np.ndarray  # by code point
     rare: np.ndarray  # rising code points of characters that are written as digits
     digits: int
-    mask: np.ndarray  # of a node: the symbols that go on from it
-    child: np.ndarray  # of a node: its first child
-    term: np.ndarray  # of a node: the term that ends there, or -1
+    nodes: np.ndarray  # of _NODE
     start: np.ndarray  # where each term's entries begin
     lang: np.ndarray  # an entry: the place of its language, and the term's probability there
     prob: np.ndarray
@@ -122,7 +124,7 @@ class Lexicon:
         symbol[used[_FREQUENT:]] = _RARE
         rare = np.sort(used[_FREQUENT:])
         digits = next(d for d in range(5) if 62**d >= len(rare))
-        lex = Lexicon(langs, symbol, rare, digits, *(np.zeros(0, t) for t in (np.uint64, np.int32, np.int32)), np.zeros(1, np.int64), np.zeros(0, np.int16), np.zeros(0), int(size.max(initial=1)))
+        lex = Lexicon(langs, symbol, rare, digits, np.zeros(0, _NODE), np.zeros(1, np.int64), np.zeros(0, np.int16), np.zeros(0), int(size.max(initial=1)))
         flat, steps, at = [np.zeros(0, np.uint8)], size.copy(), 0
         for part in parts:
             here, code = size[at : at + len(part)], _codes("".join(part.to_pylist()))
@@ -145,7 +147,7 @@ class Lexicon:
             found, lang, prob = found[order], lang[order], prob[order]
             term = np.concatenate([[True], found[1:] != found[:-1]])
             entry = term | np.concatenate([[True], lang[1:] != lang[:-1]])
-            lex.term[found[term]] = np.arange(term.sum())
+            lex.nodes["term"][found[term]] = np.arange(term.sum())
             lex.start, lex.lang, lex.prob = np.append((np.cumsum(entry) - 1)[term], entry.sum()), lang[entry], prob[entry]
         return lex
 
@@ -172,34 +174,43 @@ class Lexicon:
             children.append(child)
             level = len(key)
             total += level
-        self.mask, self.child = np.concatenate(masks), np.concatenate(children)
-        self.term = np.full(total, -1, np.int32)
+        self.nodes = np.zeros(total, _NODE)
+        self.nodes["mask"], self.nodes["child"], self.nodes["term"] = np.concatenate(masks), np.concatenate(children), -1
         return node
 
-    def _step(self, node: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the nodes have a child by their symbol, and that child."""
-        mask = self.mask[node]
+    @staticmethod
+    def _step(node: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the nodes have a child by their symbol, and that child's place."""
+        mask = node["mask"]
         live = np.flatnonzero(mask >> symbol & np.uint8(1))
-        return live, self.child[node[live]] + np.bitwise_count(mask[live] & _LOW[symbol[live]])
+        return live, node["child"][live] + np.bitwise_count(mask[live] & _LOW[symbol[live]])
 
     def walk(self, symbols: np.ndarray, codes: np.ndarray, at: np.ndarray, stride: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """n, place, term of the terms of n characters that start in places `at` of texts whose next character is `stride` places on."""
-        node = np.zeros(len(at), np.int32)
+        begin = np.full(64, -1, np.int32)  # where each symbol leads from the root
+        some, to = self._step(self.nodes[np.zeros(64, np.int32)], np.arange(64, dtype=np.uint8))
+        begin[some] = to
         for n in range(1, self.longest + 1):
-            live, node = self._step(node, symbols[at])
+            if n == 1:
+                place = begin[symbols[at]]
+                live = np.flatnonzero(place >= 0)
+                place = place[live]
+            else:
+                live, place = self._step(node, symbols[at])  # noqa: F821
             at = at[live]
             if len(self.rare) and len(odd := np.flatnonzero(symbols[at] == _RARE)):
-                part, end = odd, node[odd]
+                part, end = odd, place[odd]
                 for d in range(self.digits):
-                    some, end = self._step(end, self._digit(codes[at[part]], d))
+                    some, end = self._step(self.nodes[end], self._digit(codes[at[part]], d))
                     part = part[some]
-                node[odd] = -1
-                node[part] = end
-                live = np.flatnonzero(node >= 0)
-                at, node = at[live], node[live]
+                place[odd] = -1
+                place[part] = end
+                live = np.flatnonzero(place >= 0)
+                at, place = at[live], place[live]
             if not len(at):
                 return
-            term = self.term[node]
+            node = self.nodes.take(place)
+            term = node["term"]
             hit = np.flatnonzero(term >= 0)
             yield n, at[hit] - (n - 1) * stride, term[hit]
             at = at + stride
@@ -263,11 +274,16 @@ def viterbi(texts: list[str], lexicon: Lexicon, langs: list[str], give: str = "a
     out = []
     for found in parts:
         text, start, length, prob = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, t) for t in (np.int64, np.int32, np.int32, float))
-        order = np.argsort(text, kind="stable")
+        order = _order(text, len(texts))
         out.append(Words(text[order], start[order], length[order], prob[order]))
     return out if own is not None else [out[np.searchsorted(want, lexicon.langs.index(x))] for x in langs]
 
 
+def _order(place: np.ndarray, top: int) -> np.ndarray:
+    """The stable order of numbers below `top`: small ones are sorted by their digits."""
+    return np.argsort(place.astype(np.uint16) if top <= 1 << 16 else place, kind="stable")
+
+
 def _group(texts: list[str], lex: Lexicon, want: np.ndarray, spared: np.ndarray | None = None) -> list[tuple[np.ndarray, ...]]:
     """For each wanted language (or for the one of each text, if it stands in a row of `want`): text, start, length, prob of all words.
 
@@ -291,7 +307,7 @@ def _group(texts: list[str], lex: Lexicon, want: np.ndarray, spared: np.ndarray
     width, top = max(1, min(_BLOCK, _STARTS // rows)), size
     asked = lambda at: want if want.ndim == 1 else want[at % rows]
     for lo in range(0, size, width):
-        alive = np.flatnonzero(p[lo : lo + lex.longest].any(axis=0).reshape(rows, kinds).any(axis=1))
+        alive = np.flatnonzero(p[lo : lo + lex.longest].max(axis=0).reshape(rows, kinds).max(axis=1))
         if not len(alive):
             top = lo
             break  # nothing but zeros: the rest comes out singly with probability 0
@@ -326,7 +342,7 @@ def _group(texts: list[str], lex: Lexicon, want: np.ndarray, spared: np.ndarray
             np.copyto(p[i + 1], value, where=better)
             np.copyto(step[i + 1], 1, where=better)
     # What nothing but zeros leads to came singly.
-    for lo in range(0, size + 1, _BLOCK):
+    for lo in range(0, min(size, top + lex.longest) + 1, _BLOCK):
         np.copyto(step[lo : lo + _BLOCK], 1, where=p[lo : lo + _BLOCK] == 0)
     return _back(p.reshape(size + 1, rows, kinds), step.reshape(size + 1, rows, kinds), lengths, top, spared)
 
@@ -342,7 +358,6 @@ def _back(p: np.ndarray, step: np.ndarray, lengths: np.ndarray, top: int, spared
     if rows >= 4:
         wide = rows * kinds
         back, mark = step.reshape(-1), np.zeros(step.size, bool)
-        mark[np.flatnonzero(one) + np.repeat(lengths, kinds)[one.ravel()] * wide] = True
         whole = np.flatnonzero(~one)
         end = np.repeat(lengths, kinds)[whole]
         for r, e in zip(whole[end > top], end[end > top], strict=True):
@@ -353,13 +368,17 @@ def _back(p: np.ndarray, step: np.ndarray, lengths: np.ndarray, top: int, spared
             cell = cell - back[cell].astype(np.int64) * wide
             cell = cell[cell >= wide]
         marks = mark.reshape(p.shape).transpose(2, 1, 0)
+    every = np.arange(rows)
     out = []
     for s in range(kinds):
         if rows < 4:
             ends = [(np.full(len(e), r), e) for r in range(rows) for e in [lengths[r : r + 1] if one[r, s] else _trace(step[:, r, s], int(lengths[r]))]]
             row, end = (np.concatenate(x) for x in zip(*ends, strict=True))
-        else:
+        elif (some := np.flatnonzero(~one[:, s])).size == rows:
             row, end = np.nonzero(np.ascontiguousarray(marks[s]))
+        else:  # the marks of texts that are one word aren't looked for
+            row, end = np.nonzero(np.ascontiguousarray(marks[s].take(some, axis=0)))
+            row, end = np.append(some[row], every[one[:, s]]), np.append(end, lengths[one[:, s]])
         n = np.where(one[row, s], lengths[row], step[end, row, s]).astype(np.int32)
         out.append((row, end.astype(np.int32) - n, n, p[end, row, s]))
     return out
@@ -403,16 +422,34 @@ def _slices(batch: pa.RecordBatch, texts: list[str]) -> Iterator[tuple[int, int]
     yield lo, len(texts)
 
 
+def _places(whole: str, length: np.ndarray) -> np.ndarray:
+    """Where, in bytes, each word begins that the text is cut into, and where the last one ends."""
+    code = _codes(whole)
+    size = np.concatenate([[0], np.cumsum(1 + (code > 0x7F).astype(np.int32) + (code > 0x7FF) + (code > 0xFFFF))])
+    return size[np.concatenate([[0], np.cumsum(length)])]
+
+
 def _cut(texts: list[str], kinds: int, length: np.ndarray) -> pa.Array:
     """The words of all texts, `kinds` times each: they cover their text, so that its bytes need no more than the places of the cuts."""
     whole = "".join(t for t in texts for _ in range(kinds))
-    code = _codes(whole)
-    size = np.concatenate([[0], np.cumsum(1 + (code > 0x7F).astype(np.int32) + (code > 0x7FF) + (code > 0xFFFF))])
-    ends = size[np.concatenate([[0], np.cumsum(length)])].astype(np.int32)
-    return pa.StringArray.from_buffers(len(length), pa.py_buffer(ends), pa.py_buffer(whole.encode("utf-8", "surrogatepass")))
+    return pa.StringArray.from_buffers(len(length), pa.py_buffer(_places(whole, length).astype(np.int32)), pa.py_buffer(whole.encode("utf-8", "surrogatepass")))
 
 
-def segment(df: DataFrame, model: DataFrame | Lexicon, text: str = "text", langs: list[str] | None = None, out: str = "results", own: str | None = None, terms: bool = False, give: str = "all") -> DataFrame:
+def _spaced(texts: list[str], kinds: int, length: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Each text, `kinds` times, with a space between its words; `first` has the number of each one's first word, and of all words."""
+    whole = "".join(t for t in texts for _ in range(kinds))
+    place = _places(whole, length)
+    inner = np.ones(len(length) + 1, bool)  # words that a space stands before
+    inner[first] = False
+    before = np.cumsum(inner)
+    out = np.full(place[-1] + before[-1], ord(" "), np.uint8)
+    letters = np.ones(len(out), bool)
+    letters[(place + before - 1)[inner]] = False
+    out[letters] = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
+    return pa.LargeStringArray.from_buffers(len(first) - 1, pa.py_buffer((place + before)[first]), pa.py_buffer(out)).cast(pa.string())
+
+
+def segment(df: DataFrame, model: DataFrame | Lexicon, text: str = "text", langs: list[str] | None = None, out: str = "results", own: str | None = None, terms: bool = False, give: str = "all", view: str = "tps") -> DataFrame:
     """Adds an array with a struct (lang_idx, lang, score, tps) for each language, in the order of `langs`.
 
     tps has start and len in characters of the text, and the prefix probability.
@@ -421,7 +458,9 @@ def segment(df: DataFrame, model: DataFrame | Lexicon, text: str = "text", langs
     `langs` (or null) is an error. `terms` adds the words (upper-cased) to tps.
     `give` is all, best (the struct of the highest score alone, of equals the last
     language's) or scores (no tps), so that no more leaves a task than is asked
-    for. Works on streams too, if the model has up to MAX_TERMS terms.
+    for; so does `view`, what stands for tps: tps themselves, words (the words
+    in one string, a space between them) or last (n_terms, their number, and prob,
+    the last one's, null if there is none). Works on streams too, if the model has up to MAX_TERMS terms.
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -433,35 +472,80 @@ def segment(df: DataFrame, model: DataFrame | Lexicon, text: str = "text", langs
     if missing := [x for x in langs if x not in known]:
         raise ValueError(f"language not found: {missing}")
     if not isinstance(lex, Lexicon):
-        return _segment_by_join(df, lex, text, langs, out, own, terms, give)
+        return _segment_by_join(df, lex, text, langs, out, own, terms, give, view)
     shared = df.sparkSession.sparkContext.broadcast(lex)  # bounded by MAX_TERMS
-    schema = StructType([*df.schema.fields, *_parse_datatype_string(f"{out} {_kind(give, terms)}").fields])
+    schema = StructType([*df.schema.fields, *_parse_datatype_string(f"{out} {_kind(give, terms, view)}").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            texts = ["" if blank(t) else T.fold(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            texts = _folded(b, text)
             owns = b.column(b.schema.get_field_index(own)).to_pylist() if own else None
             for lo, hi in _slices(b, texts):
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, _results(texts[lo:hi], owns and owns[lo:hi], shared.value, langs, give, terms)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, _results(texts[lo:hi], owns and owns[lo:hi], shared.value, langs, give, terms, view)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def segment_rows(df: DataFrame, model: DataFrame | Lexicon, keep: list[str], own: str, text: str = "text") -> DataFrame:
+    """A row for each word of each text in the language that `own` names: the columns of `keep`, place (of the word, from 0), start, len, term, prob.
+
+    As segment(terms=True) and an explosion, but rows leave the task as they are, not as arrays of structs.
+    """
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    lex = model if isinstance(model, Lexicon) else prepared(model)
+    if not isinstance(lex, Lexicon):
+        done = segment(df, lex, text, out="_results", own=own, terms=True).select(*keep, F.posexplode(F.col("_results")[0]["tps"]).alias("place", "_w"))
+        return done.select(*keep, "place", "_w.start", "_w.len", "_w.term", "_w.prob")
+    if not lex.langs:
+        raise ValueError("no language models")
+    shared = df.sparkSession.sparkContext.broadcast(lex)  # bounded by MAX_TERMS
+    schema = StructType([*(df.schema[c] for c in keep), *_parse_datatype_string("place int, start int, len int, term string, prob double").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, owns = _folded(b, text), b.column(b.schema.get_field_index(own)).to_pylist()
+            for lo, hi in _slices(b, texts) if texts else ():
+                (words,) = viterbi(texts[lo:hi], shared.value, shared.value.langs, own=_own_places(owns[lo:hi], shared.value.langs))
+                size = np.bincount(words.text, minlength=hi - lo)
+                place = np.arange(len(words.text)) - np.repeat(np.cumsum(size) - size, size)
+                row = pa.array(words.text + lo)
+                term = _cut(texts[lo:hi], 1, words.length)
+                for k in range(0, len(row), _WORDS):
+                    some = slice(k, k + _WORDS)
+                    kept = [b.column(b.schema.get_field_index(c)).take(row[some]) for c in keep]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(place[some], pa.int32()), pa.array(words.start[some], pa.int32()), pa.array(words.length[some], pa.int32()), term[some], pa.array(words.prob[some])], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def _folded(b: pa.RecordBatch, text: str) -> list[str]:
+    return ["" if blank(t) else T.fold(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+
+
+def _own_places(owns: list[str | None], langs: list[str]) -> np.ndarray:
+    if wrong := set(owns) - set(langs):
+        raise ValueError(f"language not found: {sorted(map(str, wrong))}")
+    place = {x: k for k, x in reversed([*enumerate(langs)])}
+    return np.array([place[x] for x in owns], int)
+
+
 def blank(t: str | None) -> bool:
     """As the column function: separators from U+001C to U+001F aren't white space."""
     return not t or (t.isspace() and not any(c in t for c in "\x1c\x1d\x1e\x1f"))
 
 
-def _kind(give: str, terms: bool) -> str:
+def _kind(give: str, terms: bool, view: str = "tps") -> str:
     """The type of segment()'s column."""
-    kind = "struct<lang_idx:int,lang:string,score:double" + ("" if give == "scores" else f",tps:{TERM_TPS if terms else TPS}") + ">"
+    views = {"tps": f",tps:{TERM_TPS if terms else TPS}", "words": ",words:string", "last": ",n_terms:int,prob:double"}
+    kind = "struct<lang_idx:int,lang:string,score:double" + ("" if give == "scores" else views[view]) + ">"
     return kind if give == "best" else f"array<{kind}>"
 
 
-def _results(texts: list[str], owns: list[str | None] | None, lex: Lexicon, langs: list[str], give: str, terms: bool) -> pa.Array:
+def _results(texts: list[str], owns: list[str | None] | None, lex: Lexicon, langs: list[str], give: str, terms: bool, view: str = "tps") -> pa.Array:
     """segment()'s column of folded texts."""
     n = len(texts)
     if owns is None:
@@ -474,17 +558,21 @@ def _results(texts: list[str], owns: list[str | None] | None, lex: Lexicon, lang
             each = [w.only(lang[w.text] == k) for k, w in enumerate(each)]
         scores, place = scores.ravel(), [w.text * kinds + (k if kinds > 1 else 0) for k, w in enumerate(each)]
     else:
-        if wrong := set(owns) - set(langs):
-            raise ValueError(f"language not found: {sorted(map(str, wrong))}")
-        kinds, lang = 1, np.array([langs.index(x) for x in owns], int)
+        kinds, lang = 1, _own_places(owns, langs)
         each = viterbi(texts, lex, langs, give, lang)
         scores, place = each[0].scores(n), [each[0].text]
     flat = {"lang_idx": pa.array(lang, pa.int32()), "lang": pa.array([langs[k] for k in lang]), "score": pa.array(scores)}
     if give != "scores":
         place = np.concatenate(place)
-        order = np.argsort(place, kind="stable")
+        order = _order(place, n * kinds) if len(each) > 1 else slice(None)
         start, length, prob = (np.concatenate([getattr(w, c) for w in each])[order] for c in ("start", "length", "prob"))
         offsets = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=n * kinds))])
+    if give != "scores" and view == "words":
+        flat["words"] = _spaced(texts, kinds, length, offsets)
+    elif give != "scores" and view == "last":
+        flat["n_terms"] = pa.array(np.diff(offsets), pa.int32())
+        flat["prob"] = pa.array(np.append(prob, 0.0)[offsets[1:] - 1], mask=np.diff(offsets) == 0)
+    elif give != "scores":
         fields = {"start": pa.array(start, pa.int32()), "len": pa.array(length, pa.int32()), "prob": pa.array(prob)}
         if terms:
             fields = {"term": _cut(texts, kinds, length)} | fields
@@ -529,7 +617,7 @@ def segment_by_join(texts: DataFrame, model: DataFrame, id_col: str = "text_id",
     return done.select(F.col("id").alias(id_col), F.col("results")[0]["tps"].alias("tps"))
 
 
-def _segment_by_join(df: DataFrame, model: DataFrame, text: str, langs: list[str], out: str, own: str | None, with_terms: bool, give: str) -> DataFrame:
+def _segment_by_join(df: DataFrame, model: DataFrame, text: str, langs: list[str], out: str, own: str | None, with_terms: bool, give: str, view: str = "tps") -> DataFrame:
     """segment() by joins: equal texts are done once."""
     if df.isStreaming:
         raise ValueError(f"streams take models of up to {MAX_TERMS} terms")
@@ -537,7 +625,7 @@ def _segment_by_join(df: DataFrame, model: DataFrame, text: str, langs: list[str
     folded = F.when(T.is_blank(F.col(text)), "").otherwise(T.fold_upper(F.col(text)))
     keyed = df.withColumn(key, F.sha2(folded if own is None else F.concat_ws("\0", F.col(own), folded), 256))
     base = keyed.select(F.col(key).alias("id"), folded.alias("t"), (F.lit(None).cast("string") if own is None else F.col(own)).alias("own")).dropDuplicates(["id"])
-    found = _joined(base, model.filter(F.col("lang").isin(langs)), langs, own is not None, with_terms, give).select(F.col("id").alias(key), F.col("results").alias("_results"))
+    found = _joined(base, model.filter(F.col("lang").isin(langs)), langs, own is not None, with_terms, give, view).select(F.col("id").alias(key), F.col("results").alias("_results"))
     return keyed.join(found.hint("merge"), key, "left").select(*[F.col(f"`{c}`") for c in df.columns], F.col("_results").alias(out))
 
 
@@ -601,7 +689,7 @@ def _tables(model: DataFrame) -> tuple[int, np.ndarray]:
     return longest, table
 
 
-def _joined(base: DataFrame, model: DataFrame, langs: list[str], own: bool, with_terms: bool, give: str) -> DataFrame:
+def _joined(base: DataFrame, model: DataFrame, langs: list[str], own: bool, with_terms: bool, give: str, view: str = "tps") -> DataFrame:
     """id, results (as segment() has them) of texts (id, t: folded, own).
 
     Each part's substrings that may be terms meet the model once; what is found
@@ -635,13 +723,13 @@ def _joined(base: DataFrame, model: DataFrame, langs: list[str], own: bool, with
     asked = dealt.groupBy("part").applyInArrow(candidates, "part bigint, term string")
     # What the candidates take isn't known to Spark, so neither side is broadcast.
     found = asked.join(model.select("lang", "term", "prob").hint("merge"), "term").select("part", "lang", "term", "prob").repartition(tasks, "part")
-    schema = f"id {base.schema['id'].dataType.simpleString()}, results {_kind(give, with_terms)}"
+    schema = f"id {base.schema['id'].dataType.simpleString()}, results {_kind(give, with_terms, view)}"
 
     def run(texts: pa.Table, terms: pa.Table) -> pa.Table:
         # Of a repeated term the likeliest counts.
         lex = Lexicon.of(terms.select(["lang", "term", "prob"]).sort_by([("prob", "descending")]), langs)
         whole, owns = texts["t"].to_pylist(), texts["own"].to_pylist() if own else None
-        done = [_results(whole[lo:hi], owns and owns[lo:hi], lex, langs, give, with_terms) for lo, hi in _slices(texts, whole)]
+        done = [_results(whole[lo:hi], owns and owns[lo:hi], lex, langs, give, with_terms, view) for lo, hi in _slices(texts, whole)]
         return pa.table({"id": texts["id"], "results": pa.chunked_array(done)})
 
     return dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run, schema)

@@ -345,8 +345,8 @@ def segment_text(spark, sf_dir):
 @query(_viterbi(_LINES) + "SELECT doc_id, line_no, lang, words FROM lines JOIN bests USING (text)")
 def segment_best(spark, sf_dir):
     """The best language of each document's lines without their spaces, and the words."""
-    done = S.segment(_lines(spark, sf_dir).drop("lang"), _counted_model(spark, sf_dir), out="best", terms=True, give="best")
-    return done.select("doc_id", "line_no", "best.lang", _joined_words(F.col("best.tps")).alias("words"))
+    done = S.segment(_lines(spark, sf_dir).drop("lang"), _counted_model(spark, sf_dir), out="best", give="best", view="words")
+    return done.select("doc_id", "line_no", "best.lang", "best.words")
 
 
 @query(_viterbi(_LINES) + "SELECT doc_id, line_no, lang, lang_idx::INT AS lang_idx, CASE WHEN score > -1e300 THEN round(score, 3) ELSE score END AS score, round(share, 6) AS share FROM lines JOIN shares USING (text)")
@@ -380,8 +380,8 @@ def viterbi_terms(spark, sf_dir):
 @query(_viterbi(_TURNS) + "SELECT text, lang, words FROM bests")
 def best_language(spark, sf_dir):
     """The best language of each line of the conversations and its words."""
-    top = S.segment(_turns(spark, sf_dir), _counted_model(spark, sf_dir), out="best", terms=True, give="best")
-    return top.select("text", "best.lang", _joined_words(F.col("best.tps")).alias("words"))
+    top = S.segment(_turns(spark, sf_dir), _counted_model(spark, sf_dir), out="best", give="best", view="words")
+    return top.select("text", "best.lang", "best.words")
 
 
 @query(_viterbi(_TURNS) + "SELECT text, lang, lang_idx::INT AS lang_idx, CASE WHEN score > -1e300 THEN round(score, 3) ELSE score END AS score, round(share, 6) AS share FROM shares")

@@ -311,3 +311,24 @@ def test_texts_are_tokenized_once_for_the_model(spark, tmp_path):
     made = registry._counted_model(spark, str(tmp_path))
     assert "documents.parquet" not in made._jdf.queryExecution().toString()
     assert sorted(made.collect()) == sorted(registry._model(spark, str(tmp_path)).collect())
+
+
+_ODD = [(1, "it is good", "en"), (2, "es ist gut\nJe ne sais pas 漢字 😀", "de"), (3, "", "en"), (4, "it 😀 is\n\nto-day 12", "en"), (5, "q" * 40, "de")]
+
+
+def _tables(spark, folder):
+    spark.createDataFrame(_ODD, "doc_id bigint, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("most", [S.MAX_TERMS, 0])
+def test_best_words_leave_the_task_as_a_string(spark, tmp_path, monkeypatch, most):
+    """The words of segment_best went through arrays of structs that were joined outside the task."""
+    monkeypatch.setattr(S, "MAX_TERMS", most)
+    folder = _tables(spark, tmp_path)
+    made = registry.segment_best(spark, folder)
+    assert "tps" not in made._jdf.queryExecution().toString()
+    done = S.segment(registry._lines(spark, folder), registry._counted_model(spark, folder), terms=True, give="best").collect()
+    assert sorted(made.collect()) == sorted((r["doc_id"], r["line_no"], r["results"]["lang"], " ".join(w["term"] for w in r["results"]["tps"])) for r in done)
+    blank = S.segment(spark.createDataFrame([(" ",), (None,)], "text string"), registry._counted_model(spark, folder), give="best", view="words")
+    assert [r["results"]["words"] for r in blank.collect()] == ["", ""]
