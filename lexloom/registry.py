@@ -337,9 +337,7 @@ def _joined_words(tps: Column) -> Column:
 @query(_viterbi(_OWN_LINES, True) + "SELECT doc_id, line_no, (generate_subscripts(tps, 1) - 1)::INT AS place, unnest(tps).start::INT AS start, unnest(tps).len::INT AS len, unnest(tps).term AS term, unnest(tps).prob AS prob FROM scores JOIN lines USING (own, text)")
 def segment_text(spark, sf_dir):
     """The words of each document's lines without their spaces, in its own language (of documents that have one); start and len are in the joined line."""
-    done = S.segment(_lines(spark, sf_dir).filter("lang IS NOT NULL"), _counted_model(spark, sf_dir), own="lang", terms=True)
-    rows = done.select("doc_id", "line_no", F.posexplode(F.col("results")[0]["tps"]).alias("place", "w"))
-    return rows.select("doc_id", "line_no", "place", "w.start", "w.len", "w.term", "w.prob")
+    return S.segment_rows(_lines(spark, sf_dir).filter("lang IS NOT NULL"), _counted_model(spark, sf_dir), ["doc_id", "line_no"], "lang")
 
 
 @query(_viterbi(_LINES) + "SELECT doc_id, line_no, lang, words FROM lines JOIN bests USING (text)")

@@ -332,3 +332,17 @@ def test_best_words_leave_the_task_as_a_string(spark, tmp_path, monkeypatch, mos
     assert sorted(made.collect()) == sorted((r["doc_id"], r["line_no"], r["results"]["lang"], " ".join(w["term"] for w in r["results"]["tps"])) for r in done)
     blank = S.segment(spark.createDataFrame([(" ",), (None,)], "text string"), registry._counted_model(spark, folder), give="best", view="words")
     assert [r["results"]["words"] for r in blank.collect()] == ["", ""]
+
+
+@pytest.mark.parametrize("most", [S.MAX_TERMS, 0])
+def test_rows_of_words_leave_the_task_as_they_are(spark, tmp_path, monkeypatch, most):
+    """The rows of segment_text were exploded from arrays of structs."""
+    monkeypatch.setattr(S, "MAX_TERMS", most)
+    monkeypatch.setattr(S, "_WORDS", 3)
+    folder = _tables(spark, tmp_path)
+    made = registry.segment_text(spark, folder)
+    assert ("tps" in made._jdf.queryExecution().toString()) == (most == 0)
+    done = S.segment(registry._lines(spark, folder), registry._counted_model(spark, folder), own="lang", terms=True).collect()
+    assert sorted(made.collect()) == sorted((r["doc_id"], r["line_no"], k, w["start"], w["len"], w["term"], w["prob"]) for r in done for k, w in enumerate(r["results"][0]["tps"]))
+    with pytest.raises(Exception, match="language not found"):
+        S.segment_rows(spark.createDataFrame([("A", "xx")], "text string, lang string"), registry._counted_model(spark, folder), [], "lang").collect()
