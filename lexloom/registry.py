@@ -359,8 +359,8 @@ def segment_all(spark, sf_dir):
 @query(_viterbi(_OWN_LINES, True) + "SELECT doc_id, line_no, lang, len(tps)::INT AS n_terms, tps[-1].prob AS prob FROM scores JOIN lines USING (own, text)")
 def line_segments(spark, sf_dir):
     """How many words each document's lines without their spaces have in its own language, and their probability."""
-    done = S.segment(_lines(spark, sf_dir).filter("lang IS NOT NULL"), _counted_model(spark, sf_dir), own="lang").withColumn("one", S.routed("results", F.col("lang")))
-    return done.select("doc_id", "line_no", "one.lang", F.size("one.tps").alias("n_terms"), F.try_element_at("one.tps", F.lit(-1))["prob"].alias("prob"))
+    done = S.segment(_lines(spark, sf_dir).filter("lang IS NOT NULL"), _counted_model(spark, sf_dir), own="lang", view="last")
+    return done.select("doc_id", "line_no", "lang", F.col("results")[0]["n_terms"].alias("n_terms"), F.col("results")[0]["prob"].alias("prob"))
 
 
 def _segmented(spark: SparkSession, sf_dir: str, **asked) -> DataFrame:

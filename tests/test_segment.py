@@ -346,3 +346,16 @@ def test_rows_of_words_leave_the_task_as_they_are(spark, tmp_path, monkeypatch,
     assert sorted(made.collect()) == sorted((r["doc_id"], r["line_no"], k, w["start"], w["len"], w["term"], w["prob"]) for r in done for k, w in enumerate(r["results"][0]["tps"]))
     with pytest.raises(Exception, match="language not found"):
         S.segment_rows(spark.createDataFrame([("A", "xx")], "text string, lang string"), registry._counted_model(spark, folder), [], "lang").collect()
+
+
+@pytest.mark.parametrize("most", [S.MAX_TERMS, 0])
+def test_line_segments_need_no_words(spark, tmp_path, monkeypatch, most):
+    """All words left the task for their number and the last one's probability."""
+    monkeypatch.setattr(S, "MAX_TERMS", most)
+    folder = _tables(spark, tmp_path)
+    made = registry.line_segments(spark, folder)
+    assert "tps" not in made._jdf.queryExecution().toString()
+    done = S.segment(registry._lines(spark, folder), registry._counted_model(spark, folder), own="lang").collect()
+    assert sorted(made.collect()) == sorted((r["doc_id"], r["line_no"], r["lang"], len(x), x[-1]["prob"]) for r in done for x in [r["results"][0]["tps"]])
+    blank = S.segment(spark.createDataFrame([(" ",), (None,)], "text string"), registry._counted_model(spark, folder), give="best", view="last")
+    assert [(r["results"]["n_terms"], r["results"]["prob"]) for r in blank.collect()] == [(0, None), (0, None)]
